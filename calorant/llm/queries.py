@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from calorant.llm import ogg, packing
+from calorant.llm import ogg, packing, phrases, simhash, suffixes
 from calorant.llm.common import table
 
 
@@ -16,12 +17,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_features(table(spark, sf_dir, "documents"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op9_ogg)}
+    return {f.__name__: f for f in (op3_packing, op7_simhash, op8_phrases, op9_ogg, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
