@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorant.llm import ogg, packing, phrases, simhash, suffixes
-from calorant.llm.common import table
+from calorant.llm import languages, ogg, packing, phrases, quality, simhash, suffixes, toxicity
+from calorant.llm.common import fold, table
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
+    model = languages.fit(docs.where(~held_out))
+    return languages.label(docs, model, spans=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +29,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -35,7 +53,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op7_simhash, op8_phrases, op9_ogg, op10_suffixes)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
