@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorant.llm import languages, ogg, packing, phrases, quality, simhash, suffixes, toxicity
+from calorant.llm import decontamination, languages, ogg, packing, phrases, quality, secrets, simhash, suffixes, toxicity
 from calorant.llm.common import fold, table
 
 
@@ -29,6 +29,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs)).drop("redacted")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out))
@@ -53,8 +62,8 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontamination.oracle()}
