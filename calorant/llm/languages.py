@@ -161,6 +161,52 @@ def fit(docs: DataFrame) -> Model:
     return Model(tuple(names), table, share >= LEAST_SHARE, total.ravel() / max(1.0, total.sum()))
 
 
+def predictor(model: Model):
+    """A column function from text to a struct of lang_pred and score."""
+
+    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    def of(column: pd.Series) -> pd.DataFrame:
+        texts, out = [t if isinstance(t, str) else "" for t in column], []
+        for i, j in slices(texts):
+            out.append(predict(texts[i:j], model, False))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
+
+    return of
+
+
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of about SLICE characters, one text at least."""
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= SLICE):
+            size += len(texts[j])
+            j += 1
+        yield i, j
+        i = j
+
+
+def predict(texts: list[str], model: Model, spans: bool) -> pd.DataFrame:
+    """lang_pred, score and, if asked for, spans of texts."""
+    names = np.array([*model.names, UNDETERMINED], dtype=object)
+    k = len(model.names)
+    w = Words(texts)
+    text = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    best = viterbi(model.scores(w), w.first, SWITCH) if k else np.zeros(len(text), dtype=np.int64)
+    size = np.bincount(text * (k + 1) + best, w.size, len(texts) * (k + 1)).reshape(len(texts), k + 1)
+    top = np.where(size[:, :k].sum(axis=1) > 0, size[:, :k].argmax(axis=1), k) if k else np.zeros(len(texts), dtype=np.int64)
+    share = np.where(top < k, size[np.arange(len(texts)), top] / np.maximum(1, size.sum(axis=1)), 0.0)
+    out = pd.DataFrame({"lang_pred": names[top], "score": share})
+    if spans:
+        cut = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)) if k else np.zeros(0, dtype=np.int64)
+        last = np.append(cut[1:], len(best)) - 1
+        rows: list[list[dict]] = [[] for _ in texts]
+        for a, b, d in zip(cut, last, text[cut]):
+            rows[d].append({"start": int(w.start[a] - w.begin[d]), "end": int(w.stop[b] - w.begin[d]), "lang": names[best[a]]})
+        out["spans"] = rows
+    return out
+
+
 def label(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score and (unless left out) spans of every row, from its whole text alone.
 
@@ -170,37 +216,13 @@ def label(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     learned. Repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
-    names = np.array([*model.names, UNDETERMINED], dtype=object)
-    k = len(model.names)
-
-    def one(texts: list[str]) -> pd.DataFrame:
-        w = Words(texts)
-        text = np.repeat(np.arange(len(texts)), np.diff(w.first))
-        best = viterbi(model.scores(w), w.first, SWITCH) if k else np.zeros(len(text), dtype=np.int64)
-        size = np.bincount(text * (k + 1) + best, w.size, len(texts) * (k + 1)).reshape(len(texts), k + 1)
-        top = np.where(size[:, :k].sum(axis=1) > 0, size[:, :k].argmax(axis=1), k) if k else np.zeros(len(texts), dtype=np.int64)
-        share = np.where(top < k, size[np.arange(len(texts)), top] / np.maximum(1, size.sum(axis=1)), 0.0)
-        out = pd.DataFrame({"lang_pred": names[top], "score": share})
-        if spans:
-            cut = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)) if k else np.zeros(0, dtype=np.int64)
-            last = np.append(cut[1:], len(best)) - 1
-            rows: list[list[dict]] = [[] for _ in texts]
-            for a, b, d in zip(cut, last, text[cut]):
-                rows[d].append({"start": int(w.start[a] - w.begin[d]), "end": int(w.stop[b] - w.begin[d]), "lang": names[best[a]]})
-            out["spans"] = rows
-        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, ids, i = [t if isinstance(t, str) else "" for t in batch["text"]], batch["doc_id"].astype("Int64"), 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= SLICE):
-                    size += len(texts[j])
-                    j += 1
-                out = one(texts[i:j])
+            texts, ids = [t if isinstance(t, str) else "" for t in batch["text"]], batch["doc_id"].astype("Int64")
+            for i, j in slices(texts):
+                out = predict(texts[i:j], model, spans)
                 out.insert(0, "doc_id", ids.iloc[i:j].to_numpy())
                 yield out
-                i = j
 
     return docs.select("doc_id", "text").mapInPandas(run, schema)
