@@ -1,0 +1,17 @@
+"""A session for interactive use. Operators don't rely on its settings."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def build_session(app: str = "calorant", master: str | None = None, **conf: str) -> SparkSession:
+    """UTC, ANSI and adaptive execution; exact decimal products; more settings by keyword (dots as __)."""
+    b = SparkSession.builder.appName(app)
+    if master:
+        b = b.master(master)
+    fixed = {
+        "spark.sql.session.timeZone": "UTC", "spark.sql.ansi.enabled": "true", "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.decimalOperations.allowPrecisionLoss": "false",
+    }
+    return b.config(map=fixed | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
