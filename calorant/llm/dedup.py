@@ -1,18 +1,19 @@
 """The plan shared by the operators that remove recurring passages, of words or of bytes.
 
-1. Every document gives its distinct anchors; those of one place alone are dropped by a pre-aggregated
-   count.
-2. Documents with anchors that recur give the regions of these, and equal regions are pre-aggregated,
-   so a passage that many documents copy is a single row whatever their number.
-3. The regions of an anchor are judged together by a kernel (repeated-phrase automata for words,
-   suffix arrays for bytes), which says of each window where first it occurs and if elsewhere too.
-4. Verdicts go back to the regions' documents, where what the windows cover is removed.
-
-An anchor whose distinct regions exceed `crowd` isn't gathered in one task: each window of its
-regions becomes a row by a 128-bit hash and is counted by a pre-aggregated sum.
+1. Every document gives its regions' anchors, and anchors of one place alone are dropped by a
+   pre-aggregated count. Where all regions of an anchor are equal, they recur whole and nothing is
+   left to judge; the document needs the anchor alone.
+2. Where an anchor has different regions, these are brought together by anchor, and a kernel
+   (repeated-phrase automata for words, suffix arrays for bytes) says of each window whether, and
+   where first, it recurs.
+3. What the windows cover is removed from the documents.
+
+An anchor that has different regions and stands in more than `crowd` places isn't gathered in one
+task: its distinct regions are pre-aggregated and each of their windows becomes a row, by a 128-bit
+hash, that is counted without gathering.
 
 Documents are told apart by a 64-bit hash of id and text, so rows that share an id or have none stay
-apart. A null id counts as the largest.
+apart, and regions of one anchor by a 64-bit hash of their units. A null id counts as the largest.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calorant.llm import recurrence
-from calorant.llm.common import encoded, text_slices
+from calorant.llm.common import checkpoint, encoded, text_slices
 
 NO_ID = (1 << 63) - 1
 SHARD = 400_000
+SLICE = 1_000_000
 
 #: One distinct region: its units as bytes, the number of its windows, the smallest id that has it, its copies.
 Region = tuple[bytes, int, int, int]
@@ -40,123 +41,137 @@ Verdict = tuple[int, int, int]
 Kernel = Callable[[list[list[Region]]], list[list[list[Verdict]]]]
 
 
-def region_hash(body: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
-
-
 def anchors(docs: DataFrame, units, window: int, gram: int) -> DataFrame:
-    """Distinct anchors of each row: anchor, row, id, and whether it stands at several places of the row."""
+    """A row for each region of each row: anchor, row, id, the region's hash, and whether it may repeat itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, rows, ids = encoded(batch["text"]), batch["row"].to_numpy(), batch["id"].to_numpy()
-            for i, j in text_slices(texts, 1_000_000):
-                u, keys, many, at = units(texts[i:j], window, gram), [], [], []
-                for d in range(j - i):
-                    own, several = u.distinct(d)
-                    keys.append(own)
-                    many.append(several)
-                    at.append(np.full(len(own), i + d))
-                k = np.concatenate(at)
-                yield pd.DataFrame({"anchor": np.concatenate(keys), "row": rows[k], "id": ids[k], "many": np.concatenate(many)})
+            for i, j in text_slices(texts, SLICE):
+                r = units(texts[i:j], window, gram).regions()
+                yield pd.DataFrame({"anchor": r.anchor, "row": rows[i + r.text], "id": ids[i + r.text], "region": r.region, "inner": r.inner})
 
-    return docs.mapInPandas(run, "anchor long, row long, id long, many boolean")
+    return docs.select("row", "id", "text").mapInPandas(run, "anchor long, row long, id long, region long, inner boolean")
 
 
-def regions(docs: DataFrame, units, window: int, gram: int) -> DataFrame:
-    """Regions of the anchors listed in `wanted` of each row."""
+def bodies(docs: DataFrame, column: str, units, window: int, gram: int) -> DataFrame:
+    """Regions, with their units, of the anchors that `column` lists of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, rows, ids = encoded(batch["text"]), batch["row"].to_numpy(), batch["id"].to_numpy()
-            for i, j in text_slices(texts, 1_000_000):
-                u, out = units(texts[i:j], window, gram), []
-                for d in range(j - i):
-                    cut, values = recurrence.runs(u.anchors(d))
-                    for k in np.flatnonzero(np.isin(values, np.asarray(batch["wanted"].iloc[i + d], dtype=np.int64))):
-                        a, b = int(cut[k]), int(cut[k + 1])
-                        body = u.piece(d, a, b + window - 1)
-                        out.append((values[k], region_hash(body), rows[i + d], ids[i + d], a, b - a, body))
-                yield pd.DataFrame(out, columns=["anchor", "region", "row", "id", "start", "windows", "body"])
+            texts, rows, ids, lists = encoded(batch["text"]), batch["row"].to_numpy(), batch["id"].to_numpy(), batch[column].to_numpy()
+            for i, j in text_slices(texts, SLICE):
+                u = units(texts[i:j], window, gram)
+                r = u.regions()
+                edge = np.searchsorted(r.text, np.arange(j - i + 1))
+                picked = [edge[d] + np.flatnonzero(np.isin(r.anchor[edge[d] : edge[d + 1]], np.asarray(lists[i + d], dtype=np.int64))) for d in range(j - i)]
+                at = np.concatenate(picked)
+                text, start, windows = r.text[at], r.start[at], r.windows[at]
+                body = [u.piece(d, a, a + n + window - 1) for d, a, n in zip(text.tolist(), start.tolist(), windows.tolist())]
+                yield pd.DataFrame({"anchor": r.anchor[at], "region": r.region[at], "row": rows[i + text], "id": ids[i + text], "start": start, "windows": windows, "body": body})
 
-    return docs.mapInPandas(run, "anchor long, region long, row long, id long, start int, windows int, body binary")
+    return docs.select("doc_id", "text", "row", "id", column).mapInPandas(run, "anchor long, region long, row long, id long, start int, windows int, body binary")
 
 
-def judged(distinct: DataFrame, kernel: Kernel) -> DataFrame:
-    """Verdicts of a kernel, which gets shards of whole anchors."""
+def judged(found: DataFrame, kernel: Kernel, across: bool) -> DataFrame:
+    """Runs of windows to remove (row, first, n), by a kernel that gets shards of whole anchors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys: list[list[tuple[int, int]]] = []
+        places: list[list[list[tuple[int, int, int]]]] = []
         groups: list[list[Region]] = []
+        last: tuple = (None, None)
         size = 0
 
         def close() -> pd.DataFrame:
             out = []
-            for names, said in zip(keys, kernel(groups)):
-                out += [(*name, at, n, low) for name, verdicts in zip(names, said) for at, n, low in verdicts]
-            keys.clear()
+            for where, said in zip(places, kernel(groups)):
+                for own, verdicts in zip(where, said):
+                    out += [(row, start + at, n) for row, i, start in own for at, n, low in verdicts if low < i or not across]
+            places.clear()
             groups.clear()
-            return pd.DataFrame(out, columns=["anchor", "region", "at", "n", "low"])
+            return pd.DataFrame(out, columns=["row", "first", "n"])
 
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if not keys or keys[-1][0][0] != row.anchor:
+            for anchor, region, row, i, start, windows, body in zip(*(batch[c].tolist() for c in ("anchor", "region", "row", "id", "start", "windows", "body"))):
+                if anchor != last[0]:
                     if size > SHARD:
                         yield close()
                         size = 0
-                    keys.append([])
+                    places.append([])
                     groups.append([])
-                keys[-1].append((row.anchor, row.region))
-                groups[-1].append((bytes(row.body), row.windows, row.low, row.copies))
-                size += len(row.body)
+                if (anchor, region) != last:
+                    places[-1].append([])
+                    groups[-1].append((body, windows, i, 0))
+                    size += len(body)
+                last = anchor, region
+                body, windows, low, copies = groups[-1][-1]
+                groups[-1][-1] = body, windows, min(low, i), copies + 1
+                places[-1][-1].append((row, i, start))
         yield close()
 
-    ordered = distinct.select("anchor", "region", "body", "windows", "low", "copies").repartition("anchor").sortWithinPartitions("anchor", "region")
-    return ordered.mapInPandas(run, "anchor long, region long, at int, n int, low long")
+    return found.repartition("anchor").sortWithinPartitions("anchor", "region").mapInPandas(run, "row long, first int, n int")
 
 
-def counted(distinct: DataFrame, pieces: Callable[[bytes, int], list[bytes]]) -> DataFrame:
-    """Verdicts on crowded anchors: a row for each window by its hash, counted without gathering."""
+def counted(found: DataFrame, pieces: Callable[[bytes, int], list[bytes]], across: bool) -> DataFrame:
+    """Windows to remove (row, first, n) of crowded anchors: a row for each window of each distinct region."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                digests = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces(bytes(row.body), row.windows)]
-                yield pd.DataFrame({"anchor": row.anchor, "region": row.region, "at": np.arange(row.windows, dtype=np.int32), "digest": digests, "low": row.low, "copies": row.copies})
+            for i in range(0, len(batch), 500):
+                part = batch.iloc[i : i + 500]
+                n = part["windows"].to_numpy()
+                digests = [hashlib.blake2b(p, digest_size=16).digest() for body, k in zip(part["body"], n) for p in pieces(bytes(body), k)]
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({c: np.repeat(part[c].to_numpy(), n) for c in ("anchor", "region", "low", "copies")} | {"at": at, "digest": digests})[["anchor", "region", "at", "digest", "low", "copies"]]
 
-    each = distinct.select("anchor", "region", "body", "windows", "low", "copies").mapInPandas(run, "anchor long, region long, at int, digest binary, low long, copies long")
+    distinct = found.groupBy("anchor", "region", "windows").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("body").alias("body"))
+    each = distinct.mapInPandas(run, "anchor long, region long, at int, digest binary, low long, copies long")
     known = each.groupBy("digest").agg(F.min("low").alias("least"), F.sum("copies").alias("total")).where("total > 1")
-    return each.join(known, "digest").select("anchor", "region", "at", F.lit(1).alias("n"), F.col("least").alias("low"))
+    said = each.join(known, "digest").select("anchor", "region", "at", "least")
+    at = found.select("anchor", "region", "row", "id", "start").join(said, ["anchor", "region"])
+    return (at.where("least < id") if across else at).select("row", (F.col("start") + F.col("at")).alias("first"), F.lit(1).alias("n"))
 
 
 def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, pieces, crowd: int, across: bool) -> DataFrame:
-    """doc_id and text of every row with `found`: runs of windows to remove, as first << 32 | count, or null.
+    """Every row's doc_id and text, with the anchors whose regions go whole (`gone`) and further runs of
+    windows that go (`found`, as first << 32 | count); both may be null.
 
     across: a window goes if an equal one starts in a row of a smaller id. Otherwise it goes if an
     equal one starts at any other place, of the same row or another.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
-    every = anchors(docs.select("row", "id", "text"), units, window, gram)
-    seen = every.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n"), F.max("many").alias("many"))
-    recurring = seen.where("lo < hi" if across else "n > 1 or many").select("anchor")
-    wanted = every.select("anchor", "row").join(recurring, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
-    found = regions(docs.join(wanted, "row").select("row", "id", "text", "wanted"), units, window, gram)
-    distinct = found.groupBy("anchor", "region", "windows").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("body").alias("body"))
-    sizes = distinct.groupBy("anchor").agg(F.count("*").alias("regions")).where(F.col("regions") > crowd).select("anchor")
-    said = judged(distinct.join(sizes, "anchor", "left_anti"), kernel).union(counted(distinct.join(sizes, "anchor", "left_semi"), pieces))
-    at = found.select("anchor", "region", "row", "id", "start").join(said, ["anchor", "region"])
+    every = anchors(docs, units, window, gram)
+    seen = every.groupBy("anchor").agg(
+        F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("places"), F.min("region").alias("r1"), F.max("region").alias("r2"), F.max("inner").alias("inner")
+    )
+    recurring = seen.where("lo < hi" if across else "places > 1 or inner").select("anchor", "lo", "places", (F.expr("r1 <> r2") | F.col("inner")).alias("differ"))
+    at = every.select("anchor", "row", "id").join(recurring, "anchor")
     if across:
-        at = at.where("low < id")
-    spans = at.groupBy("row").agg(F.collect_set(F.shiftleft((F.col("start") + F.col("at")).cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("found"))
-    return docs.join(spans, "row", "left").select("doc_id", "text", "found")
-
-
-def covered(found, window: int, units: int) -> np.ndarray:
-    """Which units the windows cover."""
-    if found is None or not len(found):
-        return np.zeros(units, dtype=bool)
-    found = np.asarray(found, dtype=np.int64)
-    step = np.zeros(units + 1, dtype=np.int32)
-    np.add.at(step, found >> 32, 1)
-    np.add.at(step, (found >> 32) + (found & 0xFFFFFFFF) + window - 1, -1)
-    return np.cumsum(step[:-1]) > 0
+        at = at.where("differ or lo < id")
+    pick = lambda condition: F.collect_set(F.when(condition, F.col("anchor")))
+    wanted = checkpoint(at.groupBy("row").agg(pick(F.expr("not differ")).alias("gone"), pick(F.expr(f"differ and places <= {crowd}")).alias("apart"), pick(F.expr(f"differ and places > {crowd}")).alias("crowded")))
+    some = lambda c: bodies(docs.join(wanted.where(F.size(c) > 0).select("row", c), "row"), c, units, window, gram)
+    spans = judged(some("apart"), kernel, across).union(counted(some("crowded"), pieces, across))
+    packed = spans.groupBy("row").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("found"))
+    return docs.join(wanted.select("row", "gone"), "row", "left").join(packed, "row", "left").select("doc_id", "text", "row", "id", "gone", "found")
+
+
+def covered(texts: list[bytes], gone, found, units, window: int, gram: int) -> Iterator[np.ndarray]:
+    """For each text of a batch, which of its units go."""
+    for i, j in text_slices(texts, SLICE):
+        u = units(texts[i:j], window, gram)
+        r = u.regions()
+        edge = np.searchsorted(r.text, np.arange(j - i + 1))
+        for d in range(j - i):
+            n = int(u.first[d + 1] - u.first[d])
+            begin, end = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            if gone[i + d] is not None and len(gone[i + d]):
+                at = edge[d] + np.flatnonzero(np.isin(r.anchor[edge[d] : edge[d + 1]], np.asarray(gone[i + d], dtype=np.int64)))
+                begin, end = r.start[at], r.start[at] + r.windows[at]
+            if found[i + d] is not None and len(found[i + d]):
+                packed = np.asarray(found[i + d], dtype=np.int64)
+                begin, end = np.append(begin, packed >> 32), np.append(end, (packed >> 32) + (packed & 0xFFFFFFFF))
+            step = np.zeros(n + 1, dtype=np.int64)
+            np.add.at(step, begin, 1)
+            np.add.at(step, end + window - 1, -1)
+            yield np.cumsum(step[:-1]) > 0

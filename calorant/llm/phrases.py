@@ -1,8 +1,9 @@
 """Substring deduplication of words by repeated-phrase automata.
 
-Recurring passages are confirmed word for word in shards by anchor, each shard's phrases are compiled
+Recurring passages are confirmed word for word in shards by anchor. Each shard's phrases are compiled
 to an Aho-Corasick automaton over word numbers, and the shard's regions, in which every occurrence
-must lie, are streamed through it to locate them.
+must lie, are streamed through it to locate them. Regions that are equal wherever their anchor stands
+need no automaton: they recur whole.
 """
 
 from __future__ import annotations
@@ -18,45 +19,63 @@ from calorant.llm import dedup, recurrence
 from calorant.llm.common import encoded
 
 WINDOW = 13
-GRAM = 5
-CROWD = 4096
+GRAM = 3
+CROWD = 65536
+
+
+#: Word numbers become characters from here on, past the surrogates.
+FIRST = 0xE000
 
 
 def kernel(window: int) -> dedup.Kernel:
     """Verdicts of one automaton per shard: for each window the smallest id of a region that holds it.
 
-    A region alone under its anchor is one phrase; where an anchor has several, their distinct
-    windows are phrases.
+    The phrases are the windows that several regions, or copies of one, hold. A word becomes one
+    character, so that the automaton has a node a word.
     """
 
     def judge(groups: list[list[dedup.Region]]) -> list[list[list[dedup.Verdict]]]:
         import ahocorasick
 
-        numbers: dict[bytes, int] = {}
-        texts = [[tuple([numbers.setdefault(w, len(numbers)) for w in body.split(b" ")]) for body, *_ in g] for g in groups]
-        phrases: dict[tuple[int, ...], int] = {}
-        for group, own in zip(groups, texts):
-            for (_, n, low, _), words in zip(group, own):
-                for phrase in [words] if len(group) == 1 else [words[i : i + window] for i in range(n)]:
-                    phrases[phrase] = min(low, phrases.get(phrase, low))
-        if not phrases:
-            return []
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, low in phrases.items():
-            automaton.add_word(phrase, (len(phrase), low))
+        numbers: dict[bytes, str] = {}
+        lows: dict[str, int] = {}
+        recurring: set[str] = set()
+        texts = []
+        for group in groups:
+            own = []
+            for body, n, low, copies in group:
+                text = "".join([numbers.get(w) or numbers.setdefault(w, chr(FIRST + len(numbers))) for w in body.split(b" ")])
+                own.append(text)
+                for i in range(n):
+                    phrase = text[i : i + window]
+                    before = lows.get(phrase)
+                    if before is None:
+                        lows[phrase] = low
+                    else:
+                        recurring.add(phrase)
+                        if low < before:
+                            lows[phrase] = low
+                    if copies > 1:
+                        recurring.add(phrase)
+            texts.append(own)
+        automaton = ahocorasick.Automaton()
+        for phrase in recurring:
+            automaton.add_word(phrase, lows[phrase])
+        if not recurring:
+            return [[[] for _ in own] for own in texts]
         automaton.make_automaton()
         out = []
         for own in texts:
             said = []
-            for words in own:
-                lows: list[dedup.Verdict] = []
-                for end, (length, low) in automaton.iter(words):
-                    at, n = end - length + 1, length - window + 1
-                    if lows and lows[-1][0] + lows[-1][1] == at and lows[-1][2] == low:
-                        lows[-1] = (lows[-1][0], lows[-1][1] + n, low)
+            for text in own:
+                runs: list[list[int]] = []
+                for end, low in automaton.iter(text):
+                    at = end - window + 1
+                    if runs and runs[-1][0] + runs[-1][1] == at and runs[-1][2] == low:
+                        runs[-1][1] += 1
                     else:
-                        lows.append((at, n, low))
-                said.append(lows)
+                        runs.append([at, 1, low])
+                said.append([tuple(r) for r in runs])
             out.append(said)
         return out
 
@@ -80,10 +99,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, found in zip(encoded(batch["text"]), batch["found"]):
+            texts = encoded(batch["text"])
+            for text, gone in zip(texts, dedup.covered(texts, batch["gone"], batch["found"], recurrence.Words, window, gram)):
                 words = text.split()
                 n = len(words)
-                gone = dedup.covered(found, window, n)
                 if gone.any():
                     words = [words[k] for k in np.flatnonzero(~gone)]
                 kept = b" ".join(words)

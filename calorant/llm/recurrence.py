@@ -11,6 +11,7 @@ they cover. Each window lies in exactly one region.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -68,74 +69,98 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - size : width - size + n])
 
 
-class Words:
-    """Texts as words; a window is `window` consecutive words."""
+def prefix_sum(values: np.ndarray) -> np.ndarray:
+    """Like prefix_hash, over 64-bit values."""
+    up, _ = powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[: len(values)], out=out[1:])
+    return out
+
+
+@dataclass(frozen=True)
+class Regions:
+    """Regions of a batch of texts in order: text, first window, windows, anchor, hash of its units."""
+
+    text: np.ndarray
+    start: np.ndarray
+    windows: np.ndarray
+    anchor: np.ndarray
+    region: np.ndarray
+    #: Whether a region holds several grams with its anchor's hash, so that windows of it may be equal.
+    inner: np.ndarray
+
+
+class Units:
+    """A batch of texts as units; first[d] is the place of text d's first unit among all.
+
+    inner: whether to find out which regions hold several grams of their anchor.
+    """
+
+    inner = False
+
+    def __init__(self, first: np.ndarray, prefix: np.ndarray, grams: np.ndarray, window: int, gram: int):
+        self.first, self.prefix, self.window = first, prefix, window
+        width = window - gram + 1
+        if not self.inner:
+            self.low = sliding_min(grams, width)
+            return
+        # the low bits of a gram's hash give way to its place, so that the least is the first or the last
+        size = np.uint64((1 << max(1, len(grams).bit_length())) - 1)
+        high, at = grams & ~size, np.arange(len(grams), dtype=np.uint64)
+        self.leftmost = sliding_min(high | at, width) & size
+        self.rightmost = size - (sliding_min(high | (size - at), width) & size)
+        self.low = grams[self.leftmost]
+
+    def regions(self) -> Regions:
+        n = np.maximum(self.first[1:] - self.first[:-1] - self.window + 1, 0)
+        text = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(text)) + np.repeat(self.first[:-1] - (np.cumsum(n) - n), n)
+        values = self.low[at]
+        cut = np.ones(len(at), dtype=bool)
+        cut[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+        head = np.flatnonzero(cut)
+        windows = np.diff(np.append(head, len(at)))
+        begin, anchor = at[head], values[head].view(np.int64)
+        inner = self.leftmost[begin] != self.rightmost[begin + windows - 1] if self.inner else np.zeros(len(begin), dtype=bool)
+        region = span_hash(self.prefix, begin, begin + windows + self.window - 1).view(np.int64)
+        return Regions(text[head], begin - self.first[text[head]], windows, anchor, region, inner)
+
+
+class Words(Units):
+    """Texts as words; equal windows of one text don't matter."""
 
     def __init__(self, texts: list[bytes], window: int, gram: int):
         data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-        gap = _SPACE[data]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).astype(np.int8)))
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data])).astype(np.int8)))
         self.data, self.start, self.stop = data, edge[::2], edge[1::2]
         ends = np.cumsum([len(t) + 1 for t in texts])
-        self.first = np.searchsorted(self.start, np.concatenate(([0], ends)))
-        self.window, self.gram, self.width = window, gram, window - gram + 1
+        first = np.searchsorted(self.start, np.concatenate(([0], ends)))
         words = span_hash(prefix_hash(data), self.start, self.stop)
         n = max(0, len(words) - gram + 1)
         sums = np.zeros(n, dtype=np.uint64)
         for k in range(gram):
             sums += words[k : k + n] * np.uint64(pow(_BASE, k + 1, 1 << 64))
-        self.words, self.low = words, sliding_min(mix(sums), self.width)
-
-    def units(self, d: int) -> int:
-        return int(self.first[d + 1] - self.first[d])
-
-    def anchors(self, d: int) -> np.ndarray:
-        """The anchor of each window of text d, as int64."""
-        a, n = self.first[d], self.units(d) - self.window + 1
-        return self.low[a : a + max(0, n)].view(np.int64)
-
-    def distinct(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors of text d; whether one stands at several places doesn't matter across texts."""
-        own = np.unique(self.anchors(d))
-        return own, np.zeros(len(own), dtype=bool)
+        super().__init__(first, prefix_sum(words), mix(sums), window, gram)
 
     def piece(self, d: int, i: int, j: int) -> bytes:
         """Units i to j of text d: words joined by one space."""
         a = self.first[d]
-        return b" ".join([self.data[x:y].tobytes() for x, y in zip(self.start[a + i : a + j], self.stop[a + i : a + j])])
+        return b" ".join(self.data[self.start[a + i] : self.stop[a + j - 1]].tobytes().split())
+
 
+class Bytes(Units):
+    """Texts as bytes; equal windows of one text matter."""
 
-class Bytes:
-    """Texts as bytes; a window is `window` consecutive bytes."""
+    inner = True
 
     def __init__(self, texts: list[bytes], window: int, gram: int):
         self.texts = texts
-        joined = b"".join(texts)
-        data = np.frombuffer(joined, dtype=np.uint8)
-        self.first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        self.window, self.width = window, window - gram + 1
-        n = max(0, len(data) - gram + 1)
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         prefix = prefix_hash(data)
+        n = max(0, len(data) - gram + 1)
         _, down = powers(len(data) + 1)
-        grams = mix((prefix[gram : gram + n] - prefix[:n]) * down[:n]) if n else np.zeros(0, np.uint64)
-        self.grams, self.low = grams.view(np.int64), sliding_min(grams, self.width)
-
-    def units(self, d: int) -> int:
-        return len(self.texts[d])
-
-    def anchors(self, d: int) -> np.ndarray:
-        a, n = self.first[d], self.units(d) - self.window + 1
-        return self.low[a : a + max(0, n)].view(np.int64)
-
-    def distinct(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors of text d, and whether each is the hash of several of its grams."""
-        cut, values = runs(self.anchors(d))
-        own, index = np.unique(values, return_inverse=True)
-        a, several = self.first[d], np.bincount(index, minlength=len(own)) > 1
-        for k, (i, j) in enumerate(zip(cut[:-1] + a, cut[1:] + a + self.width - 1)):
-            if not several[index[k]] and np.count_nonzero(self.grams[i:j] == values[k]) > 1:
-                several[index[k]] = True
-        return own, several
+        super().__init__(first, prefix, mix((prefix[gram : gram + n] - prefix[:n]) * down[:n]), window, gram)
 
     def piece(self, d: int, i: int, j: int) -> bytes:
         return self.texts[d][i:j]

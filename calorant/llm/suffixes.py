@@ -19,10 +19,13 @@ from pyspark.sql import DataFrame
 
 from calorant.llm import dedup, recurrence
 from calorant.llm.common import encoded
+from calorant.llm.recurrence import prefix_hash, span_hash
 
 WINDOW = 400
 GRAM = 32
-CROWD = 4096
+CROWD = 16384
+#: Words longer than this, as in text without blanks, are taken byte by byte.
+LONGEST = 64
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -43,6 +46,20 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
     end = n - 1
     while end >= 0:
         head = group[order[end]]
+        if head == end:
+            i = order[end]
+            p = i - 1
+            while p >= 0 and group[p] >= head:
+                p = smaller[p]
+            smaller[i] = p
+            end -= 1
+            if p >= 0 and last[own := group[p]] > own:
+                to, at = last[own], place[p]
+                other = order[to]
+                order[to], order[at], place[p], place[other] = p, other, to, at
+                group[p] = last[to] = to
+                last[own] = to - 1
+            continue
         members = order[head : end + 1]
         members.sort()
         pointed: dict[int, int] = {}
@@ -88,40 +105,97 @@ def suffix_array(symbols: np.ndarray) -> list[int]:
     return out[1:]
 
 
-def recurring_windows(group: list[dedup.Region], window: int) -> list[np.ndarray]:
-    """For each region, which of its windows also start elsewhere in the regions or their copies.
-
-    The regions are joined with a separator below all bytes. Equal windows stand together in the
-    suffix array among the starts of windows; neighbours are compared by hash, then as bytes.
+def common_length(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of the bytes at a and at b, `most` at most, by binary search on hashes."""
+    low, high = np.zeros(len(a), dtype=np.int64), most.astype(np.int64)
+    while True:
+        open_ = np.flatnonzero(low < high)
+        if not len(open_):
+            return low
+        mid = (low[open_] + high[open_] + 1) // 2
+        x, y = a[open_], b[open_]
+        same = span_hash(prefix, x, x + mid) == span_hash(prefix, y, y + mid)
+        low[open_[same]] = mid[same]
+        high[open_[~same]] = mid[~same] - 1
+
+
+def symbols_of(group: list[dedup.Region]) -> list[list[bytes]]:
+    """Each region as words, each with the blank after it; as bytes if any region has a word above LONGEST."""
+    out = []
+    for body, *_ in group:
+        words = [w + b" " for w in body.split(b" ")]
+        words[-1] = words[-1][:-1]
+        out.append(words)
+    if max(len(w) for words in out for w in words) > LONGEST:
+        return [[body[i : i + 1] for i in range(len(body))] for body, *_ in group]
+    return out
+
+
+def recurring_windows(groups: list[list[dedup.Region]], window: int) -> list[np.ndarray]:
+    """For each region of the groups in turn, which of its windows also start elsewhere in its group or in copies.
+
+    The suffix array is of the regions' words, ranked as bytes and with a separator below all of them
+    between regions. Among suffixes that start at a word, the longest common prefix in bytes is with a
+    neighbour, so the array decides every window that starts at a word, and those inside the word that
+    the same match covers. A window that starts inside a word whose beginning differs is decided by an
+    exact check where the suffix at the next word matches far enough.
     """
-    symbols = np.concatenate([np.append(np.frombuffer(body, dtype=np.uint8).astype(np.int64) + 1, 0) for body, *_ in group])
-    joined = b"\0".join(body for body, *_ in group) + b"\0"
-    starts = np.cumsum([0, *(len(body) + 1 for body, *_ in group)])
-    copies, is_start = np.zeros(len(symbols), dtype=np.int64), np.zeros(len(symbols), dtype=bool)
-    for (_, n, _, c), at in zip(group, starts):
-        is_start[at : at + n], copies[at : at + n] = True, c
-    array = np.array(suffix_array(symbols))
-    array = array[is_start[array]]
-    prefix = recurrence.prefix_hash(np.frombuffer(joined, dtype=np.uint8))
-    hashes = recurrence.span_hash(prefix, array, array + window)
-    same = np.flatnonzero(hashes[1:] == hashes[:-1])
-    again = copies > 1
-    for k in same:
-        a, b = array[k], array[k + 1]
-        if joined[a : a + window] == joined[b : b + window]:
-            again[a] = again[b] = True
-    return [again[at : at + n] for (_, n, _, _), at in zip(group, starts)]
+    group = [region for g in groups for region in g]
+    bodies = [body for body, *_ in group]
+    words = [own for g in groups for own in symbols_of(g)]
+    rank = {w: k + 1 for k, w in enumerate(sorted({w for own in words for w in own}))}
+    symbols = np.array([x for own in words for x in (*map(rank.__getitem__, own), 0)], dtype=np.int64)
+    size = np.array([x for own in words for x in (*map(len, own), 1)], dtype=np.int64)
+    place = np.cumsum(size) - size
+    joined = b"\0".join(bodies) + b"\0"
+    starts = np.cumsum([0, *(len(body) + 1 for body in bodies)])
+    stop = np.repeat(starts[1:] - 1, [len(own) + 1 for own in words])
+    order = np.array(suffix_array(symbols))
+    order = order[symbols[order] > 0]
+    prefix = prefix_hash(np.frombuffer(joined, dtype=np.uint8))
+    a, b = order[:-1], order[1:]
+    length = common_length(prefix, place[a], place[b], np.minimum(np.minimum(stop[a] - place[a], stop[b] - place[b]), window + np.maximum(size[a], size[b])))
+    match = np.zeros(len(symbols), dtype=np.int64)
+    np.maximum.at(match, a, length)
+    np.maximum.at(match, b, length)
+    n = len(joined)
+    mine, copied = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    for (_, k, _, copies), at in zip(group, starts):
+        mine[at : at + k], copied[at : at + k] = True, copies > 1
+
+    def between(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        step = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(step, begin, 1)
+        np.add.at(step, end, -1)
+        return np.cumsum(step[:-1]) > 0
+
+    far = np.flatnonzero(match >= window)
+    again = between(place[far], place[far] + np.minimum(match[far] - window + 1, size[far])) & mine | copied
+    # inside the word before: as many bytes before the suffix as its match lacks, at least
+    near = np.flatnonzero((match[1:] >= window - size[:-1]) & (symbols[:-1] > 0) & (symbols[1:] > 0)) + 1
+    inside = between(place[near - 1], place[near] - np.maximum(window - match[near], 1) + 1) & mine
+    unsure = np.flatnonzero(inside & ~again)
+    if len(unsure):
+        able = np.flatnonzero(inside)
+        hashes = span_hash(prefix, able, able + window)
+        able = able[np.isin(hashes, span_hash(prefix, unsure, unsure + window))]
+        seen: dict[bytes, int] = {}
+        for at in able.tolist():
+            body = joined[at : at + window]
+            if (other := seen.setdefault(body, at)) != at:
+                again[at] = again[other] = True
+    return [again[at : at + k] for (_, k, _, _), at in zip(group, starts)]
 
 
 def kernel(window: int) -> dedup.Kernel:
-    """Suffix-array verdicts. A region alone under its anchor that has copies recurs whole."""
+    """Suffix-array verdicts. An anchor all of whose regions have copies needs no array."""
 
     def judge(groups: list[list[dedup.Region]]) -> list[list[list[dedup.Verdict]]]:
         out: list[list[list[dedup.Verdict]]] = [[[(0, n, low)] if copies > 1 else [] for _, n, low, copies in g] for g in groups]
-        hard = [k for k, g in enumerate(groups) if any(copies == 1 for *_, copies in g)]
-        flat = [(k, r) for k in hard for r in range(len(groups[k]))]
-        if flat:
-            for (k, r), again in zip(flat, recurring_windows([groups[k][r] for k, r in flat], window)):
+        open_ = [k for k, g in enumerate(groups) if any(copies == 1 for *_, copies in g)]
+        if open_:
+            flat = [(k, r) for k in open_ for r in range(len(groups[k]))]
+            for (k, r), again in zip(flat, recurring_windows([groups[k] for k in open_], window)):
                 cut, values = recurrence.runs(again)
                 out[k][r] = [(int(a), int(b - a), groups[k][r][2]) for a, b, v in zip(cut[:-1], cut[1:], values) if v]
         return out
@@ -144,8 +218,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, found in zip(encoded(batch["text"]), batch["found"]):
-                gone = dedup.covered(found, window, len(text))
+            texts = encoded(batch["text"])
+            for text, gone in zip(texts, dedup.covered(texts, batch["gone"], batch["found"], recurrence.Bytes, window, gram)):
                 kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if gone.any() else text
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
