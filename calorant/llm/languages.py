@@ -146,7 +146,8 @@ def fit(docs: DataFrame) -> Model:
                 w = Words([t for t in own["text"] if isinstance(t, str)])
                 grams[lang] = grams.get(lang, 0) + np.bincount(w.gram, minlength=BUCKETS)
                 scripts[lang] = scripts.get(lang, 0) + np.bincount(w.script, w.size, len(NAMES))
-        yield pd.DataFrame({"lang": list(grams), "grams": [x.astype("<i8").tobytes() for x in grams.values()], "scripts": [x.astype("<i8").tobytes() for x in scripts.values()]})
+        if grams:
+            yield pd.DataFrame({"lang": list(grams), "grams": [x.astype("<i8").tobytes() for x in grams.values()], "scripts": [x.astype("<i8").tobytes() for x in scripts.values()]}, dtype=object)
 
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
