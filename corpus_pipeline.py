@@ -24,8 +24,8 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts with a main language, and gives it to rows without one. Null and empty texts go."""
     said = languages.predictor(languages.fit(docs))(F.col("text"))
-    kept = docs.withColumn("said", said).where((F.col("said.lang_pred") != languages.UNDETERMINED) & (F.col("said.score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "said.lang_pred")).select(*docs.columns)
+    kept = docs.withColumn("_language", said).where((F.col("_language.lang_pred") != languages.UNDETERMINED) & (F.col("_language.score") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", "_language.lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
