@@ -81,3 +81,13 @@ def change_points(logs: list[DataFrame]) -> DataFrame:
     for log in logs[1:]:
         out = out.unionByName(log)
     return out.distinct()
+
+
+def bitemporal_join(df: DataFrame, history: DataFrame, keys: list[str], begin: str, end: str, t: str) -> DataFrame:
+    """df with the version of its keys that was in force over [begin, end] as far as known at t; a left join."""
+    match = known_at(F.col(f"_l.{t}"), "_h.known_from_utc", "_h.known_to_utc")
+    match = match & (F.col("_h.effective_from_utc") <= F.col(f"_l.{begin}")) & (F.col("_h.effective_to_utc").isNull() | (F.col(f"_l.{end}") <= F.col("_h.effective_to_utc")))
+    for k in keys:
+        match = match & (F.col(f"_l.{k}") == F.col(f"_h.{k}"))
+    hidden = {*keys, "known_from_utc", "known_to_utc", "effective_from_utc", "effective_to_utc"}
+    return df.alias("_l").join(history.alias("_h"), match, "left").select("_l.*", *(f"_h.{c}" for c in history.columns if c not in hidden))
