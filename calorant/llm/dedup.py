@@ -30,7 +30,7 @@ from calorant.llm.common import checkpoint, encoded, text_slices
 
 NO_ID = (1 << 63) - 1
 SHARD = 400_000
-SLICE = 1_000_000
+SLICE = 400_000
 
 #: One distinct region: its units as bytes, the number of its windows, the smallest id that has it, its copies.
 Region = tuple[bytes, int, int, int]

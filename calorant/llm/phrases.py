@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from calorant.llm import dedup, recurrence
-from calorant.llm.common import encoded
+from calorant.llm.common import encoded, text_slices
 
 WINDOW = 13
 GRAM = 3
@@ -98,18 +98,19 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            texts = encoded(batch["text"])
-            for text, gone in zip(texts, dedup.covered(texts, batch["gone"], batch["found"], recurrence.Words, window, gram)):
-                words = text.split()
-                n = len(words)
-                if gone.any():
-                    words = [words[k] for k in np.flatnonzero(~gone)]
-                kept = b" ".join(words)
-                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-            frame = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield frame
+            texts, ids = encoded(batch["text"]), batch["doc_id"].astype("Int64")
+            for i, j in text_slices(texts, dedup.SLICE):
+                out = []
+                for text, gone in zip(texts[i:j], dedup.covered(texts[i:j], batch["gone"].iloc[i:j].tolist(), batch["found"].iloc[i:j].tolist(), recurrence.Words, window, gram)):
+                    words = text.split()
+                    n = len(words)
+                    if gone.any():
+                        words = [words[k] for k in np.flatnonzero(~gone)]
+                    kept = b" ".join(words)
+                    out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+                frame = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept"])
+                frame.insert(0, "doc_id", ids.iloc[i:j].to_numpy())
+                yield frame
 
     found = dedup.removals(docs, recurrence.Words, window, gram, kernel(window), pieces, crowd, across=True)
     return found.mapInPandas(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

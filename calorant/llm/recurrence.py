@@ -25,7 +25,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-@lru_cache(1)
+@lru_cache(2)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.empty(size, dtype=np.uint64)
     down = np.empty(size, dtype=np.uint64)
@@ -40,7 +40,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least `size` of each."""
-    return _powers(1 << max(21, (size - 1).bit_length()))
+    return _powers(1 << max(19, (size - 1).bit_length()))
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

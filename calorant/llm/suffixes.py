@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from calorant.llm import dedup, recurrence
-from calorant.llm.common import encoded
+from calorant.llm.common import encoded, text_slices
 from calorant.llm.recurrence import prefix_hash, span_hash
 
 WINDOW = 400
@@ -217,15 +217,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cro
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            texts = encoded(batch["text"])
-            for text, gone in zip(texts, dedup.covered(texts, batch["gone"], batch["found"], recurrence.Bytes, window, gram)):
-                kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if gone.any() else text
-                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            yield frame
+            texts, ids = encoded(batch["text"]), batch["doc_id"].astype("Int64")
+            for i, j in text_slices(texts, dedup.SLICE):
+                out = []
+                for text, gone in zip(texts[i:j], dedup.covered(texts[i:j], batch["gone"].iloc[i:j].tolist(), batch["found"].iloc[i:j].tolist(), recurrence.Bytes, window, gram)):
+                    kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if gone.any() else text
+                    spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+                    out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+                frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                frame.insert(0, "doc_id", ids.iloc[i:j].to_numpy())
+                yield frame
 
     found = dedup.removals(docs, recurrence.Bytes, window, gram, kernel(window), pieces, crowd, across=False)
     return found.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
