@@ -163,7 +163,7 @@ def fit(docs: DataFrame) -> Model:
 
 
 def predictor(model: Model):
-    """A column function from text to a struct of lang_pred and score."""
+    """A column function from text to a struct of lang_pred and score; run once where a filter uses it too."""
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def of(column: pd.Series) -> pd.DataFrame:
@@ -172,7 +172,7 @@ def predictor(model: Model):
             out.append(predict(texts[i:j], model, False))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
 
-    return of
+    return of.asNondeterministic()
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
