@@ -27,6 +27,11 @@ UNITS = (
     "second|seconds|minute|minutes|hour|hours|day|days|week|weeks|month|months|year|years|degree|degrees|dollar|dollars|euro|euros|cent|cents|watt|watts|volt|volts"
 )
 NAME_RULE = r"([\p{Ll}\p{N},;:] )\p{Lu}\p{L}+"
+#: A token of the whole form: a run of capitalised words, a number with separators and decimals, or a word. {once} is + where
+#: groups can be possessive, which keeps long runs off Java's stack, and empty elsewhere.
+NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+"
+WHOLE = NAME + r"(?:(?:[ \t\r\n]+|-)" + NAME + r")*{once}|[0-9]+(?:[.,][0-9]+)*{once}|\p{L}+\p{N}*|\p{N}+"
+NAMED = r"^\p{Lu}['’\p{L}]"
 
 
 def _normal(text: Column) -> Column:
@@ -47,7 +52,21 @@ def template(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(numbered, f" zznum  ({UNITS}) ", " zznum  zzunit ")), "  ")
 
 
-def hashed_windows(df: DataFrame, window: int) -> DataFrame:
+def whole_words(text: Column) -> Column:
+    """Words of a text in lower case, with a whole number and a whole run of capitalised words as one each."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WHOLE.replace("{once}", "+")), F.lit(0)), lambda v: F.lower(v))
+
+
+def whole_template(text: Column) -> Column:
+    """whole_words() with placeholders: one for a whole number, and one for a whole run of capitalised words wherever it stands."""
+    units = UNITS.split("|")
+    digit = lambda v: F.substring(v, 1, 1).between("0", "9")
+    form = lambda t, v, k: F.when(digit(v), "zznum").when(v.rlike(NAMED), "zzname").when(F.lower(v).isin(units) & (k > 0) & digit(F.get(t, k - 1)), "zzunit").otherwise(F.lower(v))
+    found = F.regexp_extract_all(text, F.lit(WHOLE.replace("{once}", "+")), F.lit(0))
+    return F.transform(F.array(found), lambda t: F.transform(t, lambda v, k: form(t, v, k)))[0]
+
+
+def hashed_windows(df: DataFrame, window: int, template=template) -> DataFrame:
     """df (with text, not null) with position (from 1) and hash of each window of its template, in place of its text."""
     own = [c for c in df.columns if c != "text"]
     # bound to a lambda's variable, so that the words are made once a text and not once a window
@@ -57,7 +76,7 @@ def hashed_windows(df: DataFrame, window: int) -> DataFrame:
     return arrays.select(*own, F.posexplode("windows").alias("position", "hash")).withColumn("position", F.col("position") + 1)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, matches: int = MATCHES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, matches: int = MATCHES, template=template, words=words) -> DataFrame:
     """Pairs of document and item that it holds: doc_id, item_id, windows (that match) and slots (placeholders checked).
 
     A row for each pair, with the occurrence of most windows. A document without matches gives no
@@ -70,12 +89,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     items = benchmark.where("text is not null and item_id is not null").select("item_id", "text").distinct()
     token = items.select("item_id", F.posexplode(F.arrays_zip(template(F.col("text")).alias("form"), words(F.col("text")).alias("value"))).alias("at", "t")).select("item_id", (F.col("at") + 1).alias("at"), "t.form", "t.value")
     slots = token.where("form in ('zznum', 'zzunit', 'zzname')")
-    keys = hashed_windows(items, window)
+    keys = hashed_windows(items, window, template)
     holes = keys.join(slots.select("item_id", "at"), "item_id").where(f"at between position and position + {window - 1}").groupBy("item_id", "position").agg(F.count("*").alias("holes"))
     keys = keys.join(holes, ["item_id", "position"], "left").where(F.coalesce("holes", F.lit(0)) <= window - literal).select("item_id", F.col("position").alias("item_position"), "hash")
     needed = keys.groupBy("item_id").agg(F.least(F.count("*"), F.lit(matches)).alias("needed"))
     few = keys.limit(BROADCAST + 1).count() <= BROADCAST
-    hits = hashed_windows(docs.select("row", "text"), window).join(F.broadcast(keys) if few else keys, "hash").select("row", "item_id", "position", "item_position", (F.col("position") - F.col("item_position")).alias("diagonal"))
+    hits = hashed_windows(docs.select("row", "text"), window, template).join(F.broadcast(keys) if few else keys, "hash").select("row", "item_id", "position", "item_position", (F.col("position") - F.col("item_position")).alias("diagonal"))
     runs = hits.groupBy("row", "item_id", "diagonal").agg(F.countDistinct("item_position").alias("windows"), F.collect_set("item_position").alias("positions"))
     runs = runs.join(needed, "item_id").where("windows >= needed").drop("needed")
     # the slots of each occurrence: an item's value and what stands in its place in the document
@@ -87,9 +106,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     return docs.select("row", "doc_id").join(best, "row").groupBy("doc_id", "item_id").agg(F.max("b").alias("b")).select("doc_id", "item_id", "b.windows", "b.slots")
 
 
+def contaminated_whole(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contaminated() by either form of template, with the better occurrence of a pair.
+
+    The whole form finds items with other names at sentence starts, names and numbers of other token
+    counts; the plain one finds what has too few words besides the whole form's placeholders.
+    """
+    found = contaminated(docs, benchmark).unionByName(contaminated(docs, benchmark, template=whole_template, words=whole_words))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", "slots")).alias("b"))
+    return best.select("doc_id", "item_id", "b.windows", "b.slots")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(contaminated_whole(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def _sql_template(text: str) -> tuple[str, str]:
@@ -99,8 +129,22 @@ def _sql_template(text: str) -> tuple[str, str]:
     return f"string_split(trim({form}), '  ')", f"string_split(trim({normal(text)}), '  ')"
 
 
-def oracle(window: int = WINDOW, literal: int = LITERAL, matches: int = MATCHES) -> str:
-    form, value = _sql_template("text")
+def _sql_whole(text: str) -> tuple[str, str]:
+    pattern, named = WHOLE.replace("{once}", "").replace("'", "''"), NAMED.replace("'", "''")
+    units = ", ".join(f"'{u}'" for u in UNITS.split("|"))
+    found = f"regexp_extract_all({text}, '{pattern}')"
+    digit = lambda v: f"{v}[1] BETWEEN '0' AND '9'"
+    form = f"list_transform({found}, lambda v, k: CASE WHEN {digit('v')} THEN 'zznum' WHEN regexp_matches(v, '{named}') THEN 'zzname' WHEN lower(v) IN ({units}) AND k > 1 AND {digit(f'({found})[k - 1]')} THEN 'zzunit' ELSE lower(v) END)"
+    return form, f"list_transform({found}, lambda v: lower(v))"
+
+
+def whole_oracle() -> str:
+    rows = f"SELECT * FROM ({oracle()}) UNION ALL SELECT * FROM ({oracle(sql=_sql_whole)})"
+    return f"SELECT doc_id, item_id, m.w AS windows, m.s AS slots FROM (SELECT doc_id, item_id, max({{'w': windows, 's': slots}}) AS m FROM ({rows}) GROUP BY ALL)"
+
+
+def oracle(window: int = WINDOW, literal: int = LITERAL, matches: int = MATCHES, sql=_sql_template) -> str:
+    form, value = sql("text")
     hole = "('zznum', 'zzunit', 'zzname')"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {form} AS f, {value} AS v FROM documents WHERE text IS NOT NULL),

@@ -38,6 +38,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_whole(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out))
@@ -62,8 +66,8 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op4_secrets, op5_decontamination, op5_whole_items, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.oracle()}
+    return {"op5_decontamination": decontamination.oracle(), "op5_whole_items": decontamination.whole_oracle()}
