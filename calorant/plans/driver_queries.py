@@ -116,6 +116,18 @@ def q09_pure_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("range_id", "event_type").agg(F.count("*").alias("events"), F.sum(F.col("value").cast("decimal(18,6)")).alias("total"))
 
 
+@query("""
+WITH r AS (SELECT c_custkey AS range_id, TIMESTAMP '2024-01-01' + (c_custkey % 20) * INTERVAL 1 DAY AS a, TIMESTAMP '2024-01-01' + (c_custkey % 20) * INTERVAL 1 DAY + (1 + c_custkey % 5) * INTERVAL 13 HOUR AS b FROM customer)
+SELECT range_id, event_type, count(*) AS events, sum(CAST(value AS DECIMAL(18,6))) AS total FROM events JOIN r ON ts >= a AND ts < b GROUP BY ALL""")
+def q09_whole_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 20).cast("int"))
+    ranges_of = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("range_id"), start.alias("a"), (start + F.make_dt_interval(hours=((1 + F.col("c_custkey") % 5) * 13).cast("int"))).alias("b"))
+    # many customers have one range: events are totalled once a range, and the customers joined to the totals
+    joined = ranges.containment_join(read(spark, sf_dir, "events").select("ts", "event_type", "value"), ranges_of.select("a", "b").distinct(), "ts", "a", "b")
+    totals = joined.groupBy("a", "b", "event_type").agg(F.count("*").alias("events"), F.sum(F.col("value").cast("decimal(18,6)")).alias("total"))
+    return ranges_of.join(totals, ["a", "b"]).select("range_id", "event_type", "events", "total")
+
+
 @query(f"""
 WITH r AS (SELECT user_id, event_id, ts, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS register, event_type FROM ({REVISION_LOG})),
 p AS (SELECT *, lag(register) OVER w AS opening, lag(event_type) OVER w AS opening_type FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
