@@ -195,6 +195,17 @@ def q12_summary_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_suppkey", F.col("expected_count").alias("expected"), F.col("applicable_count").alias("applicable"), F.col("accepted_count").alias("accepted"), "sla_status", "sla_percent", "net_gbp")
 
 
+@query(KERNEL.replace("l_suppkey, commitment_status", "l_suppkey, l_returnflag, commitment_status") + """, s AS (SELECT l_suppkey, l_linenumber, l_returnflag, count(*) AS expected, count(committed_mwh) = count(*) AS complete, count(*) FILTER (WHERE committed_mwh > 0) AS applicable, count(*) FILTER (WHERE committed_mwh > 0 AND delivered_mwh IS NOT NULL) AS accepted,
+  sum(committed_mwh) AS committed, sum(sla_numerator_mwh) AS sla_n, sum(net_gbp) AS net, count(*) FILTER (WHERE financial_status <> 'final') AS open_financial FROM facts GROUP BY ALL)
+SELECT l_suppkey, l_linenumber, l_returnflag, expected, applicable, accepted, CASE WHEN complete AND applicable = 0 THEN 'not_applicable' WHEN complete AND accepted = applicable THEN 'final' ELSE 'provisional' END AS sla_status,
+ CASE WHEN complete AND accepted = applicable AND applicable > 0 THEN CAST(round_even(CAST(100 * sla_n AS DOUBLE) / CAST(committed AS DOUBLE), 6) AS DECIMAL(20,6)) END AS sla_percent, CASE WHEN complete AND accepted = applicable AND open_financial = 0 THEN net END AS net_gbp FROM s""")
+def q12_whole_summary_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from calorant.plans.product import summary
+
+    got = summary(kernel_facts(spark, sf_dir), ["l_suppkey", "l_linenumber", "l_returnflag"])
+    return got.select("l_suppkey", "l_linenumber", "l_returnflag", F.col("expected_count").alias("expected"), F.col("applicable_count").alias("applicable"), F.col("accepted_count").alias("accepted"), "sla_status", "sla_percent", "net_gbp")
+
+
 @query("SELECT l_orderkey, CASE WHEN count(*) = 1 THEN max(CAST(l_extendedprice AS DECIMAL(18,2))) END AS only_price FROM lineitem GROUP BY 1")
 def q13_singleton_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(relations.only(F.col("l_extendedprice").cast("decimal(18,2)")).alias("only_price"))
