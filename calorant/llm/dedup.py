@@ -1,19 +1,18 @@
 """The plan shared by the operators that remove recurring passages, of words or of bytes.
 
-1. Every document gives its regions' anchors, and anchors of one place alone are dropped by a
-   pre-aggregated count. Where all regions of an anchor are equal, they recur whole and nothing is
-   left to judge; the document needs the anchor alone.
-2. Where an anchor has different regions, these are brought together by anchor, and a kernel
-   (repeated-phrase automata for words, suffix arrays for bytes) says of each window whether, and
-   where first, it recurs.
-3. What the windows cover is removed from the documents.
-
-An anchor that has different regions and stands in more than `crowd` places isn't gathered in one
-task: its distinct regions are pre-aggregated and each of their windows becomes a row, by a 128-bit
-hash, that is counted without gathering.
-
-Documents are told apart by a 64-bit hash of id and text, so rows that share an id or have none stay
-apart, and regions of one anchor by a 64-bit hash of their units. A null id counts as the largest.
+1. Rows of equal text are one class, by a 128-bit cut of SHA-256, counted before anything is shuffled.
+   One member, with the smallest id, is judged; the others follow from it.
+2. Every text gives its regions' anchors, and anchors of one class alone are dropped by a pre-aggregated count.
+3. The regions of the remaining anchors are brought together by anchor with all their units, and a
+   kernel (repeated-phrase automata for words, suffix arrays for bytes) says of each window whether,
+   and where first, it recurs. It compares units, not hashes.
+4. What the windows cover is removed from the documents.
+
+An anchor with more than `crowd` regions isn't gathered in one task: its distinct regions are
+pre-aggregated and each of their windows becomes a row, by a 128-bit hash, counted without gathering.
+
+A text longer than SLICE is worked on in pieces that overlap by a window less a unit, so memory
+doesn't grow with it beyond the text itself. A null id counts as the largest.
 """
 
 from __future__ import annotations
@@ -31,147 +30,177 @@ from calorant.llm.common import checkpoint, encoded, text_slices
 NO_ID = (1 << 63) - 1
 SHARD = 400_000
 SLICE = 400_000
+#: Crowded anchors are broadcast up to this many (of 8 bytes); beyond, both sides are shuffled.
+BROADCAST = 500_000
 
 #: One distinct region: its units as bytes, the number of its windows, the smallest id that has it, its copies.
 Region = tuple[bytes, int, int, int]
-#: A run of windows: the first, how many, and the smallest id with an equal window.
-Verdict = tuple[int, int, int]
+#: A run of windows: the first, how many, the smallest id with an equal window, and the level.
+Verdict = tuple[int, int, int, int]
 #: Judges anchors' distinct regions, several anchors at a time. Gives the verdicts on the windows that
 #: recur, for every region of every anchor.
 Kernel = Callable[[list[list[Region]]], list[list[list[Verdict]]]]
 
 
-def anchors(docs: DataFrame, units, window: int, gram: int) -> DataFrame:
-    """A row for each region of each row: anchor, row, id, the region's hash, and whether it may repeat itself."""
+def pieces(texts: list[bytes], units, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Slices of a batch, long texts cut: of each piece the text's number, its first unit, how many units windows may start at, and its bytes."""
+    cut = [(d, *piece) for d, text in enumerate(texts) for piece in (units.cut(text, SLICE, reach) if len(text) > SLICE else [(0, NO_ID, text)])]
+    for i, j in text_slices([c[3] for c in cut], SLICE):
+        text, first, most, own = zip(*cut[i:j])
+        yield np.array(text), np.array(first, dtype=np.int64), np.array(most, dtype=np.int64), list(own)
+
+
+def anchors(docs: DataFrame, units, window: int, gram: int, reach: int) -> DataFrame:
+    """A row for each region of each row: anchor and row, and for units of which equal windows of one text matter, whether it may hold some."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, rows, ids = encoded(batch["text"]), batch["row"].to_numpy(), batch["id"].to_numpy()
-            for i, j in text_slices(texts, SLICE):
-                r = units(texts[i:j], window, gram).regions()
-                yield pd.DataFrame({"anchor": r.anchor, "row": rows[i + r.text], "id": ids[i + r.text], "region": r.region, "inner": r.inner})
+            rows = batch["row"].to_numpy()
+            for text, _, most, own in pieces(encoded(batch["text"]), units, reach):
+                r = units(own, window, gram, most).regions()
+                out = {"anchor": r.anchor, "row": rows[text[r.text]]}
+                if units.inner:
+                    order = np.lexsort((r.anchor, r.text))
+                    again = np.zeros(len(order), dtype=bool)
+                    again[order[1:]] = (np.diff(r.text[order]) == 0) & (np.diff(r.anchor[order]) == 0)
+                    out["own"] = r.inner | again | (most[r.text] < NO_ID)
+                yield pd.DataFrame(out)
 
-    return docs.select("row", "id", "text").mapInPandas(run, "anchor long, row long, id long, region long, inner boolean")
+    return docs.select("row", "text").mapInPandas(run, "anchor long, row long" + ", own boolean" * units.inner)
 
 
-def bodies(docs: DataFrame, column: str, units, window: int, gram: int) -> DataFrame:
-    """Regions, with their units, of the anchors that `column` lists of each row."""
+def bodies(docs: DataFrame, units, window: int, gram: int, reach: int) -> DataFrame:
+    """Regions, with their units, of the anchors that each row lists. Windows of a region may reach `reach` units."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, rows, ids, lists = encoded(batch["text"]), batch["row"].to_numpy(), batch["id"].to_numpy(), batch[column].to_numpy()
-            for i, j in text_slices(texts, SLICE):
-                u = units(texts[i:j], window, gram)
+            rows, ids, copies, lists = (batch[c].to_numpy() for c in ("row", "id", "copies", "anchors"))
+            for text, first, most, own in pieces(encoded(batch["text"]), units, reach):
+                u = units(own, window, gram, most)
                 r = u.regions()
-                edge = np.searchsorted(r.text, np.arange(j - i + 1))
-                picked = [edge[d] + np.flatnonzero(np.isin(r.anchor[edge[d] : edge[d + 1]], np.asarray(lists[i + d], dtype=np.int64))) for d in range(j - i)]
-                at = np.concatenate(picked)
-                text, start, windows = r.text[at], r.start[at], r.windows[at]
-                body = [u.piece(d, a, a + n + window - 1) for d, a, n in zip(text.tolist(), start.tolist(), windows.tolist())]
-                yield pd.DataFrame({"anchor": r.anchor[at], "region": r.region[at], "row": rows[i + text], "id": ids[i + text], "start": start, "windows": windows, "body": body})
+                edge = np.searchsorted(r.text, np.arange(len(own) + 1))
+                at = np.concatenate([edge[k] + np.flatnonzero(np.isin(r.anchor[edge[k] : edge[k + 1]], np.asarray(lists[d], dtype=np.int64))) for k, d in enumerate(text)])
+                piece, start, windows = r.text[at], r.start[at], r.windows[at]
+                d = text[piece]
+                body = [u.piece(k, a, a + n + reach - 1) for k, a, n in zip(piece.tolist(), start.tolist(), windows.tolist())]
+                yield pd.DataFrame({"anchor": r.anchor[at], "row": rows[d], "id": ids[d], "copies": copies[d], "start": first[piece] + start, "windows": windows, "body": body})
+
+    return docs.select("text", "row", "id", "copies", "anchors").mapInPandas(run, "anchor long, row long, id long, copies long, start long, windows int, body binary")
+
 
-    return docs.select("doc_id", "text", "row", "id", column).mapInPandas(run, "anchor long, region long, row long, id long, start int, windows int, body binary")
+SPANS = "row long, id long, level int, first long, n int"
 
 
 def judged(found: DataFrame, kernel: Kernel, across: bool) -> DataFrame:
-    """Runs of windows to remove (row, first, n), by a kernel that gets shards of whole anchors."""
+    """Runs of windows to remove (SPANS), by a kernel that gets shards of whole anchors. Regions with the same bytes are one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places: list[list[list[tuple[int, int, int]]]] = []
-        groups: list[list[Region]] = []
-        last: tuple = (None, None)
-        size = 0
+        groups: list[dict[bytes, list]] = []
+        last, size = None, 0
 
         def close() -> pd.DataFrame:
             out = []
-            for where, said in zip(places, kernel(groups)):
-                for own, verdicts in zip(where, said):
-                    out += [(row, start + at, n) for row, i, start in own for at, n, low in verdicts if low < i or not across]
-            places.clear()
+            said = kernel([[(body, n, low, copies) for body, (n, low, copies, _) in g.items()] for g in groups])
+            for g, verdicts in zip(groups, said):
+                for (*_, places), own in zip(g.values(), verdicts):
+                    for row, i, start in places:
+                        runs: dict[int, list[int]] = {}
+                        for at, n, low, level in own:
+                            if low < i or not across:
+                                run = runs.get(level)
+                                if run and run[1] == start + at:
+                                    run[1] += n
+                                else:
+                                    if run:
+                                        out.append((row, i, level, run[0], run[1] - run[0]))
+                                    runs[level] = [start + at, start + at + n]
+                        out += [(row, i, level, a, b - a) for level, (a, b) in runs.items()]
             groups.clear()
-            return pd.DataFrame(out, columns=["row", "first", "n"])
+            return pd.DataFrame(out, columns=["row", "id", "level", "first", "n"])
 
         for batch in batches:
-            for anchor, region, row, i, start, windows, body in zip(*(batch[c].tolist() for c in ("anchor", "region", "row", "id", "start", "windows", "body"))):
-                if anchor != last[0]:
+            for anchor, row, i, copies, start, n, body in zip(*(batch[c].tolist() for c in ("anchor", "row", "id", "copies", "start", "windows", "body"))):
+                if anchor != last:
                     if size > SHARD:
                         yield close()
                         size = 0
-                    places.append([])
-                    groups.append([])
-                if (anchor, region) != last:
-                    places[-1].append([])
-                    groups[-1].append((body, windows, i, 0))
+                    groups.append({})
+                    last = anchor
+                known = groups[-1].get(body)
+                if known is None:
+                    groups[-1][body] = [n, i, copies, [(row, i, start)]]
                     size += len(body)
-                last = anchor, region
-                body, windows, low, copies = groups[-1][-1]
-                groups[-1][-1] = body, windows, min(low, i), copies + 1
-                places[-1][-1].append((row, i, start))
+                else:
+                    known[1], known[2] = min(known[1], i), known[2] + copies
+                    known[3].append((row, i, start))
         yield close()
 
-    return found.repartition("anchor").sortWithinPartitions("anchor", "region").mapInPandas(run, "row long, first int, n int")
+    return found.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, SPANS)
 
 
-def counted(found: DataFrame, pieces: Callable[[bytes, int], list[bytes]], across: bool) -> DataFrame:
-    """Windows to remove (row, first, n) of crowded anchors: a row for each window of each distinct region."""
+def counted(found: DataFrame, windows_of: Callable[[bytes, int], list[tuple[int, int, bytes]]], across: bool) -> DataFrame:
+    """Windows to remove (SPANS) of crowded anchors: a row for each window (level, place, units) of each distinct region."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.iloc[i : i + 500]
-                n = part["windows"].to_numpy()
-                digests = [hashlib.blake2b(p, digest_size=16).digest() for body, k in zip(part["body"], n) for p in pieces(bytes(body), k)]
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({c: np.repeat(part[c].to_numpy(), n) for c in ("anchor", "region", "low", "copies")} | {"at": at, "digest": digests})[["anchor", "region", "at", "digest", "low", "copies"]]
-
-    distinct = found.groupBy("anchor", "region", "windows").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("body").alias("body"))
-    each = distinct.mapInPandas(run, "anchor long, region long, at int, digest binary, low long, copies long")
-    known = each.groupBy("digest").agg(F.min("low").alias("least"), F.sum("copies").alias("total")).where("total > 1")
-    said = each.join(known, "digest").select("anchor", "region", "at", "least")
+                each = [windows_of(bytes(body), n) for body, n in zip(part["body"], part["windows"].tolist())]
+                rows = [(level, at, hashlib.blake2b(w, digest_size=16).digest()) for own in each for level, at, w in own]
+                out = pd.DataFrame(rows, columns=["level", "at", "digest"])
+                n = [len(own) for own in each]
+                for c in ("anchor", "region", "low", "copies"):
+                    out[c] = np.repeat(part[c].to_numpy(), n)
+                yield out
+
+    found = found.withColumn("region", F.unhex(F.substring(F.sha2("body", 256), 1, 32)))
+    distinct = found.groupBy("anchor", "region", "windows").agg(F.min("id").alias("low"), F.sum("copies").alias("copies"), F.first("body").alias("body"))
+    each = distinct.mapInPandas(run, "level int, at int, digest binary, anchor long, region binary, low long, copies long")
+    known = each.groupBy("level", "digest").agg(F.min("low").alias("least"), F.sum("copies").alias("total")).where("total > 1")
+    said = each.join(known, ["level", "digest"]).select("anchor", "region", "level", "at", "least")
     at = found.select("anchor", "region", "row", "id", "start").join(said, ["anchor", "region"])
-    return (at.where("least < id") if across else at).select("row", (F.col("start") + F.col("at")).alias("first"), F.lit(1).alias("n"))
+    return (at.where("least < id") if across else at).select("row", "id", "level", (F.col("start") + F.col("at")).alias("first"), F.lit(1).alias("n"))
 
 
-def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, pieces, crowd: int, across: bool) -> DataFrame:
-    """Every row's doc_id and text, with the anchors whose regions go whole (`gone`) and further runs of
-    windows that go (`found`, as first << 32 | count); both may be null.
+def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, windows_of, crowd: int, across: bool, reach: int | None = None, levels: int = 1) -> DataFrame:
+    """Every row's doc_id and text, with id, the smallest id of its text's class (low), the class's size
+    (copies), and for each level the runs of windows that go in the row of the smallest id
+    (found0 and so on, as first << 24 | count, runs of SLICE at most; null if none).
 
     across: a window goes if an equal one starts in a row of a smaller id. Otherwise it goes if an
     equal one starts at any other place, of the same row or another.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
-    every = anchors(docs, units, window, gram)
-    seen = every.groupBy("anchor").agg(
-        F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("places"), F.min("region").alias("r1"), F.max("region").alias("r2"), F.max("inner").alias("inner")
-    )
-    recurring = seen.where("lo < hi" if across else "places > 1 or inner").select("anchor", "lo", "places", (F.expr("r1 <> r2") | F.col("inner")).alias("differ"))
-    at = every.select("anchor", "row", "id").join(recurring, "anchor")
-    if across:
-        at = at.where("differ or lo < id")
-    pick = lambda condition: F.collect_set(F.when(condition, F.col("anchor")))
-    wanted = checkpoint(at.groupBy("row").agg(pick(F.expr("not differ")).alias("gone"), pick(F.expr(f"differ and places <= {crowd}")).alias("apart"), pick(F.expr(f"differ and places > {crowd}")).alias("crowded")))
-    some = lambda c: bodies(docs.join(wanted.where(F.size(c) > 0).select("row", c), "row"), c, units, window, gram)
-    spans = judged(some("apart"), kernel, across).union(counted(some("crowded"), pieces, across))
-    packed = spans.groupBy("row").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("found"))
-    return docs.join(wanted.select("row", "gone"), "row", "left").join(packed, "row", "left").select("doc_id", "text", "row", "id", "gone", "found")
-
-
-def covered(texts: list[bytes], gone, found, units, window: int, gram: int) -> Iterator[np.ndarray]:
-    """For each text of a batch, which of its units go."""
-    for i, j in text_slices(texts, SLICE):
-        u = units(texts[i:j], window, gram)
-        r = u.regions()
-        edge = np.searchsorted(r.text, np.arange(j - i + 1))
-        for d in range(j - i):
-            n = int(u.first[d + 1] - u.first[d])
-            begin, end = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-            if gone[i + d] is not None and len(gone[i + d]):
-                at = edge[d] + np.flatnonzero(np.isin(r.anchor[edge[d] : edge[d + 1]], np.asarray(gone[i + d], dtype=np.int64)))
-                begin, end = r.start[at], r.start[at] + r.windows[at]
-            if found[i + d] is not None and len(found[i + d]):
-                packed = np.asarray(found[i + d], dtype=np.int64)
-                begin, end = np.append(begin, packed >> 32), np.append(end, (packed >> 32) + (packed & 0xFFFFFFFF))
-            step = np.zeros(n + 1, dtype=np.int64)
-            np.add.at(step, begin, 1)
-            np.add.at(step, end + window - 1, -1)
-            yield np.cumsum(step[:-1]) > 0
+    reach = reach or window
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"))
+    every = anchors(docs, units, window, gram, reach)
+    spread = [F.min("row").alias("least"), F.max("row").alias("most")]
+    seen = every.groupBy("anchor").agg(*spread, F.max("own").alias("own")) if units.inner else every.groupBy("anchor").agg(*spread)
+    recurring = seen.where("least < most or own" if units.inner else "least < most").select("anchor")
+    wanted = every.select("anchor", "row").join(recurring, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    classes = docs.groupBy("row", "key").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
+    known = checkpoint(classes.join(wanted, "row", "left"))
+    crowded = checkpoint(known.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("texts")).where(F.col("texts") > crowd).select("anchor"))
+    many = crowded.limit(BROADCAST + 1).count()
+    judge = docs.join(known, ["row", "key"]).where("id = low and size(anchors) > 0")
+    found = bodies(judge, units, window, gram, reach)
+    if many:
+        marked = F.broadcast(crowded) if many <= BROADCAST else crowded
+        spans = judged(found.join(marked, "anchor", "left_anti"), kernel, across).unionByName(counted(found.join(marked, "anchor", "left_semi"), windows_of, across))
+    else:
+        spans = judged(found, kernel, across)
+    pack = lambda k: F.collect_set(F.when(F.col("level") == k, F.shiftleft("first", 24).bitwiseOR(F.col("n").cast("long"))))
+    packed = spans.groupBy("row", "id").agg(*(pack(k).alias(f"found{k}") for k in range(levels))).withColumnRenamed("id", "low")
+    verdicts = known.select("row", "key", "low", "copies").join(packed, ["row", "low"], "left")
+    return docs.join(verdicts, ["row", "key"]).select("doc_id", "text", "id", "low", "copies", *(f"found{k}" for k in range(levels)))
+
+
+def intervals(found, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs [begin, end) of units that a row's runs of windows cover, in order."""
+    packed = np.sort(np.asarray(found if found is not None else [], dtype=np.int64))
+    begin, end = packed >> 24, (packed >> 24) + (packed & 0xFFFFFF) + window - 1
+    if not len(begin):
+        return begin, end
+    last = np.maximum.accumulate(end)
+    head = np.flatnonzero(np.concatenate(([True], begin[1:] > last[:-1])))
+    return begin[head], last[np.append(head[1:], len(begin)) - 1]

@@ -5,12 +5,17 @@ windows have equal anchors, whatever surrounds them, so only windows whose ancho
 than one place can recur, and equal windows meet under their anchor. Consecutive windows mostly share
 an anchor, so there are few anchors: about 2 for every n - k + 2 units.
 
-A region is a longest run of windows of one document with the same anchor, with all the units that
-they cover. Each window lies in exactly one region.
+A region is a run of windows of one document with the same anchor, with all the units that they
+cover. Each window lies in exactly one region.
+
+Hashes here only bring windows together that may be equal. Whether they are is for others to say, by
+their units.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,6 +28,11 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPREAD = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Most grams of a batch of bytes, less than a power of two by one.
+PLACES = (1 << 20) - 1
+#: Most windows of a region, as a multiple of the window.
+LONGEST = 4
 
 
 @lru_cache(2)
@@ -69,23 +79,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - size : width - size + n])
 
 
-def prefix_sum(values: np.ndarray) -> np.ndarray:
-    """Like prefix_hash, over 64-bit values."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
-    return out
-
-
 @dataclass(frozen=True)
 class Regions:
-    """Regions of a batch of texts in order: text, first window, windows, anchor, hash of its units."""
+    """Regions of a batch of texts in order: text, first window, windows, anchor."""
 
     text: np.ndarray
     start: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
-    region: np.ndarray
     #: Whether a region holds several grams with its anchor's hash, so that windows of it may be equal.
     inner: np.ndarray
 
@@ -93,43 +94,47 @@ class Regions:
 class Units:
     """A batch of texts as units; first[d] is the place of text d's first unit among all.
 
-    inner: whether to find out which regions hold several grams of their anchor.
+    inner: whether to find out which regions hold several grams of their anchor. most: how many
+    units of each text windows may start at.
     """
 
     inner = False
 
-    def __init__(self, first: np.ndarray, prefix: np.ndarray, grams: np.ndarray, window: int, gram: int):
-        self.first, self.prefix, self.window = first, prefix, window
+    def __init__(self, first: np.ndarray, grams: np.ndarray, window: int, gram: int, most: np.ndarray):
+        self.first, self.window, self.most = first, window, most
         width = window - gram + 1
         if not self.inner:
             self.low = sliding_min(grams, width)
             return
-        # the low bits of a gram's hash give way to its place, so that the least is the first or the last
-        size = np.uint64((1 << max(1, len(grams).bit_length())) - 1)
+        # the low bits of a gram's hash give way to its place, so that the least is the first or the last; as many bits in every batch
+        if len(grams) > PLACES:
+            raise ValueError(f"a batch holds {len(grams)} grams; {PLACES} at most")
+        size = np.uint64(PLACES)
         high, at = grams & ~size, np.arange(len(grams), dtype=np.uint64)
         self.leftmost = sliding_min(high | at, width) & size
         self.rightmost = size - (sliding_min(high | (size - at), width) & size)
         self.low = grams[self.leftmost]
 
     def regions(self) -> Regions:
-        n = np.maximum(self.first[1:] - self.first[:-1] - self.window + 1, 0)
+        """A region ends at LONGEST windows' length too, so that what one anchor holds is bounded by its regions."""
+        n = np.minimum(np.maximum(self.first[1:] - self.first[:-1] - self.window + 1, 0), self.most)
         text = np.repeat(np.arange(len(n)), n)
-        at = np.arange(len(text)) + np.repeat(self.first[:-1] - (np.cumsum(n) - n), n)
+        inside = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        at = inside + np.repeat(self.first[:-1], n)
         values = self.low[at]
-        cut = np.ones(len(at), dtype=bool)
-        cut[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
+        cut = inside % (LONGEST * self.window) == 0
+        cut[1:] |= values[1:] != values[:-1]
         head = np.flatnonzero(cut)
         windows = np.diff(np.append(head, len(at)))
         begin, anchor = at[head], values[head].view(np.int64)
         inner = self.leftmost[begin] != self.rightmost[begin + windows - 1] if self.inner else np.zeros(len(begin), dtype=bool)
-        region = span_hash(self.prefix, begin, begin + windows + self.window - 1).view(np.int64)
-        return Regions(text[head], begin - self.first[text[head]], windows, anchor, region, inner)
+        return Regions(text[head], inside[head], windows, anchor, inner)
 
 
 class Words(Units):
     """Texts as words; equal windows of one text don't matter."""
 
-    def __init__(self, texts: list[bytes], window: int, gram: int):
+    def __init__(self, texts: list[bytes], window: int, gram: int, most: np.ndarray):
         data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data])).astype(np.int8)))
         self.data, self.start, self.stop = data, edge[::2], edge[1::2]
@@ -140,12 +145,24 @@ class Words(Units):
         sums = np.zeros(n, dtype=np.uint64)
         for k in range(gram):
             sums += words[k : k + n] * np.uint64(pow(_BASE, k + 1, 1 << 64))
-        super().__init__(first, prefix_sum(words), mix(sums), window, gram)
+        super().__init__(first, mix(sums), window, gram, most)
 
     def piece(self, d: int, i: int, j: int) -> bytes:
-        """Units i to j of text d: words joined by one space."""
-        a = self.first[d]
-        return b" ".join(self.data[self.start[a + i] : self.stop[a + j - 1]].tobytes().split())
+        """Units i to j of text d, or to its end: words joined by one space."""
+        a, b = self.first[d] + i, min(self.first[d] + j, self.first[d + 1])
+        return b" ".join(self.data[self.start[a] : self.stop[b - 1]].tobytes().split())
+
+    @staticmethod
+    def cut(text: bytes, size: int, reach: int) -> Iterator[tuple[int, int, bytes]]:
+        """Pieces of whole words of about `size` bytes, with the words that a window reaches into: first word, words, bytes."""
+        tail = re.compile(rb"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){0,%d}" % (reach - 1))
+        at = first = 0
+        while at < len(text):
+            gap = _GAP.search(text, min(at + size, len(text)))
+            end = gap.start() if gap else len(text)
+            n = len(text[at:end].split())
+            yield first, n, text[at : tail.match(text, end).end()]
+            at, first = end, first + n
 
 
 class Bytes(Units):
@@ -153,18 +170,24 @@ class Bytes(Units):
 
     inner = True
 
-    def __init__(self, texts: list[bytes], window: int, gram: int):
+    def __init__(self, texts: list[bytes], window: int, gram: int, most: np.ndarray):
         self.texts = texts
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         prefix = prefix_hash(data)
         n = max(0, len(data) - gram + 1)
         _, down = powers(len(data) + 1)
-        super().__init__(first, prefix, mix((prefix[gram : gram + n] - prefix[:n]) * down[:n]), window, gram)
+        super().__init__(first, mix((prefix[gram : gram + n] - prefix[:n]) * down[:n]), window, gram, most)
 
     def piece(self, d: int, i: int, j: int) -> bytes:
         return self.texts[d][i:j]
 
+    @staticmethod
+    def cut(text: bytes, size: int, reach: int) -> Iterator[tuple[int, int, bytes]]:
+        """Pieces of `size` bytes with those that a window reaches into: first byte, bytes, content."""
+        for at in range(0, len(text), size):
+            yield at, size, text[at : at + size + reach - 1]
+
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of each run of equal values, and the end of the last appended; and the runs' values."""

@@ -5,7 +5,8 @@ of a group points to its previous smaller one, and the suffixes pointed to move
 behind their own, those pointed to more often further behind. When the last group is handled, groups
 stand in the order of their Lyndon prefixes, and a pass from the smallest suffix up puts each suffix
 at the front of its group along the chain of previous smaller ones. No names are given again and
-nothing recurses.
+nothing recurses. A group's members and the numbers of times are put in order by sorting, so the
+whole is linear but for that.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from calorant.llm.recurrence import prefix_hash, span_hash
 
 WINDOW = 400
 GRAM = 32
-CROWD = 16384
+#: Most texts whose regions of one anchor are judged in one task.
+CROWD = 4096
+#: Repeated passages from this length on are found too, though only those of WINDOW bytes go: about 40 words.
+PASSAGE = 256
 #: Words longer than this, as in text without blanks, are taken byte by byte.
 LONGEST = 64
 
@@ -131,14 +135,24 @@ def symbols_of(group: list[dedup.Region]) -> list[list[bytes]]:
     return out
 
 
-def recurring_windows(groups: list[list[dedup.Region]], window: int) -> list[np.ndarray]:
-    """For each region of the groups in turn, which of its windows also start elsewhere in its group or in copies.
+def confirmed(joined: bytes, a: np.ndarray, b: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
+    """The lengths, with those of `least` bytes or more confirmed byte by byte."""
+    at = np.flatnonzero(length >= least)
+    for k, x, y, n in zip(at.tolist(), a[at].tolist(), b[at].tolist(), length[at].tolist()):
+        if joined[x : x + n] != joined[y : y + n]:
+            length[k] = next(i for i in range(n) if joined[x + i] != joined[y + i])
+    return length
+
+
+def recurring_windows(groups: list[list[dedup.Region]], windows: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each size of window, and each region of the groups in turn, which of its windows also start elsewhere in its group or in copies.
 
     The suffix array is of the regions' words, ranked as bytes and with a separator below all of them
     between regions. Among suffixes that start at a word, the longest common prefix in bytes is with a
     neighbour, so the array decides every window that starts at a word, and those inside the word that
     the same match covers. A window that starts inside a word whose beginning differs is decided by an
-    exact check where the suffix at the next word matches far enough.
+    exact check where the suffix at the next word matches far enough. Matches are found by hashes and
+    confirmed by their bytes.
     """
     group = [region for g in groups for region in g]
     bodies = [body for body, *_ in group]
@@ -154,14 +168,12 @@ def recurring_windows(groups: list[list[dedup.Region]], window: int) -> list[np.
     order = order[symbols[order] > 0]
     prefix = prefix_hash(np.frombuffer(joined, dtype=np.uint8))
     a, b = order[:-1], order[1:]
-    length = common_length(prefix, place[a], place[b], np.minimum(np.minimum(stop[a] - place[a], stop[b] - place[b]), window + np.maximum(size[a], size[b])))
+    most = np.minimum(np.minimum(stop[a] - place[a], stop[b] - place[b]), max(windows) + np.maximum(size[a], size[b]))
+    length = confirmed(joined, place[a], place[b], common_length(prefix, place[a], place[b], most), min(windows) - int(size.max()))
     match = np.zeros(len(symbols), dtype=np.int64)
     np.maximum.at(match, a, length)
     np.maximum.at(match, b, length)
     n = len(joined)
-    mine, copied = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-    for (_, k, _, copies), at in zip(group, starts):
-        mine[at : at + k], copied[at : at + k] = True, copies > 1
 
     def between(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         step = np.zeros(n + 1, dtype=np.int64)
@@ -169,64 +181,80 @@ def recurring_windows(groups: list[list[dedup.Region]], window: int) -> list[np.
         np.add.at(step, end, -1)
         return np.cumsum(step[:-1]) > 0
 
-    far = np.flatnonzero(match >= window)
-    again = between(place[far], place[far] + np.minimum(match[far] - window + 1, size[far])) & mine | copied
-    # inside the word before: as many bytes before the suffix as its match lacks, at least
-    near = np.flatnonzero((match[1:] >= window - size[:-1]) & (symbols[:-1] > 0) & (symbols[1:] > 0)) + 1
-    inside = between(place[near - 1], place[near] - np.maximum(window - match[near], 1) + 1) & mine
-    unsure = np.flatnonzero(inside & ~again)
-    if len(unsure):
-        able = np.flatnonzero(inside)
-        hashes = span_hash(prefix, able, able + window)
-        able = able[np.isin(hashes, span_hash(prefix, unsure, unsure + window))]
-        seen: dict[bytes, int] = {}
-        for at in able.tolist():
-            body = joined[at : at + window]
-            if (other := seen.setdefault(body, at)) != at:
-                again[at] = again[other] = True
-    return [again[at : at + k] for (_, k, _, _), at in zip(group, starts)]
-
-
-def kernel(window: int) -> dedup.Kernel:
-    """Suffix-array verdicts. An anchor all of whose regions have copies needs no array."""
+    out = []
+    for window in windows:
+        own = [max(0, min(k, len(body) - window + 1)) for body, k, *_ in group]
+        mine, copied = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        for (*_, copies), k, at in zip(group, own, starts):
+            mine[at : at + k], copied[at : at + k] = True, copies > 1
+        far = np.flatnonzero(match >= window)
+        again = between(place[far], place[far] + np.minimum(match[far] - window + 1, size[far])) & mine | copied
+        # inside the word before: as many bytes before the suffix as its match lacks, at least
+        near = np.flatnonzero((match[1:] >= window - size[:-1]) & (symbols[:-1] > 0) & (symbols[1:] > 0)) + 1
+        inside = between(place[near - 1], place[near] - np.maximum(window - match[near], 1) + 1) & mine
+        unsure = np.flatnonzero(inside & ~again)
+        if len(unsure):
+            able = np.flatnonzero(inside)
+            hashes = span_hash(prefix, able, able + window)
+            able = able[np.isin(hashes, span_hash(prefix, unsure, unsure + window))]
+            seen: dict[bytes, int] = {}
+            for at in able.tolist():
+                body = joined[at : at + window]
+                if (other := seen.setdefault(body, at)) != at:
+                    again[at] = again[other] = True
+        out.append([again[at : at + k] for k, at in zip(own, starts)])
+    return out
+
+
+def kernel(windows: tuple[int, ...]) -> dedup.Kernel:
+    """Suffix-array verdicts, with the number of the window size as level."""
 
     def judge(groups: list[list[dedup.Region]]) -> list[list[list[dedup.Verdict]]]:
-        out: list[list[list[dedup.Verdict]]] = [[[(0, n, low)] if copies > 1 else [] for _, n, low, copies in g] for g in groups]
-        open_ = [k for k, g in enumerate(groups) if any(copies == 1 for *_, copies in g)]
-        if open_:
-            flat = [(k, r) for k in open_ for r in range(len(groups[k]))]
-            for (k, r), again in zip(flat, recurring_windows([groups[k] for k in open_], window)):
-                cut, values = recurrence.runs(again)
-                out[k][r] = [(int(a), int(b - a), groups[k][r][2]) for a, b, v in zip(cut[:-1], cut[1:], values) if v]
+        out: list[list[list[dedup.Verdict]]] = [[[] for _ in g] for g in groups]
+        if groups:
+            flat = [(k, r) for k, g in enumerate(groups) for r in range(len(g))]
+            for level, each in enumerate(recurring_windows(groups, windows)):
+                for (k, r), again in zip(flat, each):
+                    cut, values = recurrence.runs(again)
+                    out[k][r] += [(int(a), int(b - a), groups[k][r][2], level) for a, b, v in zip(cut[:-1], cut[1:], values) if v]
         return out
 
     return judge
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes of every row.
+def without_repeats(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes and the kept bytes of every row.
 
     Removes each UTF-8 byte covered by a `window`-byte string that also starts at another place, of
-    the same row or another; a repeated row repeats its text. A null or empty text, and one shorter
-    than the window, keeps all. An empty table gives no rows; other columns are ignored. The kept
-    bytes are binary, as a cut may fall inside a character.
+    the same row or another; a repeated row repeats its text. n_passage_bytes counts the bytes that
+    strings of `passage` bytes (no more than `window`) cover in the same way; these stay. A null or
+    empty text, and one shorter than the window, keeps all. A text of any length is judged whole, in
+    overlapping pieces. An empty table gives no rows; other columns are ignored. The kept bytes are
+    binary, as a cut may fall inside a character. Anchors in more than `crowd` different texts are
+    decided by counting window hashes.
     """
+    sizes = (window, passage)
 
-    def pieces(body: bytes, n: int) -> list[bytes]:
-        return [body[i : i + window] for i in range(n)]
+    def windows_of(body: bytes, n: int) -> list[tuple[int, int, bytes]]:
+        return [(level, i, body[i : i + size]) for level, size in enumerate(sizes) for i in range(max(0, min(n, len(body) - size + 1)))]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, ids = encoded(batch["text"]), batch["doc_id"].astype("Int64")
-            for i, j in text_slices(texts, dedup.SLICE):
+            copies, found, passages = batch["copies"].tolist(), batch["found0"].tolist(), batch["found1"].tolist()
+            for i, j in text_slices(texts):
                 out = []
-                for text, gone in zip(texts[i:j], dedup.covered(texts[i:j], batch["gone"].iloc[i:j].tolist(), batch["found"].iloc[i:j].tolist(), recurrence.Bytes, window, gram)):
-                    kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if gone.any() else text
-                    spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                    out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-                frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                for d in range(i, j):
+                    text = texts[d]
+                    # of a text with copies every window recurs
+                    begin, end = dedup.intervals(found[d], window) if copies[d] == 1 else (np.array([0]), np.array([len(text)])) if len(text) >= window else dedup.intervals(None, window)
+                    low, high = dedup.intervals(passages[d], passage)
+                    kept = b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)]))
+                    held = len(text) * (len(text) >= passage) if copies[d] > 1 else int((high - low).sum())
+                    out.append((len(text), len(text) - len(kept), len(begin), hashlib.sha256(kept).hexdigest(), held, kept))
+                frame = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "kept"])
                 frame.insert(0, "doc_id", ids.iloc[i:j].to_numpy())
                 yield frame
 
-    found = dedup.removals(docs, recurrence.Bytes, window, gram, kernel(window), pieces, crowd, across=False)
-    return found.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = dedup.removals(docs, recurrence.Bytes, passage, gram, kernel(sizes), windows_of, crowd, across=False, reach=window, levels=2)
+    return found.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, kept binary")

@@ -129,14 +129,14 @@ def test_recurring_windows():
             for i in range(n):
                 count[b[i : i + window]] += copies
         want = [[count[b[i : i + window]] > 1 for i in range(n)] for b, n, _, _ in group.values()]
-        assert [list(x) for x in suffixes.recurring_windows([list(group.values())], window)] == want
+        assert [list(x) for x in suffixes.recurring_windows([list(group.values())], (window,))[0]] == want
 
 
 def test_equal_windows_share_their_anchor():
     rng = random.Random(6)
     passage = words(rng, 120).encode()
     texts = [words(rng, 30).encode() + b" " + passage, passage + b" " + words(rng, 9).encode()]
-    u = recurrence.Bytes(texts, 400, 32)
+    u = recurrence.Bytes(texts, 400, 32, np.full(2, 1 << 40))
     r = u.regions()
     anchor = {}
     for d, s, n, a in zip(r.text, r.start, r.windows, r.anchor):
