@@ -3,12 +3,13 @@
 1. Rows of equal text are one class, by a 128-bit cut of SHA-256, counted before anything is shuffled.
    One member, with the smallest id, is judged; the others follow from it.
 2. Every text gives its regions' anchors, and anchors of one class alone are dropped by a pre-aggregated count.
-3. The regions of the remaining anchors are brought together by anchor with all their units, and a
+3. The regions of the remaining anchors are brought together by shard with all their units, and a
    kernel (repeated-phrase automata for words, suffix arrays for bytes) says of each window whether,
-   and where first, it recurs. It compares units, not hashes.
+   and where first, it recurs. It compares units, not hashes. Anchors that the same few texts share
+   are one shard, so that neighbouring regions move as one; any other anchor is a shard of its own.
 4. What the windows cover is removed from the documents.
 
-An anchor with more than `crowd` regions isn't gathered in one task: its distinct regions are
+A shard with more than `crowd` texts isn't gathered in one task: its distinct regions are
 pre-aggregated and each of their windows becomes a row, by a 128-bit hash, counted without gathering.
 
 A text longer than SLICE is worked on in pieces that overlap by a window less a unit, so memory
@@ -30,15 +31,18 @@ from calorant.llm.common import checkpoint, encoded, text_slices
 NO_ID = (1 << 63) - 1
 SHARD = 400_000
 SLICE = 400_000
-#: Crowded anchors are broadcast up to this many (of 8 bytes); beyond, both sides are shuffled.
+#: Anchors of up to this many rows, none of a text above LONG bytes, share a shard with those of the same rows.
+FEW = 64
+LONG = 100_000
+#: Crowded shards are broadcast up to this many (of 8 bytes); beyond, both sides are shuffled.
 BROADCAST = 500_000
 
 #: One distinct region: its units as bytes, the number of its windows, the smallest id that has it, its copies.
 Region = tuple[bytes, int, int, int]
 #: A run of windows: the first, how many, the smallest id with an equal window, and the level.
 Verdict = tuple[int, int, int, int]
-#: Judges anchors' distinct regions, several anchors at a time. Gives the verdicts on the windows that
-#: recur, for every region of every anchor.
+#: Judges shards' distinct regions, several shards at a time. Gives the verdicts on the windows that
+#: recur, for every region of every shard.
 Kernel = Callable[[list[list[Region]]], list[list[list[Verdict]]]]
 
 
@@ -51,14 +55,15 @@ def pieces(texts: list[bytes], units, reach: int) -> Iterator[tuple[np.ndarray,
 
 
 def anchors(docs: DataFrame, units, window: int, gram: int, reach: int) -> DataFrame:
-    """A row for each region of each row: anchor and row, and for units of which equal windows of one text matter, whether it may hold some."""
+    """A row for each region of each row: anchor, row, whether the text is a long one, and for units of which equal windows of one text matter, whether it may hold some."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = batch["row"].to_numpy()
-            for text, _, most, own in pieces(encoded(batch["text"]), units, reach):
+            rows, texts = batch["row"].to_numpy(), encoded(batch["text"])
+            size = np.array([len(t) for t in texts])
+            for text, _, most, own in pieces(texts, units, reach):
                 r = units(own, window, gram, most).regions()
-                out = {"anchor": r.anchor, "row": rows[text[r.text]]}
+                out = {"anchor": r.anchor, "row": rows[text[r.text]], "long": size[text[r.text]] > LONG}
                 if units.inner:
                     order = np.lexsort((r.anchor, r.text))
                     again = np.zeros(len(order), dtype=bool)
@@ -66,33 +71,48 @@ def anchors(docs: DataFrame, units, window: int, gram: int, reach: int) -> DataF
                     out["own"] = r.inner | again | (most[r.text] < NO_ID)
                 yield pd.DataFrame(out)
 
-    return docs.select("row", "text").mapInPandas(run, "anchor long, row long" + ", own boolean" * units.inner)
+    return docs.select("row", "text").mapInPandas(run, "anchor long, row long, long boolean" + ", own boolean" * units.inner)
 
 
 def bodies(docs: DataFrame, units, window: int, gram: int, reach: int) -> DataFrame:
-    """Regions, with their units, of the anchors that each row lists. Windows of a region may reach `reach` units."""
+    """Regions, with their units, of the anchors that each row lists with their shards. Windows of a region may reach `reach` units.
+
+    Regions of one shard that adjoin are one.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, ids, copies, lists = (batch[c].to_numpy() for c in ("row", "id", "copies", "anchors"))
+            rows, ids, copies, lists, shards = (batch[c].to_numpy() for c in ("row", "id", "copies", "anchors", "shards"))
             for text, first, most, own in pieces(encoded(batch["text"]), units, reach):
                 u = units(own, window, gram, most)
                 r = u.regions()
-                edge = np.searchsorted(r.text, np.arange(len(own) + 1))
-                at = np.concatenate([edge[k] + np.flatnonzero(np.isin(r.anchor[edge[k] : edge[k + 1]], np.asarray(lists[d], dtype=np.int64))) for k, d in enumerate(text)])
+                edge = np.searchsorted(r.text, np.arange(len(own) + 1)).tolist()
+                at, shard = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                for k, d in enumerate(text.tolist()):
+                    held, mine = np.asarray(lists[d], dtype=np.int64), r.anchor[edge[k] : edge[k + 1]]
+                    place = np.minimum(np.searchsorted(held, mine), len(held) - 1)
+                    there = np.flatnonzero(held[place] == mine)
+                    at.append(edge[k] + there)
+                    shard.append(np.asarray(shards[d], dtype=np.int64)[place[there]])
+                at, shard = np.concatenate(at), np.concatenate(shard)
                 piece, start, windows = r.text[at], r.start[at], r.windows[at]
+                joins = np.zeros(len(at), dtype=bool)
+                joins[1:] = (shard[1:] == shard[:-1]) & (piece[1:] == piece[:-1]) & (start[1:] == start[:-1] + windows[:-1])
+                head = np.flatnonzero(~joins)
+                piece, start, shard = piece[head], start[head], shard[head]
+                windows = np.add.reduceat(windows, head) if len(head) else windows
                 d = text[piece]
                 body = [u.piece(k, a, a + n + reach - 1) for k, a, n in zip(piece.tolist(), start.tolist(), windows.tolist())]
-                yield pd.DataFrame({"anchor": r.anchor[at], "row": rows[d], "id": ids[d], "copies": copies[d], "start": first[piece] + start, "windows": windows, "body": body})
+                yield pd.DataFrame({"shard": shard, "row": rows[d], "id": ids[d], "copies": copies[d], "start": first[piece] + start, "windows": windows, "body": body})
 
-    return docs.select("text", "row", "id", "copies", "anchors").mapInPandas(run, "anchor long, row long, id long, copies long, start long, windows int, body binary")
+    return docs.select("text", "row", "id", "copies", "anchors", "shards").mapInPandas(run, "shard long, row long, id long, copies long, start long, windows int, body binary")
 
 
 SPANS = "row long, id long, level int, first long, n int"
 
 
 def judged(found: DataFrame, kernel: Kernel, across: bool) -> DataFrame:
-    """Runs of windows to remove (SPANS), by a kernel that gets shards of whole anchors. Regions with the same bytes are one."""
+    """Runs of windows to remove (SPANS), by a kernel that gets whole shards. Regions with the same bytes are one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: list[dict[bytes, list]] = []
@@ -119,13 +139,13 @@ def judged(found: DataFrame, kernel: Kernel, across: bool) -> DataFrame:
             return pd.DataFrame(out, columns=["row", "id", "level", "first", "n"])
 
         for batch in batches:
-            for anchor, row, i, copies, start, n, body in zip(*(batch[c].tolist() for c in ("anchor", "row", "id", "copies", "start", "windows", "body"))):
-                if anchor != last:
+            for shard, row, i, copies, start, n, body in zip(*(batch[c].tolist() for c in ("shard", "row", "id", "copies", "start", "windows", "body"))):
+                if shard != last:
                     if size > SHARD:
                         yield close()
                         size = 0
                     groups.append({})
-                    last = anchor
+                    last = shard
                 known = groups[-1].get(body)
                 if known is None:
                     groups[-1][body] = [n, i, copies, [(row, i, start)]]
@@ -135,11 +155,11 @@ def judged(found: DataFrame, kernel: Kernel, across: bool) -> DataFrame:
                     known[3].append((row, i, start))
         yield close()
 
-    return found.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, SPANS)
+    return found.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, SPANS)
 
 
 def counted(found: DataFrame, windows_of: Callable[[bytes, int], list[tuple[int, int, bytes]]], across: bool) -> DataFrame:
-    """Windows to remove (SPANS) of crowded anchors: a row for each window (level, place, units) of each distinct region."""
+    """Windows to remove (SPANS) of crowded shards: a row for each window (level, place, units) of each distinct region."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,16 +169,16 @@ def counted(found: DataFrame, windows_of: Callable[[bytes, int], list[tuple[int,
                 rows = [(level, at, hashlib.blake2b(w, digest_size=16).digest()) for own in each for level, at, w in own]
                 out = pd.DataFrame(rows, columns=["level", "at", "digest"])
                 n = [len(own) for own in each]
-                for c in ("anchor", "region", "low", "copies"):
+                for c in ("shard", "region", "low", "copies"):
                     out[c] = np.repeat(part[c].to_numpy(), n)
                 yield out
 
     found = found.withColumn("region", F.unhex(F.substring(F.sha2("body", 256), 1, 32)))
-    distinct = found.groupBy("anchor", "region", "windows").agg(F.min("id").alias("low"), F.sum("copies").alias("copies"), F.first("body").alias("body"))
-    each = distinct.mapInPandas(run, "level int, at int, digest binary, anchor long, region binary, low long, copies long")
+    distinct = found.groupBy("shard", "region", "windows").agg(F.min("id").alias("low"), F.sum("copies").alias("copies"), F.first("body").alias("body"))
+    each = distinct.mapInPandas(run, "level int, at int, digest binary, shard long, region binary, low long, copies long")
     known = each.groupBy("level", "digest").agg(F.min("low").alias("least"), F.sum("copies").alias("total")).where("total > 1")
-    said = each.join(known, ["level", "digest"]).select("anchor", "region", "level", "at", "least")
-    at = found.select("anchor", "region", "row", "id", "start").join(said, ["anchor", "region"])
+    said = each.join(known, ["level", "digest"]).select("shard", "region", "level", "at", "least")
+    at = found.select("shard", "region", "row", "id", "start").join(said, ["shard", "region"])
     return (at.where("least < id") if across else at).select("row", "id", "level", (F.col("start") + F.col("at")).alias("first"), F.lit(1).alias("n"))
 
 
@@ -174,19 +194,21 @@ def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, win
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"))
     every = anchors(docs, units, window, gram, reach)
-    spread = [F.min("row").alias("least"), F.max("row").alias("most")]
-    seen = every.groupBy("anchor").agg(*spread, F.max("own").alias("own")) if units.inner else every.groupBy("anchor").agg(*spread)
-    recurring = seen.where("least < most or own" if units.inner else "least < most").select("anchor")
-    wanted = every.select("anchor", "row").join(recurring, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    spread = [F.min("row").alias("least"), F.max("row").alias("most"), F.count("*").alias("n")]
+    seen = every.groupBy("anchor").agg(*spread, *([F.max("own").alias("own"), F.max("long").alias("long")] if units.inner else [F.max("long").alias("long")]))
+    shard = F.when((F.col("n") <= FEW) & ~F.col("long"), F.xxhash64("least", "most", "n")).otherwise(F.col("anchor"))
+    recurring = seen.where("least < most or own" if units.inner else "least < most").select("anchor", shard.alias("shard"))
+    held = every.select("anchor", "row").join(recurring, "anchor").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("anchor", "shard"))).alias("held"))
+    wanted = held.select("row", F.col("held.anchor").alias("anchors"), F.col("held.shard").alias("shards"))
     classes = docs.groupBy("row", "key").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     known = checkpoint(classes.join(wanted, "row", "left"))
-    crowded = checkpoint(known.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("texts")).where(F.col("texts") > crowd).select("anchor"))
+    crowded = checkpoint(known.select(F.explode(F.array_distinct("shards")).alias("shard")).groupBy("shard").agg(F.count("*").alias("texts")).where(F.col("texts") > crowd).select("shard"))
     many = crowded.limit(BROADCAST + 1).count()
     judge = docs.join(known, ["row", "key"]).where("id = low and size(anchors) > 0")
     found = bodies(judge, units, window, gram, reach)
     if many:
         marked = F.broadcast(crowded) if many <= BROADCAST else crowded
-        spans = judged(found.join(marked, "anchor", "left_anti"), kernel, across).unionByName(counted(found.join(marked, "anchor", "left_semi"), windows_of, across))
+        spans = judged(found.join(marked, "shard", "left_anti"), kernel, across).unionByName(counted(found.join(marked, "shard", "left_semi"), windows_of, across))
     else:
         spans = judged(found, kernel, across)
     pack = lambda k: F.collect_set(F.when(F.col("level") == k, F.shiftleft("first", 24).bitwiseOR(F.col("n").cast("long"))))

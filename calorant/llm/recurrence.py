@@ -122,9 +122,11 @@ class Units:
         inside = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
         at = inside + np.repeat(self.first[:-1], n)
         values = self.low[at]
-        cut = inside % (LONGEST * self.window) == 0
+        cut = inside == 0
         cut[1:] |= values[1:] != values[:-1]
         head = np.flatnonzero(cut)
+        since = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+        head = np.flatnonzero(since % (LONGEST * self.window) == 0)
         windows = np.diff(np.append(head, len(at)))
         begin, anchor = at[head], values[head].view(np.int64)
         inner = self.leftmost[begin] != self.rightmost[begin + windows - 1] if self.inner else np.zeros(len(begin), dtype=bool)

@@ -12,6 +12,7 @@ whole is linear but for that.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,6 @@ GRAM = 32
 CROWD = 4096
 #: Repeated passages from this length on are found too, though only those of WINDOW bytes go: about 40 words.
 PASSAGE = 256
-#: Words longer than this, as in text without blanks, are taken byte by byte.
-LONGEST = 64
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -123,16 +122,40 @@ def common_length(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.nda
         high[open_[~same]] = mid[~same] - 1
 
 
-def symbols_of(group: list[dedup.Region]) -> list[list[bytes]]:
-    """Each region as words, each with the blank after it; as bytes if any region has a word above LONGEST."""
+class Ends(dict):
+    """Whether a phrase ends with a word: a third of all words do, by their bytes alone."""
+
+    def __missing__(self, word: bytes) -> bool:
+        self[word] = out = zlib.crc32(word) % 3 == 0
+        return out
+
+
+def symbols_of(group: list[dedup.Region], ends: Ends, longest: int) -> list[list[bytes]]:
+    """Each region as phrases of words, each with the blank after it; as words where a phrase is longer than `longest`, as bytes where a word is.
+
+    No phrase, except a region's last, is the beginning of another, so their order is that of their
+    bytes. A region's first word may be part of one and ends no phrase.
+    """
+    split = [body.split(b" ") for body, *_ in group]
     out = []
-    for body, *_ in group:
-        words = [w + b" " for w in body.split(b" ")]
-        words[-1] = words[-1][:-1]
-        out.append(words)
-    if max(len(w) for words in out for w in words) > LONGEST:
-        return [[body[i : i + 1] for i in range(len(body))] for body, *_ in group]
-    return out
+    for words in split:
+        cut = [k + 1 for k, w in enumerate(words) if ends[w] and k]
+        own = [b" ".join(words[i:j]) + b" " for i, j in zip([0, *cut], [*cut, len(words)]) if i < j]
+        own[-1] = own[-1][:-1]
+        out.append(own)
+    if max(len(w) for own in out for w in own) <= longest:
+        return out
+    if max(len(w) for words in split for w in words) < longest:
+        return [[*(w + b" " for w in words[:-1]), words[-1]] for words in split]
+    return [[body[i : i + 1] for i in range(len(body))] for body, *_ in group]
+
+
+def among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values are among others."""
+    if not len(of):
+        return np.zeros(len(values), dtype=bool)
+    of = np.sort(of)
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
 
 
 def confirmed(joined: bytes, a: np.ndarray, b: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
@@ -147,16 +170,17 @@ def confirmed(joined: bytes, a: np.ndarray, b: np.ndarray, length: np.ndarray, l
 def recurring_windows(groups: list[list[dedup.Region]], windows: tuple[int, ...]) -> list[list[np.ndarray]]:
     """For each size of window, and each region of the groups in turn, which of its windows also start elsewhere in its group or in copies.
 
-    The suffix array is of the regions' words, ranked as bytes and with a separator below all of them
-    between regions. Among suffixes that start at a word, the longest common prefix in bytes is with a
-    neighbour, so the array decides every window that starts at a word, and those inside the word that
-    the same match covers. A window that starts inside a word whose beginning differs is decided by an
-    exact check where the suffix at the next word matches far enough. Matches are found by hashes and
-    confirmed by their bytes.
+    The suffix array is of the regions' phrases, ranked as bytes and with a separator below all of them
+    between regions. Among suffixes that start at a phrase, the longest common prefix in bytes is with a
+    neighbour, so the array decides every window that starts at a phrase, and those inside the phrase
+    that the same match covers. Equal windows have their phrases' ends in common, but for the first word,
+    so of two that start inside a phrase one at least is followed by a suffix that matches far enough;
+    these are decided by an exact check. Matches are found by hashes and confirmed by their bytes.
     """
     group = [region for g in groups for region in g]
     bodies = [body for body, *_ in group]
-    words = [own for g in groups for own in symbols_of(g)]
+    ends = Ends()
+    words = [own for g in groups for own in symbols_of(g, ends, min(windows) // 2)]
     rank = {w: k + 1 for k, w in enumerate(sorted({w for own in words for w in own}))}
     symbols = np.array([x for own in words for x in (*map(rank.__getitem__, own), 0)], dtype=np.int64)
     size = np.array([x for own in words for x in (*map(len, own), 1)], dtype=np.int64)
@@ -189,19 +213,17 @@ def recurring_windows(groups: list[list[dedup.Region]], windows: tuple[int, ...]
             mine[at : at + k], copied[at : at + k] = True, copies > 1
         far = np.flatnonzero(match >= window)
         again = between(place[far], place[far] + np.minimum(match[far] - window + 1, size[far])) & mine | copied
-        # inside the word before: as many bytes before the suffix as its match lacks, at least
+        # inside the phrase before: as many bytes before the suffix as its match lacks, at least
         near = np.flatnonzero((match[1:] >= window - size[:-1]) & (symbols[:-1] > 0) & (symbols[1:] > 0)) + 1
         inside = between(place[near - 1], place[near] - np.maximum(window - match[near], 1) + 1) & mine
-        unsure = np.flatnonzero(inside & ~again)
-        if len(unsure):
-            able = np.flatnonzero(inside)
-            hashes = span_hash(prefix, able, able + window)
-            able = able[np.isin(hashes, span_hash(prefix, unsure, unsure + window))]
-            seen: dict[bytes, int] = {}
-            for at in able.tolist():
-                body = joined[at : at + window]
-                if (other := seen.setdefault(body, at)) != at:
-                    again[at] = again[other] = True
+        every, open_, near = np.flatnonzero(mine), mine & ~again, np.flatnonzero(inside)
+        hashes, beside = span_hash(prefix, every, every + window), np.flatnonzero(open_ & ~inside)
+        wanted = np.concatenate((hashes[(open_ & inside)[every]], (x := span_hash(prefix, beside, beside + window))[among(x, span_hash(prefix, near, near + window))]))
+        seen: dict[bytes, int] = {}
+        for at in every[among(hashes, wanted)].tolist():
+            body = joined[at : at + window]
+            if (other := seen.setdefault(body, at)) != at:
+                again[at] = again[other] = True
         out.append([again[at : at + k] for k, at in zip(own, starts)])
     return out
 
