@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,20 +24,54 @@ def test_finds_names_and_numbers_of_other_token_counts(spark):
     uneven = ITEM.replace("Anna then", "Bob then")
     docs = spark.createDataFrame([*enumerate(texts), (99, uneven)], "doc_id long, text string")
     bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
-    whole = decontamination.contaminated(docs, bench, template=decontamination.whole_template, words=decontamination.whole_words)
-    assert {r.doc_id for r in whole.collect()} == set(range(len(texts)))
+    got = {r.doc_id: r for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(got) == {*range(len(texts)), 99}
+    # the uneven one is an occurrence by its plain words alone
+    assert got[99].windows < got[0].windows
     other = [(100, "The yard is empty"), (101, None)]
     docs = docs.union(spark.createDataFrame(other, "doc_id long, text string"))
     assert sorted(r.doc_id for r in decontamination.clean(docs, bench).collect()) == [100, 101]
 
 
-def test_whole_items_equal_their_sql(spark):
+def test_query_equals_its_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    want = sorted(con.execute(queries.oracle_sql()["op5_whole_items"]).fetchall())
-    got = sorted(tuple(r) for r in queries.op5_whole_items(spark, sf).collect())
-    plain = {(r.doc_id, r.item_id) for r in queries.op5_decontamination(spark, sf).collect()}
-    assert got == want and plain <= {r[:2] for r in got}
+    want = sorted(con.execute(queries.oracle_sql()["op5_decontamination"]).fetchall())
+    assert sorted(tuple(r) for r in queries.op5_decontamination(spark, sf).collect()) == want and want
+
+
+def test_items_of_many_placeholders(spark):
+    """An item without a window of five plain words is found where all its windows are, with even slots."""
+    item = "then 12 km and 15 kg for 3 days at 40 usd"
+    docs = [(1, "so " + item.replace("12", "90").replace("15", "1,5") + " end"), (2, item.replace("days", "days or")), (3, "then 12 km and 15 kg for 3 days")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()] == [(1, 5)]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Null and shared ids: a row goes for its own text alone. Columns may have any name."""
+    rows = [(None, ITEM), (None, "The yard is empty"), (4, ITEM + " now"), (4, "A clean text of the same id"), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS check", "3 AS hash", "4 AS item_id")
+    bench = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    kept = decontamination.clean(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in (rows[1], rows[3], rows[4], rows[5]))
+
+
+@pytest.mark.parametrize("kind", ["numbers", "names", "units"])
+def test_recall_of_reparameterised_items(spark, kind):
+    """Every item with all its numbers, names or units replaced is found; items with other words are not."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    items, changed = [], []
+    for k in range(60):
+        body = [" ".join(word() for _ in range(7)) for _ in range(3)]
+        fill = lambda n, who, unit: f"{who} {body[0]} {n} {unit} {body[1]} {who} {body[2]}"  # noqa: B023, E731
+        items.append((k, fill(rng.randint(2, 99), "Anna", "km")))
+        changed.append((k, fill("4,512" if kind == "numbers" else 7, "Mary Ann Fox" if kind == "names" else "Anna", "miles" if kind == "units" else "km")))
+    clean = [(1000 + k, " ".join(word() for _ in range(60))) for k in range(60)]
+    got = decontamination.contaminated(spark.createDataFrame(changed + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(60)}
