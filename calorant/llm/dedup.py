@@ -108,11 +108,13 @@ def bodies(docs: DataFrame, units, window: int, gram: int, reach: int) -> DataFr
     return docs.select("text", "row", "id", "copies", "anchors", "shards").mapInPandas(run, "shard long, row long, id long, copies long, start long, windows int, body binary")
 
 
-SPANS = "row long, id long, level int, first long, n int"
+def spans_schema(levels: int) -> str:
+    """One row for a region: of each level the runs of windows that go, as first << 24 | count."""
+    return "row long, id long, " + ", ".join(f"found{k} array<long>" for k in range(levels))
 
 
-def judged(found: DataFrame, kernel: Kernel, across: bool) -> DataFrame:
-    """Runs of windows to remove (SPANS), by a kernel that gets whole shards. Regions with the same bytes are one."""
+def judged(found: DataFrame, kernel: Kernel, across: bool, levels: int) -> DataFrame:
+    """Runs of windows to remove (spans_schema), by a kernel that gets whole shards. Regions with the same bytes are one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups: list[dict[bytes, list]] = []
@@ -124,19 +126,18 @@ def judged(found: DataFrame, kernel: Kernel, across: bool) -> DataFrame:
             for g, verdicts in zip(groups, said):
                 for (*_, places), own in zip(g.values(), verdicts):
                     for row, i, start in places:
-                        runs: dict[int, list[int]] = {}
+                        runs: list[list[int]] = [[] for _ in range(levels)]
                         for at, n, low, level in own:
                             if low < i or not across:
-                                run = runs.get(level)
-                                if run and run[1] == start + at:
-                                    run[1] += n
+                                mine, first = runs[level], start + at
+                                if mine and (mine[-1] >> 24) + (mine[-1] & 0xFFFFFF) == first:
+                                    mine[-1] += n
                                 else:
-                                    if run:
-                                        out.append((row, i, level, run[0], run[1] - run[0]))
-                                    runs[level] = [start + at, start + at + n]
-                        out += [(row, i, level, a, b - a) for level, (a, b) in runs.items()]
+                                    mine.append(first << 24 | n)
+                        if any(runs):
+                            out.append((row, i, *runs))
             groups.clear()
-            return pd.DataFrame(out, columns=["row", "id", "level", "first", "n"])
+            return pd.DataFrame(out, columns=["row", "id", *(f"found{k}" for k in range(levels))])
 
         for batch in batches:
             for shard, row, i, copies, start, n, body in zip(*(batch[c].tolist() for c in ("shard", "row", "id", "copies", "start", "windows", "body"))):
@@ -155,11 +156,11 @@ def judged(found: DataFrame, kernel: Kernel, across: bool) -> DataFrame:
                     known[3].append((row, i, start))
         yield close()
 
-    return found.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, SPANS)
+    return found.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, spans_schema(levels))
 
 
-def counted(found: DataFrame, windows_of: Callable[[bytes, int], list[tuple[int, int, bytes]]], across: bool) -> DataFrame:
-    """Windows to remove (SPANS) of crowded shards: a row for each window (level, place, units) of each distinct region."""
+def counted(found: DataFrame, windows_of: Callable[[bytes, int], list[tuple[int, int, bytes]]], across: bool, levels: int) -> DataFrame:
+    """Windows to remove (spans_schema) of crowded shards: a row for each window (level, place, units) of each distinct region."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -177,15 +178,17 @@ def counted(found: DataFrame, windows_of: Callable[[bytes, int], list[tuple[int,
     distinct = found.groupBy("shard", "region", "windows").agg(F.min("id").alias("low"), F.sum("copies").alias("copies"), F.first("body").alias("body"))
     each = distinct.mapInPandas(run, "level int, at int, digest binary, shard long, region binary, low long, copies long")
     known = each.groupBy("level", "digest").agg(F.min("low").alias("least"), F.sum("copies").alias("total")).where("total > 1")
-    said = each.join(known, ["level", "digest"]).select("shard", "region", "level", "at", "least")
+    said = each.join(known, ["level", "digest"]).groupBy("shard", "region").agg(F.collect_list(F.struct("level", "at", "least")).alias("said"))
     at = found.select("shard", "region", "row", "id", "start").join(said, ["shard", "region"])
-    return (at.where("least < id") if across else at).select("row", "id", "level", (F.col("start") + F.col("at")).alias("first"), F.lit(1).alias("n"))
+    goes = lambda k: lambda w: (w.level == k) & (w.least < F.col("id") if across else F.lit(True))
+    run_of = lambda w: F.shiftleft(F.col("start") + w.at, 24).bitwiseOR(F.lit(1))
+    return at.select("row", "id", *(F.transform(F.filter("said", goes(k)), run_of).alias(f"found{k}") for k in range(levels)))
 
 
 def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, windows_of, crowd: int, across: bool, reach: int | None = None, levels: int = 1) -> DataFrame:
     """Every row's doc_id and text, with id, the smallest id of its text's class (low), the class's size
     (copies), and for each level the runs of windows that go in the row of the smallest id
-    (found0 and so on, as first << 24 | count, runs of SLICE at most; null if none).
+    (found0 and so on; null if none).
 
     across: a window goes if an equal one starts in a row of a smaller id. Otherwise it goes if an
     equal one starts at any other place, of the same row or another.
@@ -208,11 +211,10 @@ def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, win
     found = bodies(judge, units, window, gram, reach)
     if many:
         marked = F.broadcast(crowded) if many <= BROADCAST else crowded
-        spans = judged(found.join(marked, "shard", "left_anti"), kernel, across).unionByName(counted(found.join(marked, "shard", "left_semi"), windows_of, across))
+        spans = judged(found.join(marked, "shard", "left_anti"), kernel, across, levels).unionByName(counted(found.join(marked, "shard", "left_semi"), windows_of, across, levels))
     else:
-        spans = judged(found, kernel, across)
-    pack = lambda k: F.collect_set(F.when(F.col("level") == k, F.shiftleft("first", 24).bitwiseOR(F.col("n").cast("long"))))
-    packed = spans.groupBy("row", "id").agg(*(pack(k).alias(f"found{k}") for k in range(levels))).withColumnRenamed("id", "low")
+        spans = judged(found, kernel, across, levels)
+    packed = spans.groupBy("row", "id").agg(*(F.flatten(F.collect_list(f"found{k}")).alias(f"found{k}") for k in range(levels))).withColumnRenamed("id", "low")
     verdicts = known.select("row", "key", "low", "copies").join(packed, ["row", "low"], "left")
     return docs.join(verdicts, ["row", "key"]).select("doc_id", "text", "id", "low", "copies", *(f"found{k}" for k in range(levels)))
 
