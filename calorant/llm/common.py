@@ -22,17 +22,22 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(id_text, F.lit("")).cast("binary")) % n
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir or setCheckpointDir. Only a local session without one gets a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="calorant-checkpoint-")
+    atexit.register(shutil.rmtree, made, True)
+    spark.sparkContext.setCheckpointDir(made)
+    return made
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and read it from there.
-
-    A cluster names a shared folder in spark.checkpoint.dir. Only where none is set (tests, local
-    mode) a temporary one is made.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        made = tempfile.mkdtemp(prefix="calorant-checkpoint-")
-        atexit.register(shutil.rmtree, made, True)
-        spark.sparkContext.setCheckpointDir(made)
+    """Write df to the session's checkpoint folder and read it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,7 +6,7 @@ distances to sixteen reference fingerprints (the pivot table). By the triangle i
 coordinate of a linked pair differs by more than the distance allowed, so a pair of a block whose
 largest coordinate difference is more is discarded before its own distance is counted.
 
-A block with many members isn't paired. Its members enter the 65 fingerprints at distance one or
+A block with many members isn't paired, as pairs would grow with the square of its size. Its members enter the 65 fingerprints at distance one or
 less of themselves instead: two fingerprints are at most two bits apart exactly if they meet there.
 Each is then linked with the smallest at the same place, which keeps every group connected with rows
 in proportion to the members, however close the members are.
@@ -14,7 +14,6 @@ in proportion to the members, however close the members are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -61,14 +60,14 @@ def fingerprint_batch(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (a 64-bit fingerprint as long) of every row."""
+def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
+    """The fingerprint of a text as long; zero for null."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fingerprint_batch(encoded(batch["text"]), shingle)})
+    @F.pandas_udf("long")
+    def of(column: pd.Series) -> pd.Series:
+        return pd.Series(fingerprint_batch(encoded(column), shingle))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return of(text)
 
 
 def pivot_table(fp: Column) -> list[Column]:
@@ -114,16 +113,37 @@ def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     return pairs.union(close).where("a <> b").distinct()
 
 
+def groups(every: DataFrame) -> DataFrame:
+    """fp, its group (the smallest fingerprint that it reaches over links) and component_id (the group's smallest doc_id) of the fingerprints of rows (doc_id, fp)."""
+    distinct = every.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    reached = components(links(distinct.select("fp", F.col("fp").alias("node")))).withColumnRenamed("node", "fp")
+    found = distinct.join(reached, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    return found.join(found.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "group", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) of every row.
 
     A null or empty text, or one of white space alone, has fingerprint zero and is linked like any
-    other. Rows that share a doc_id share a group only if their texts do. A row without an id takes
-    the component of the rows it is linked with, null if none has an id. An empty table gives no
-    rows; other columns are ignored.
+    other. Links are between fingerprints, so rows that share a doc_id share a group only if their
+    texts do, and a row without an id links others; it takes the smallest id of its group, null if
+    none has an id. A text of any length has one fingerprint. An empty table gives no rows; other
+    columns are ignored.
+    """
+    every = checkpoint(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
+    return every.join(groups(every), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each group, with all its columns: that of the smallest doc_id, and of several the one of the smallest hash of id and text.
+
+    A row without an id stays only where its whole group has none. Rows are told apart by two 64-bit
+    hashes of id and text, not by their id; of rows alike in both one stays.
     """
-    every = checkpoint(fingerprints(docs, shingle))
-    distinct = every.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    groups = components(links(distinct.where("node is not null")))
-    named = distinct.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return every.join(named, "fp").select("doc_id", "fp", "component_id")
+    key = F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id")
+    every = checkpoint(docs.select("doc_id", key[0].alias("row"), key[1].alias("check"), fingerprint(F.col("text"), shingle).alias("fp")))
+    first = every.join(groups(every), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    fresh = "_".join(docs.columns)  # longer than any column's name
+    names = f"{fresh}_row", f"{fresh}_check"
+    kept = first.groupBy("group").agg(F.min(F.struct("row", "check")).alias("k")).select(F.col("k.row").alias(names[0]), F.col("k.check").alias(names[1]))
+    return docs.withColumns(dict(zip(names, key))).join(kept, list(names), "left_semi").dropDuplicates(list(names)).select(*docs.columns)

@@ -206,3 +206,22 @@ def test_fingerprint_by_the_letter():
     assert int(got.view(np.uint64)[0]) == want
     assert int(got.view(np.uint64)[2]) == xxhash.xxh64_intdigest(b"a b", 42)
     assert got[1] == got[3] == 0
+
+
+def test_simhash_links_through_rows_without_an_id(spark):
+    """A chain of fingerprints two bits apart, whose middle has no id, is one group; ids that repeat merge nothing."""
+    rows = [(5, 0b0), (None, 0b11), (9, 0b1111), (9, 1 << 60 | 1 << 50 | 1 << 40), (None, 1 << 61 | 1 << 51 | 1 << 41)]
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert {r.fp: r.component_id for r in got} == {0b0: 5, 0b11: 5, 0b1111: 5, rows[3][1]: 9, rows[4][1]: None}
+
+
+def test_one_of_each_goes_by_row(spark, awkward, nothing):
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(1, a), (7, a), (7, b), (7, b), (None, a), (None, c), (None, c), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "map('k', 1) AS fp", "2 AS row", "3 AS check", "4 AS group")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (7, b), (0, c), (8, None)], key=repr)
+    assert simhash.one_of_each(nothing).count() == 0
+    assert simhash.one_of_each(awkward).where("text is null or trim(text) = ''").count() <= 2
