@@ -6,38 +6,32 @@ Every stage works on all rows that its predecessor kept. All but the last return
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorant.llm import decontamination, languages, packing, secrets, simhash
-from calorant.llm.common import table
+from calorant.llm.common import shared_folder, table
 
 #: Least share of a text's letters in its main language; a text without letters is rejected too.
 LEAST_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts with a main language, and gives it to rows without one. Null and empty texts go."""
-    said = languages.predictor(languages.fit(docs))(F.col("text"))
-    kept = docs.withColumn("_language", said).where((F.col("_language.lang_pred") != languages.UNDETERMINED) & (F.col("_language.score") >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", "_language.lang_pred")).select(*docs.columns)
+    """Keeps texts with a main language, and gives it to rows without one. Null and empty texts go; repeated rows and other columns stay as they are."""
+    said = "_".join(docs.columns)  # longer than any column's name
+    kept = docs.withColumn(said, languages.predictor(languages.fit(docs))(F.col("text"))).where((F.col(f"{said}.lang_pred") != languages.UNDETERMINED) & (F.col(f"{said}.score") >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", f"{said}.lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each SimHash group the document of the smallest id, once. A row without an id stays."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Keeps of each SimHash group the row of the smallest id, once; a row without an id where its whole group has none."""
+    return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops rows that hold a benchmark item by their own text, whatever their id. Null and empty texts stay."""
     return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -50,6 +44,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences; a null or empty text is its end id alone, and every row is a document of its own."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -62,12 +57,8 @@ ORACLE_SQL = None
 
 
 def _reread(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder of spark.checkpoint.dir and read again."""
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="calorant-pipeline-")
-        atexit.register(shutil.rmtree, shared, True)
-    path = f"{shared}/pipeline-{uuid.uuid4()}"
+    """df written as Parquet in the session's shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/pipeline-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
