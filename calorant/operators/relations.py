@@ -91,10 +91,18 @@ def newest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """A page of rows with the total of all rows as total_rows, by a top-k and a separate count."""
+    """A page of rows with the total of all rows as total_rows, by a top-k and a separate count.
+
+    A page past the last row is one row of nulls with the total, so that this isn't lost.
+    """
     total = df.agg(F.count("*").alias("total_rows"))
     rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
-    return rows.join(F.broadcast(total))
+    return total.join(F.broadcast(rows), F.lit(True), "left").select(*df.columns, "total_rows")
+
+
+def nearest_rank(column: str, percent: int) -> Column:
+    """The value at the nearest rank of a percentage: the least that so many of the rows don't exceed; null of none."""
+    return F.expr(f"percentile_disc({percent / 100}) within group (order by {column})")
 
 
 def all_of(rules: list[Column]) -> Column:

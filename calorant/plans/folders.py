@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder of spark.checkpoint.dir or setCheckpointDir; a temporary one only for a local session without either."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="calorant-")
         atexit.register(shutil.rmtree, base, True)
     return f"{base}/{purpose}-{uuid.uuid4().hex}"

@@ -37,12 +37,23 @@ def load(incoming: DataFrame, path: str, most_detail: int = 20) -> dict[str, int
         raise LoadConflict(f"stored with another payload: {', '.join(clash)}")
     counts = {r.load_class: r["count"] for r in classed.groupBy("load_class").count().collect()}
     classed.where("load_class = 'new'").drop("load_class").write.mode("append").parquet(path)
-    missing = classed.join(spark.read.parquet(path).select(IDENTITY), IDENTITY, "left_anti").limit(1).count()
-    if missing:
-        raise RuntimeError("a row that was to be loaded isn't there")
+    held = spark.read.parquet(path).groupBy(IDENTITY).agg(F.count("*").alias("times"))
+    wrong = classed.select(IDENTITY).join(held, IDENTITY, "left").where("times is null or times > 1").limit(1).count()
+    if wrong:
+        raise RuntimeError("a row that was to be loaded isn't there, or is there twice")
     return {"inserted": counts.get("new", 0), "reused": counts.get("replay", 0)}
 
 
+def publish_coverage(runs: DataFrame, path: str, run: str, apart: tuple[str, ...] = ("published_at_utc",)) -> dict[str, int]:
+    """Append one row a run with a hash of its content; a replay is reused, changed content is a LoadConflict.
+
+    The content is all columns but those `apart`, as JSON in the order of their names, nulls included.
+    """
+    content = F.to_json(F.struct(*sorted(c for c in runs.columns if c not in apart)), {"ignoreNullFields": "false"})
+    identity = F.sha2(F.concat(F.lit("run::"), F.col(run).cast("string")), 256)
+    return load(runs.withColumns({IDENTITY: identity, PAYLOAD: F.sha2(content, 256)}), path)
+
+
 def reconciliation(rows: DataFrame) -> DataFrame:
     """One row of counts by outcome (accepted, quarantined, replay), and whether they add up to all."""
     count = lambda outcome: F.count_if(F.col("outcome") == outcome)

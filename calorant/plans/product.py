@@ -58,6 +58,12 @@ def context(facts: DataFrame, keys: list[str], name: str) -> DataFrame:
     return facts.groupBy(*keys).agg(F.max_by(name, "effective_from_utc").alias(name), F.min("operating_date").alias("first_date"), F.max("operating_date").alias("last_date"))
 
 
+def context_tree(facts: DataFrame, authorized: Column, tenant: str, tenants: list, places: list[str], day: str) -> DataFrame:
+    """The places that an actor may see, with the first and last day that each has facts for, in the places' order."""
+    seen = scoped(facts, authorized, tenant, tenants)
+    return seen.groupBy(*places).agg(F.min(day).alias("minimum_reporting_date"), F.max(day).alias("maximum_reporting_date")).orderBy(*places)
+
+
 def intervals(facts: DataFrame, status: str | None, number: int, size: int) -> DataFrame:
     """A page of intervals in order of place and time, with the total; sizes up to MOST_ROWS."""
     if not 1 <= size <= MOST_ROWS or number < 1:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from calorant.plans.load import LoadConflict, load, reconciliation
+from calorant.plans.load import LoadConflict, load, publish_coverage, reconciliation
 from calorant.plans.serving import Snapshots, retention_plan
 
 ROWS = "pipeline_identity_sha256 string, pipeline_payload_sha256 string, v int"
@@ -44,3 +44,36 @@ def test_snapshots(spark, tmp_path):
 def test_two_versions_at_least_are_kept(spark):
     versions = spark.createDataFrame([(k,) for k in range(5)], "version_id int").withColumn("published_at", F.make_date(F.lit(2026), F.lit(1), F.col("version_id") + 1))
     assert {r.version_id: r.action for r in retention_plan(versions, keep=1, protected=[0]).collect()} == {4: "keep", 3: "keep", 2: "delete", 1: "delete", 0: "protected"}
+
+
+def test_coverage_is_published_once(spark, tmp_path):
+    path = str(tmp_path / "coverage")
+    run = lambda rows, at: spark.createDataFrame([("r1", rows, None, at)], "run_id string, row_count int, note string, published_at_utc string")
+    assert publish_coverage(run(5, "t1"), path, "run_id") == {"inserted": 1, "reused": 0}
+    assert publish_coverage(run(5, "t2"), path, "run_id") == {"inserted": 0, "reused": 1}
+    with pytest.raises(LoadConflict):
+        publish_coverage(run(6, "t3"), path, "run_id")
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_cleanup_plans_first_and_takes_markers_back_before_rows(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path), ["k"], "d")
+    df = lambda n: spark.createDataFrame([(k, "2026-01-01", str(n)) for k in range(n)], "k int, d string, v string")
+    assert s.readiness() == {"ready": False, "reason": "no_ready_version"}
+    for n in range(1, 5):
+        s.publish(f"v{n}", df(n), f"2026-01-0{n} 00:00:00")
+    df(1).write.parquet(f"{tmp_path}/versions/broken")
+    assert s.readiness()["ready"] and s.readiness()["actual_rows"] == 4
+    want = {"kept": ["v4", "v3"], "retired": ["v2", "v1"], "invisible": ["broken"]}
+    assert s.cleanup() == want | {"disposition": "planned"} and s.read("v1").count() == 1
+    for wrong in ({"apply": True}, {"keep": 1}, {"protected": ("v1",)}):
+        with pytest.raises(ValueError):
+            s.cleanup(**wrong)
+    assert s.cleanup(apply=True, locked=True, protected=("v4",)) == want | {"disposition": "removed"}
+    assert s.read("v1") is None and s.read().count() == 4 and set(s._folders()) == {"v3", "v4"}
+    assert s.cleanup(apply=True, locked=True)["disposition"] == "nothing_to_remove"
+    with pytest.raises(ValueError):
+        s.publish("v4", df(2), "2026-01-09 00:00:00")
+    assert s.read().count() == 4
+    df(3).write.mode("overwrite").parquet(f"{tmp_path}/versions/v4")
+    assert s.readiness()["reason"] == "row_count_mismatch"
