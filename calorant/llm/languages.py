@@ -136,7 +136,9 @@ def fit(docs: DataFrame) -> Model:
     Counts are summed per task of a fixed number, so what the driver gets doesn't grow.
     """
     sample = checkpoint(docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(SAMPLE))
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"]).select("lang", "text").repartition(8)
+    texts = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(sample), ["doc_id", "lang"])
+    # of an id with several texts one, so rows are as many as the sample's
+    texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text").repartition(8)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: dict[str, np.ndarray] = {}
@@ -214,7 +216,8 @@ def label(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     spans: start and end in characters and lang, from the first word of a run to the end of its last.
     lang_pred is the language with the most letters, score its share of them. A text that is null,
     empty or without a letter has `und`, score 0 and no spans, and so has every text if nothing was
-    learned. Repeated rows stay; an empty table gives no rows; other columns are ignored.
+    learned. A text of any length is labelled whole, with memory in proportion to it. Repeated rows stay;
+    an empty table gives no rows; other columns are ignored.
     """
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
 

@@ -151,7 +151,7 @@ def media_features(docs: DataFrame, frame: int = FRAME, streams: int = STREAMS,
     """Store each text's bytes as a container, read the stored bytes back and describe them.
 
     A null text counts as empty: one packet of padding. Equal texts give equal values whatever their
-    id; repeated rows stay. An empty table gives no rows; other columns are ignored.
+    id; repeated rows stay. A text of any length is one container. An empty table gives no rows; other columns are ignored.
     """
 
     def describe(data: bytes) -> tuple:

@@ -182,7 +182,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     `tokenizer` is the path of a tokenizers JSON file that every executor can read. A null or empty
-    text is the end id alone. Rows with the same doc_id are separate documents. No row comes of an
+    text is the end id alone. Rows with the same doc_id are separate documents; of remainders of one
+    length the last that came goes first. A text of any length is encoded whole and cut at the window. No row comes of an
     empty table; other columns are ignored. sequence_id is the input partition's number and a count
     in it, so a task that runs again gives the same ids.
     """

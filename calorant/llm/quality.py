@@ -103,6 +103,12 @@ def labelled_sample(labels: DataFrame, label: str, most: int = SAMPLE) -> DataFr
     return checkpoint(own.where("label = high and doc_id is not null").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
 
 
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, label and text of the sample's ids, checkpointed: of an id with several texts the one of the smallest hash, so rows are as many as ids."""
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
+    return checkpoint(texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on rows of labels (doc_id, quality). Every other row of the sample gives blocks, the rest calibrate.
 
@@ -110,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     Without labels of both classes the score is their share of ones, or a half if there are none.
     """
     sample = labelled_sample(labels, "quality")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
+    texts = sampled_texts(docs, sample)
     for_blocks = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(2)) == 0
 
     @F.pandas_udf("array<binary>")
@@ -134,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from CUTOFF on) of every row, from its whole text alone.
 
-    A null or empty text gets the share of label 1. Repeated rows stay; other columns are ignored.
+    A null or empty text gets the share of label 1. A text of any length is scored whole, block by
+    block. Repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     return docs.select("doc_id", model.score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= CUTOFF).cast("int"))

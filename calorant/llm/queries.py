@@ -20,7 +20,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 5) == 0
     model = languages.fit(docs.where(~held_out))
-    return languages.label(docs, model, spans=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.start.cast("string"), s.end.cast("string"), s.lang)), ",")
+    return languages.label(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", spans.alias("spans"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

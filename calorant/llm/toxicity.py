@@ -15,8 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calorant.llm.common import checkpoint
-from calorant.llm.quality import CUTOFF, labelled_sample
+from calorant.llm.quality import CUTOFF, labelled_sample, sampled_texts
 from calorant.llm.trees import Boosted, boost, isotonic
 
 #: Insults, and words of second-person address, in English, French, German and Spanish.
@@ -109,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     score is the labels' share of ones, or 0 if there are none.
     """
     sample = labelled_sample(labels, "toxic", SAMPLE)
-    texts = checkpoint(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null"))
+    texts = sampled_texts(docs, sample)
     trains = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) != 0
     lexicon = learn_lexicon(texts.where(trains))
 
@@ -129,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 from CUTOFF on) of every row, from its whole text alone.
 
-    A null text counts as empty and is scored by its zero features. Repeated rows stay; other columns
-    are ignored.
+    A null text counts as empty and is scored by its zero features. A text of any length is one row's
+    list of words. Repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
 
     @F.pandas_udf("double")
