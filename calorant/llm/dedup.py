@@ -105,7 +105,8 @@ def bodies(docs: DataFrame, units, window: int, gram: int, reach: int) -> DataFr
                 body = [u.piece(k, a, a + n + reach - 1) for k, a, n in zip(piece.tolist(), start.tolist(), windows.tolist())]
                 yield pd.DataFrame({"shard": shard, "row": rows[d], "id": ids[d], "copies": copies[d], "start": first[piece] + start, "windows": windows, "body": body})
 
-    return docs.select("text", "row", "id", "copies", "anchors", "shards").mapInPandas(run, "shard long, row long, id long, copies long, start long, windows int, body binary")
+    # with all columns of the documents, so that their exchange is the one that the result reads too
+    return docs.select("doc_id", "text", "id", "row", "key", "copies", "anchors", "shards").mapInPandas(run, "shard long, row long, id long, copies long, start long, windows int, body binary")
 
 
 def spans_schema(levels: int) -> str:
