@@ -208,7 +208,8 @@ def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, win
     known = checkpoint(classes.join(wanted, "row", "left"))
     crowded = checkpoint(known.select(F.explode(F.array_distinct("shards")).alias("shard")).groupBy("shard").agg(F.count("*").alias("texts")).where(F.col("texts") > crowd).select("shard"))
     many = crowded.limit(BROADCAST + 1).count()
-    judge = docs.join(known, ["row", "key"]).where("id = low and size(anchors) > 0")
+    # an equality would become part of the join's key, and the exchange one of its own
+    judge = docs.join(known, ["row", "key"]).where("id <= low and size(anchors) > 0")
     found = bodies(judge, units, window, gram, reach)
     if many:
         marked = F.broadcast(crowded) if many <= BROADCAST else crowded
