@@ -30,3 +30,8 @@ def state_fingerprint(*parts: Column | str) -> Column:
 def readable_time(ts: Column) -> Column:
     """ISO 8601 with microseconds of an instant held in UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def percent_encoded(text: Column) -> Column:
+    """Percent-encoding of all but letters, digits and -._~, byte by byte of the text's UTF-8."""
+    return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))

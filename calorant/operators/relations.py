@@ -75,11 +75,15 @@ def contrary(df: DataFrame, identity: list[str], payload: str) -> DataFrame:
 
 
 def resolved_duplicates(df: DataFrame, identity: list[str], payload: str, line: str) -> DataFrame:
-    """df with duplicate_class: conflict for all rows of a contrary identity, else accepted for the lowest line and replay."""
-    w = Window.partitionBy(*identity)
-    clash = F.min(payload).over(w) != F.max(payload).over(w)
-    first = F.row_number().over(w.orderBy(line)) == 1
-    return df.withColumn("duplicate_class", F.when(clash, "conflict").when(first, "accepted").otherwise("replay"))
+    """df with duplicate_class: conflict for all rows of a contrary identity, else accepted for the lowest line and replay.
+
+    line is unique within an identity. Each identity is reduced before it is joined, and never gathered in one task.
+    """
+    names = {c: f"_id_{i}" for i, c in enumerate(identity)}
+    whole = df.groupBy(*(F.col(c).alias(n) for c, n in names.items())).agg((F.min(payload) != F.max(payload)).alias("_clash"), F.min(line).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    kind = F.when(F.col("_clash"), "conflict").when(F.col(line).eqNullSafe(F.col("_first")), "accepted").otherwise("replay")
+    return df.join(whole, same).withColumn("duplicate_class", kind).drop(*names.values(), "_clash", "_first")
 
 
 def newest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:

@@ -113,3 +113,29 @@ def q50_load_classes_by_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = F.when(F.col("o_orderkey") % 9 == 0, "X").otherwise(F.col("o_custkey").cast("string"))
     stored = read(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select("o_orderkey", F.sha2(F.concat_ws("|", changed, "o_orderstatus"), 256).alias("payload"))
     return relations.load_classes(rows, settled(stored, "stored"), "o_orderkey", "payload").select("o_orderkey", "load_class")
+
+
+@query("""WITH i AS (SELECT CASE (l_orderkey + l_linenumber) % 11 WHEN 0 THEN ['empty_jsonl_line'] WHEN 1 THEN ['record_not_object'] WHEN 2 THEN ['duplicate_json_key'] WHEN 3 THEN ['schema_validation_failed'] WHEN 4 THEN ['interval_not_30_minutes']
+ WHEN 5 THEN ['capacity_arithmetic_mismatch'] WHEN 6 THEN ['interval_not_30_minutes', 'capacity_arithmetic_mismatch'] WHEN 7 THEN ['invalid_json'] WHEN 8 THEN ['payload_not_canonical_json', 'schema_validation_failed'] ELSE [NULL] END AS codes FROM lineitem),
+c AS (SELECT unnest(codes) AS code FROM i) SELECT 'delivery_point_capacity_assessment' AS feed, CASE WHEN code IS NULL THEN 'accepted' ELSE 'quarantined' END AS outcome, code, count(*) AS rows FROM c GROUP BY ALL""")
+def q51_validation_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines made of every order line, faulty by its numbers, through the file, schema, duplicate and row passes."""
+    from calorant.plans import validation
+    from calorant.sources.contracts import CONTRACTS
+
+    feed, kind = "delivery_point_capacity_assessment", (F.col("l_orderkey") + F.col("l_linenumber")) % 11
+    ceiling, held = F.col("l_quantity").cast("decimal(12,6)"), F.col("l_linenumber").cast("decimal(12,6)")
+    left = F.greatest(ceiling - held, F.lit(0).cast("decimal(12,6)")) + F.when(kind.isin(5, 6), 1).otherwise(0)
+    number = lambda c: F.when(kind == 3, "1.5").otherwise(c.cast("decimal(14,6)").cast("string"))
+    name = F.concat_ws("-", F.lit("DP"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(14,2)").cast("string"))
+    same = {"source_schema_id": feed, "source_schema_version": "1.0.0", "source_system_id": "s", "revision_type": "original", "published_at_utc": "2026-08-01T00:00:00Z", "approval_state": "approved", "approved_at_utc": "2026-08-01T00:00:00Z", "approved_by": "ops", "assessment_status": "final", "quantity_unit": "MWh_th",
+            "assessment_method": "m", "assessment_method_version": "1", "capacity_reason_code": "normal", "finalized_at_utc": "2026-08-01T00:00:00Z", "interval_start_utc": "2026-08-26T00:00:00Z"}
+    own = {"synthetic_data": F.lit(True), "source_revision": F.lit(1), "source_capacity_revision_id": name, "delivery_point_natural_id": name, "interval_end_utc": F.when(kind.isin(4, 6), "2026-08-26T01:00:00Z").otherwise("2026-08-26T00:30:00Z"),
+           "nameplate_ceiling_mwh_th": number(ceiling), "operational_restriction_mwh_th": number(held), "deliverable_capacity_mwh_th": number(left)}
+    sound = F.to_json(F.struct(*(F.lit(v).alias(n) for n, v in same.items()), *(c.alias(n) for n, c in own.items())))
+    line = F.when(kind == 0, "").when(kind == 1, "[1]").when(kind == 2, '{"a": 1, "a": 2}').when(kind == 7, '{"a": NaN}').when(kind == 8, F.concat(F.lit('{"a": 1e400, '), F.substring(sound, 2, 1 << 20))).otherwise(sound)
+    contract = CONTRACTS[feed]
+    df = settled(validation.parsed(read(spark, sf_dir, "lineitem").select(name.alias("locator"), line.alias("line")), feed, contract), feed)
+    df = validation.local(validation.opaque_once(validation.unduplicated(df), contract.opaque), feed)
+    outcome = F.when(F.size("issues") > 0, "quarantined").when(F.col("replay"), "replay").otherwise("accepted")
+    return validation.report({feed: df.withColumn("outcome", outcome)})

@@ -411,6 +411,7 @@ def q40_stream_30m_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     from calorant.streaming.windows import counted_windows, drained
 
     source = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    return drained(counted_windows(source.select("ts", "event_type"), "ts", ["event_type"], "30 minutes"), shared_folder(spark, "stream"))
+    counts = counted_windows(source.select("ts", "event_type"), "ts", ["event_type"], "30 minutes")
+    return drained(counts, shared_folder(spark, "stream"), ["window_start", "event_type"])
 
 

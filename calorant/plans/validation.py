@@ -11,7 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from calorant.functions.keys import percent_encoded
 from calorant.operators import ranges
 from calorant.plans.folders import settled
 from calorant.sources.contracts import CONTRACTS, Contract
@@ -39,6 +41,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(place.alias("locator"), F.col("value").alias("line"))
 
 
+def read_bundle(spark: SparkSession, folder: str, names: dict[str, str] | None = None) -> tuple[Feeds, DataFrame]:
+    """Lines of the files that a folder holds, by feed, and issues (feed, code) of the bundle.
+
+    names: the file of each feed, <feed>.jsonl unless given. A feed without a name is dataset_missing, one
+    whose file isn't there dataset_file_missing, and one that no contract knows unsupported_dataset. A file
+    without lines is there, and counts as empty.
+    """
+    names = {feed: f"{feed}.jsonl" for feed in CONTRACTS} if names is None else names
+    lines: Feeds = {}
+    issues = [(feed, "unsupported_dataset") for feed in sorted(set(names) - set(CONTRACTS))] + [(feed, "dataset_missing") for feed in CONTRACTS if feed not in names]
+    for feed in CONTRACTS:
+        if feed in names:
+            try:
+                lines[feed] = read_lines(spark, f"{folder}/{names[feed]}")
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                issues.append((feed, "dataset_file_missing"))
+    return lines, spark.createDataFrame(issues, "feed string, code string")
+
+
 def issued(df: DataFrame, codes: Column) -> DataFrame:
     """df with further issue codes (an array; null counts as none), each once."""
     return df.withColumn("issues", F.array_union("issues", F.coalesce(codes, F.array().cast("array<string>"))))
@@ -51,7 +74,8 @@ def _when(rules: dict[str, Column]) -> Column:
 def parsed(lines: DataFrame, feed: str, contract: Contract) -> DataFrame:
     """Typed rows of lines (locator, line): issues of the file and schema passes, broken fields and rules as failures.
 
-    payload_sha256 is of the object with its keys sorted; an explicit null and an absent key differ.
+    payload_sha256 is of the object with its keys sorted at every depth; an explicit null and an absent key
+    differ. An object with a number beyond a double has no such form. An identity needs each of its fields.
     """
     keys = F.json_object_keys("line")
     file_issue = (
@@ -60,14 +84,17 @@ def parsed(lines: DataFrame, feed: str, contract: Contract) -> DataFrame:
     )
     df = lines.withColumn("_file", file_issue).withColumn("_values", F.when(F.col("_file").isNull(), F.from_json("line", "map<string,variant>")))
     canonical = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys("_values")), lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.coalesce(F.to_json(F.col("_values")[k]), F.lit("null")))), ","), F.lit("}"))
-    df = df.withColumns({f.name: f.value() for f in contract.fields} | {"payload_sha256": F.when(F.col("_file").isNull(), F.sha2(canonical, 256))})
+    finite = ~F.exists(F.map_values("_values"), lambda v: F.coalesce(F.abs(F.try_variant_get(v, "$", "double")) == float("inf"), F.lit(False)))
+    df = df.withColumns({f.name: f.value() for f in contract.fields} | {"payload_sha256": F.when(F.col("_file").isNull() & finite, F.sha2(canonical, 256))})
     unknown = F.array_except(F.map_keys("_values"), F.array(*(F.lit(f.name) for f in contract.fields)))
     broken = _when({f.name: f.broken() for f in contract.fields} | {f"rule {name}": F.expr(rule) for name, rule in contract.rules.items()})
     df = df.withColumn("failures", F.when(F.col("_file").isNull(), F.concat(broken, F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k)))))
-    issue = F.when(F.col("_file").isNotNull(), F.array("_file")).when(F.size("failures") > 0, F.array(F.lit("schema_validation_failed"))).otherwise(F.array().cast("array<string>"))
-    text = lambda name: F.replace(F.try_variant_get(F.col("_values")[name], "$", "string"), F.lit(":"), F.lit("%3A"))
+    text = lambda name: percent_encoded(F.try_variant_get(F.col("_values")[name], "$", "string"))
     identity = F.concat(F.lit(feed), *(F.concat(F.lit(f"::{name}="), text(name)) for name in ("source_system_id", *contract.episode, "source_revision")))
-    return df.withColumns({"issues": issue, "identity": identity, "replay": F.lit(False)}).drop("_values", "_file")
+    schema = _when({"payload_not_canonical_json": F.col("payload_sha256").isNull(), "schema_validation_failed": F.size("failures") > 0})
+    unnamed = F.when((F.size("_schema") == 0) & F.col("identity").isNull(), F.array(F.lit("identity_not_computable"))).otherwise(F.col("_schema"))
+    df = df.withColumns({"identity": identity, "_schema": schema, "replay": F.lit(False)})
+    return df.withColumn("issues", F.when(F.col("_file").isNotNull(), F.array("_file")).otherwise(unnamed)).drop("_values", "_file", "_schema")
 
 
 def unduplicated(df: DataFrame) -> DataFrame:
@@ -86,15 +113,26 @@ def opaque_once(df: DataFrame, opaque: str) -> DataFrame:
 
 
 def local(df: DataFrame, feed: str) -> DataFrame:
-    """Rules within a row: intervals of half an hour on the half hour, periods forward, capacity arithmetic."""
+    """Rules within a row: intervals of half an hour on the half hour, periods forward, capacity arithmetic.
+
+    A row whose line has a value that a rule needs and can't read, or lacks an instant, fails closed as
+    business_rule_value_invalid: its contract should have found that before.
+    """
     rules: dict[str, Column] = {}
+    unread = lambda *names: reduce(lambda a, b: a | b, (F.col(n).isNull() & F.get_json_object("line", f"$.{n}").isNotNull() for n in names))
+    invalid: list[Column] = []
     if feed in INTERVALS:
+        invalid += [F.col("interval_start_utc").isNull() | F.col("interval_end_utc").isNull()]
         rules["interval_not_30_minutes"] = F.expr("interval_end_utc <> interval_start_utc + interval 30 minutes")
         rules["interval_not_half_hour_aligned"] = F.expr("date_format(interval_start_utc, 'mm:ss.SSSSSS') not in ('00:00.000000', '30:00.000000')")
     if feed in EFFECTIVE:
+        invalid += [F.col("effective_from_utc").isNull() | unread("effective_to_utc")]
         rules["invalid_effective_period"] = F.expr("effective_from_utc >= effective_to_utc")
     if feed == "delivery_point_capacity_assessment":
+        invalid += [unread("nameplate_ceiling_mwh_th", "operational_restriction_mwh_th", "deliverable_capacity_mwh_th")]
         rules["capacity_arithmetic_mismatch"] = F.expr("deliverable_capacity_mwh_th <> greatest(nameplate_ceiling_mwh_th - operational_restriction_mwh_th, 0)")
+    if invalid:
+        rules["business_rule_value_invalid"] = reduce(lambda a, b: a | b, invalid)
     return issued(df, F.when(F.expr(CLEAN) & ~F.col("replay"), _when(rules))) if rules else df
 
 
@@ -197,7 +235,8 @@ def validate(lines: Feeds) -> Feeds:
     """Each feed's rows (typed, with locator, line, identity, payload_sha256, failures, issues) and their outcome.
 
     lines: by feed, rows of locator (unique within the feed, in the order of lines) and line. Feeds
-    that aren't given count as empty. An unknown feed raises.
+    that aren't given count as empty here; read_bundle tells of them. An unknown feed raises, and so does
+    a bundle without any feed.
     """
     if unknown := set(lines) - set(CONTRACTS):
         raise ValueError(f"unsupported_dataset: {', '.join(sorted(unknown))}")
@@ -213,10 +252,14 @@ def validate(lines: Feeds) -> Feeds:
     return {feed: df.withColumn("outcome", outcome) for feed, df in feeds.items()}
 
 
-def report(feeds: Feeds) -> DataFrame:
-    """feed, outcome, code (null but for quarantined rows) and rows; a row counts under each of its codes."""
+def report(feeds: Feeds, bundle: DataFrame | None = None) -> DataFrame:
+    """feed, outcome, code (null but for quarantined rows) and rows; a row counts under each of its codes.
+
+    Issues of the bundle (feed, code) have the outcome bundle and no rows.
+    """
     each = [df.select(F.lit(feed).alias("feed"), "outcome", F.explode_outer("issues").alias("code")) for feed, df in feeds.items()]
-    return reduce(DataFrame.unionByName, each).groupBy("feed", "outcome", "code").agg(F.count("*").alias("rows"))
+    counts = reduce(DataFrame.unionByName, each).groupBy("feed", "outcome", "code").agg(F.count("*").alias("rows"))
+    return counts if bundle is None else counts.unionByName(bundle.select("feed", F.lit("bundle").alias("outcome"), "code", F.lit(0).cast("bigint").alias("rows")))
 
 
 def accepted(feeds: Feeds) -> Feeds:
@@ -225,10 +268,29 @@ def accepted(feeds: Feeds) -> Feeds:
     return {feed: df.where("outcome = 'accepted'").select(*own(feed), F.sha2("identity", 256).alias("pipeline_identity_sha256"), F.col("payload_sha256").alias("pipeline_payload_sha256")) for feed, df in feeds.items()}
 
 
-def write_outcomes(feeds: Feeds, folder: str) -> None:
-    """accepted/<feed> as Parquet; quarantined/<feed> as JSON lines with issues, the line and its locator; report."""
+def write_outcomes(feeds: Feeds, folder: str, bundle: DataFrame | None = None) -> None:
+    """accepted/<feed> as Parquet; lines/<feed>, accepted objects as JSON with sorted keys; quarantined/<feed> as
+    JSON lines with issues, the line and its locator; report; and last files: path, bytes and sha256 of each.
+
+    A folder without files isn't published yet: readers go by that table, and a run that broke is written anew.
+    """
+    spark = next(iter(feeds.values())).sparkSession
     for feed, df in accepted(feeds).items():
         df.write.mode("overwrite").parquet(f"{folder}/accepted/{feed}")
     for feed, df in feeds.items():
+        df.where("outcome = 'accepted'").select(F.to_json(F.parse_json("line")).alias("value")).write.mode("overwrite").text(f"{folder}/lines/{feed}")
         df.where("outcome = 'quarantined'").select("locator", "identity", "payload_sha256", F.array_sort("issues").alias("issues"), "failures", "line").write.mode("overwrite").json(f"{folder}/quarantined/{feed}")
-    report(feeds).write.mode("overwrite").parquet(f"{folder}/report")
+    report(feeds, bundle).write.mode("overwrite").parquet(f"{folder}/report")
+    hashed([f"{folder}/{part}" for part in ("accepted", "lines", "quarantined", "report")], spark).write.mode("overwrite").parquet(f"{folder}/files")
+
+
+def hashed(folders: list[str], spark: SparkSession) -> DataFrame:
+    """path, bytes and sha256 of every file below the folders."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def altered(spark: SparkSession, folder: str) -> DataFrame:
+    """path of each published file that is gone or no longer has its hash, and of each file that was added."""
+    now = hashed([f"{folder}/{part}" for part in ("accepted", "lines", "quarantined", "report")], spark).select("path", F.col("sha256").alias("_now"))
+    return spark.read.parquet(f"{folder}/files").join(now, "path", "full").where("not (sha256 <=> _now)").select("path")
