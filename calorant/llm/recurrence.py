@@ -67,6 +67,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return mix((prefix[stop] - prefix[start]) * down[start])
 
 
+def window_hashes(prefix: np.ndarray, window: int) -> np.ndarray:
+    """span_hash of every run of `window` bytes, in order."""
+    n = max(0, len(prefix) - window)
+    _, down = powers(len(prefix))
+    return mix((prefix[window : window + n] - prefix[:n]) * down[:n])
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of `width` consecutive values, by doubling."""
     n, size = len(values) - width + 1, 1
@@ -176,10 +183,7 @@ class Bytes(Units):
         self.texts = texts
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        prefix = prefix_hash(data)
-        n = max(0, len(data) - gram + 1)
-        _, down = powers(len(data) + 1)
-        super().__init__(first, mix((prefix[gram : gram + n] - prefix[:n]) * down[:n]), window, gram, most)
+        super().__init__(first, window_hashes(prefix_hash(data), gram), window, gram, most)
 
     def piece(self, d: int, i: int, j: int) -> bytes:
         return self.texts[d][i:j]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from calorant.llm import dedup, recurrence
 from calorant.llm.common import encoded, text_slices
-from calorant.llm.recurrence import prefix_hash, span_hash
+from calorant.llm.recurrence import prefix_hash, span_hash, window_hashes
 
 WINDOW = 400
 GRAM = 32
@@ -29,6 +29,8 @@ GRAM = 32
 CROWD = 4096
 #: Repeated passages from this length on are found too, though only those of WINDOW bytes go: about 40 words.
 PASSAGE = 256
+#: Mask of a hash's low bits.
+LOW = (1 << 20) - 1
 
 
 def suffix_array(symbols: np.ndarray) -> list[int]:
@@ -143,19 +145,24 @@ def symbols_of(group: list[dedup.Region], ends: Ends, longest: int) -> list[list
         own = [b" ".join(words[i:j]) + b" " for i, j in zip([0, *cut], [*cut, len(words)]) if i < j]
         own[-1] = own[-1][:-1]
         out.append(own)
-    if max(len(w) for own in out for w in own) <= longest:
+    if max(max(map(len, own)) for own in out) <= longest:
         return out
-    if max(len(w) for words in split for w in words) < longest:
+    if max(max(map(len, words)) for words in split) < longest:
         return [[*(w + b" " for w in words[:-1]), words[-1]] for words in split]
     return [[body[i : i + 1] for i in range(len(body))] for body, *_ in group]
 
 
 def among(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which values are among others."""
+    """Which hashes are among others. Most are told apart by their low bits, the rest by a search."""
     if not len(of):
         return np.zeros(len(values), dtype=bool)
-    of = np.sort(of)
-    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+    low = np.uint64(LOW)
+    marked = np.zeros(LOW + 1, dtype=bool)
+    marked[of & low] = True
+    out, of = marked[values & low], np.sort(of)
+    left = values[out]
+    out[out] = of[np.minimum(np.searchsorted(of, left), len(of) - 1)] == left
+    return out
 
 
 def confirmed(joined: bytes, a: np.ndarray, b: np.ndarray, length: np.ndarray, least: int) -> np.ndarray:
@@ -217,10 +224,10 @@ def recurring_windows(groups: list[list[dedup.Region]], windows: tuple[int, ...]
         near = np.flatnonzero((match[1:] >= window - size[:-1]) & (symbols[:-1] > 0) & (symbols[1:] > 0)) + 1
         inside = between(place[near - 1], place[near] - np.maximum(window - match[near], 1) + 1) & mine
         every, open_, near = np.flatnonzero(mine), mine & ~again, np.flatnonzero(inside)
-        hashes, beside = span_hash(prefix, every, every + window), np.flatnonzero(open_ & ~inside)
-        wanted = np.concatenate((hashes[(open_ & inside)[every]], (x := span_hash(prefix, beside, beside + window))[among(x, span_hash(prefix, near, near + window))]))
+        hashes, beside = window_hashes(prefix, window), np.flatnonzero(open_ & ~inside)
+        wanted = np.concatenate((hashes[np.flatnonzero(open_ & inside)], (x := hashes[beside])[among(x, hashes[near])]))
         seen: dict[bytes, int] = {}
-        for at in every[among(hashes, wanted)].tolist():
+        for at in every[among(hashes[every], wanted)].tolist():
             body = joined[at : at + window]
             if (other := seen.setdefault(body, at)) != at:
                 again[at] = again[other] = True
@@ -237,6 +244,11 @@ def kernel(windows: tuple[int, ...]) -> dedup.Kernel:
             flat = [(k, r) for k, g in enumerate(groups) for r in range(len(g))]
             for level, each in enumerate(recurring_windows(groups, windows)):
                 for (k, r), again in zip(flat, each):
+                    if not again.any():
+                        continue
+                    if again.all():
+                        out[k][r].append((0, len(again), groups[k][r][2], level))
+                        continue
                     cut, values = recurrence.runs(again)
                     out[k][r] += [(int(a), int(b - a), groups[k][r][2], level) for a, b, v in zip(cut[:-1], cut[1:], values) if v]
         return out
