@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read from there: smaller than a checkpoint, where columns are narrow."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_slices(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs [i, j) of about `most` bytes, one text at least, to bound array sizes."""
     i = size = 0

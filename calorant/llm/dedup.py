@@ -2,7 +2,8 @@
 
 1. Rows of equal text are one class, by a 128-bit cut of SHA-256, counted before anything is shuffled.
    One member, with the smallest id, is judged; the others follow from it.
-2. Every text gives its regions' anchors, and anchors of one class alone are dropped by a pre-aggregated count.
+2. Every text gives its regions' anchors, once, to a written table; anchors of one class alone are dropped by a
+   pre-aggregated count.
 3. The regions of the remaining anchors are brought together by shard with all their units, and a
    kernel (repeated-phrase automata for words, suffix arrays for bytes) says of each window whether,
    and where first, it recurs. It compares units, not hashes. Anchors that the same few texts share
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calorant.llm.common import checkpoint, encoded, text_slices
+from calorant.llm.common import checkpoint, encoded, text_slices, written
 
 NO_ID = (1 << 63) - 1
 SHARD = 400_000
@@ -197,7 +198,7 @@ def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, win
     reach = reach or window
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("row"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("key"))
-    every = anchors(docs, units, window, gram, reach)
+    every = written(anchors(docs, units, window, gram, reach))
     spread = [F.min("row").alias("least"), F.max("row").alias("most"), F.count("*").alias("n")]
     seen = every.groupBy("anchor").agg(*spread, *([F.max("own").alias("own"), F.max("long").alias("long")] if units.inner else [F.max("long").alias("long")]))
     shard = F.when((F.col("n") <= FEW) & ~F.col("long"), F.xxhash64("least", "most", "n")).otherwise(F.col("anchor"))
