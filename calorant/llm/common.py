@@ -74,3 +74,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(32)
     return x
+
+
+def _shifted(c: int, bits: int) -> int:
+    """A CRC-32 register after so many zero bits."""
+    for _ in range(bits):
+        c = c >> 1 ^ 0xEDB88320 * (c & 1)
+    return c
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's unsigned CRC-32 of a text's UTF-8, nibble by nibble, the low one of a byte first."""
+    digits = f"hex(encode({text}))"
+    nibbles = f"list_transform(range(0, length({digits})), lambda i: cast(instr('0123456789ABCDEF', {digits}[(i // 2) * 2 + 2 - i % 2]) - 1 as bigint))"
+    step = f"xor(c >> 4, cast({[_shifted(c, 4) for c in range(16)]}[(xor(c, b) & 15) + 1] as bigint))"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {nibbles}), lambda c, b: {step}), cast(4294967295 as bigint))"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorant.llm import decontamination, languages, ogg, packing, phrases, quality, secrets, simhash, suffixes, toxicity
+from calorant.llm import decontamination, languages, ogg, packing, phrases, quality, secrets, simhash, suffixes, toxicity, variants
 from calorant.llm.common import fold, table
 
 
@@ -62,9 +62,17 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = variants.runs(table(spark, sf_dir, "documents"))
+    h, size = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary")), F.length("word")
+    at = (h % size).cast("int")
+    cut = F.concat(F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 2, size))
+    return variants.group(run.select(F.when(h % 31 == 0, cut).otherwise(F.col("word")).alias("word")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes, op13_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.oracle()}
+    return {"op5_decontamination": decontamination.oracle(), "op13_variants": variants.oracle()}
