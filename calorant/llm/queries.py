@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorant.llm import decontamination, languages, ogg, packing, phrases, quality, secrets, simhash, suffixes, toxicity, variants
-from calorant.llm.common import fold, table
+from calorant.llm import decontamination, languages, ogg, packing, phrases, quality, secrets, simhash, suffixes, toxicity, turns, urls, variants
+from calorant.llm.common import fold, table, written
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,15 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(turns.ordered(table(spark, sf_dir, "conversations")))
+    return turns.trie(turns.regrown(own, fold("conv_id", 4)))
+
+
 def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = variants.runs(table(spark, sf_dir, "documents"))
     h, size = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("word")).cast("binary")), F.length("word")
@@ -71,8 +80,8 @@ def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes, op13_variants)}
+    return {f.__name__: f for f in (op1_quality, op2_languages, op3_packing, op4_secrets, op5_decontamination, op6_toxicity, op7_simhash, op8_phrases, op9_ogg, op10_suffixes, op11_url_filters, op12_turns, op13_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.oracle(), "op13_variants": variants.oracle()}
+    return {"op5_decontamination": decontamination.oracle(), "op11_url_filters": urls.oracle(), "op12_turns": turns.oracle(), "op13_variants": variants.oracle()}
