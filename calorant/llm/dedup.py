@@ -10,7 +10,7 @@
    are one shard, so that neighbouring regions move as one; any other anchor is a shard of its own.
 4. What the windows cover is removed from the documents.
 
-A shard with more than `crowd` texts isn't gathered in one task: its distinct regions are
+A shard with more than `crowd` texts, or REGIONS regions, isn't gathered in one task: its distinct regions are
 pre-aggregated and each of their windows becomes a row, by a 128-bit hash, counted without gathering.
 
 A text longer than SLICE is worked on in pieces that overlap by a window less a unit, so memory
@@ -35,6 +35,8 @@ SLICE = 400_000
 #: Anchors of up to this many rows, none of a text above LONG bytes, share a shard with those of the same rows.
 FEW = 64
 LONG = 100_000
+#: Most regions of a shard, of all its texts, that are judged in one task.
+REGIONS = 16_384
 #: Crowded shards are broadcast up to this many (of 8 bytes); beyond, both sides are shuffled.
 BROADCAST = 500_000
 
@@ -187,7 +189,7 @@ def counted(found: DataFrame, windows_of: Callable[[bytes, int], list[tuple[int,
     return at.select("row", "id", *(F.transform(F.filter("said", goes(k)), run_of).alias(f"found{k}") for k in range(levels)))
 
 
-def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, windows_of, crowd: int, across: bool, reach: int | None = None, levels: int = 1) -> DataFrame:
+def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, windows_of, crowd: int, across: bool, reach: int | None = None, levels: int = 1, most: int = REGIONS) -> DataFrame:
     """Every row's doc_id and text, with id, the smallest id of its text's class (low), the class's size
     (copies), and for each level the runs of windows that go in the row of the smallest id
     (found0 and so on; null if none).
@@ -203,11 +205,14 @@ def removals(docs: DataFrame, units, window: int, gram: int, kernel: Kernel, win
     seen = every.groupBy("anchor").agg(*spread, *([F.max("own").alias("own"), F.max("long").alias("long")] if units.inner else [F.max("long").alias("long")]))
     shard = F.when((F.col("n") <= FEW) & ~F.col("long"), F.xxhash64("least", "most", "n")).otherwise(F.col("anchor"))
     recurring = seen.where("least < most or own" if units.inner else "least < most").select("anchor", shard.alias("shard"))
-    held = every.select("anchor", "row").join(recurring, "anchor").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("anchor", "shard"))).alias("held"))
-    wanted = held.select("row", F.col("held.anchor").alias("anchors"), F.col("held.shard").alias("shards"))
+    each = every.select("anchor", "row").join(recurring, "anchor").groupBy("row", "anchor", "shard").agg(F.count("*").alias("n"))
+    held = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("anchor", "shard", "n"))).alias("held"))
+    wanted = held.select("row", F.col("held.anchor").alias("anchors"), F.col("held.shard").alias("shards"), F.col("held.n").alias("regions"))
     classes = docs.groupBy("row", "key").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     known = checkpoint(classes.join(wanted, "row", "left"))
-    crowded = checkpoint(known.select(F.explode(F.array_distinct("shards")).alias("shard")).groupBy("shard").agg(F.count("*").alias("texts")).where(F.col("texts") > crowd).select("shard"))
+    own = known.select("row", F.explode(F.arrays_zip("shards", F.transform("regions", lambda n: n / F.col("copies")).alias("regions"))).alias("r")).groupBy("row", F.col("r.shards").alias("shard")).agg(F.sum("r.regions").alias("regions"))
+    full = own.groupBy("shard").agg(F.count("*").alias("texts"), F.sum("regions").alias("regions"))
+    crowded = checkpoint(full.where((F.col("texts") > crowd) | (F.col("regions") > most)).select("shard"))
     many = crowded.limit(BROADCAST + 1).count()
     # an equality would become part of the join's key, and the exchange one of its own
     judge = docs.join(known, ["row", "key"]).where("id <= low and size(anchors) > 0")

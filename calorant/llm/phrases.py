@@ -21,30 +21,39 @@ WINDOW = 13
 GRAM = 3
 #: Most texts whose regions of one anchor are judged in one task.
 CROWD = 4096
-#: Word numbers become characters from here on, past the surrogates.
+#: Word numbers become characters from here on, past the surrogates; so many words have one.
 FIRST = 0xE000
+WORDS = 0x110000 - FIRST
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
+def numbered(groups: list[list[dedup.Region]]) -> list[list]:
+    """The regions' words as numbers: equal numbers are equal words. A region is a text of one character a word; a tuple where there are more words than characters."""
+    numbers: dict[bytes, int] = {}
+    if sum(len(body) + 1 for g in groups for body, *_ in g) <= 2 * WORDS:  # a word takes two bytes with its gap
+        chars: dict[bytes, str] = {}
+        return [["".join([chars.get(w) or chars.setdefault(w, chr(FIRST + len(chars))) for w in body.split(b" ")]) for body, *_ in g] for g in groups]
+    every = [[tuple([numbers.setdefault(w, len(numbers)) for w in body.split(b" ")]) for body, *_ in g] for g in groups]
+    if len(numbers) <= WORDS:
+        return [["".join([chr(FIRST + n) for n in own]) for own in g] for g in every]
+    return every
+
+
 def kernel(window: int) -> dedup.Kernel:
     """Verdicts of one automaton per shard: for each window the smallest id of a region that holds it.
 
-    The phrases are the windows that several regions, or copies of one, hold. A word becomes one
-    character, so that the automaton has a node a word; equal characters are equal words.
+    The phrases are the windows that several regions, or copies of one, hold. The automaton has a node a
+    word: its letters are words' numbers, as characters while those do.
     """
 
     def judge(groups: list[list[dedup.Region]]) -> list[list[list[dedup.Verdict]]]:
         import ahocorasick
 
-        numbers: dict[bytes, str] = {}
-        lows: dict[str, int] = {}
-        recurring: set[str] = set()
-        texts = []
-        for group in groups:
-            own = []
-            for body, n, low, copies in group:
-                text = "".join([numbers.get(w) or numbers.setdefault(w, chr(FIRST + len(numbers))) for w in body.split(b" ")])
-                own.append(text)
+        lows: dict = {}
+        recurring = set()
+        texts = numbered(groups)
+        for group, own in zip(groups, texts):
+            for (_, n, low, copies), text in zip(group, own):
                 for i in range(n):
                     phrase = text[i : i + window]
                     before = lows.get(phrase)
@@ -56,12 +65,12 @@ def kernel(window: int) -> dedup.Kernel:
                             lows[phrase] = low
                     if copies > 1:
                         recurring.add(phrase)
-            texts.append(own)
-        automaton = ahocorasick.Automaton()
-        for phrase in recurring:
-            automaton.add_word(phrase, lows[phrase])
         if not recurring:
             return [[[] for _ in own] for own in texts]
+        letters = isinstance(next(iter(recurring)), str)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING if letters else ahocorasick.KEY_SEQUENCE)
+        for phrase in recurring:
+            automaton.add_word(phrase, lows[phrase])
         automaton.make_automaton()
         out = []
         for own in texts:
