@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calorant.operators import asof, dyadic, scans
+
+#: Levels of blocks of four: the units that a span of time is cut into are 4 ** LEVELS.
+LEVELS = 10
+
 
 def covers(start: str, end: str, begin: Column, stop: Column | None = None) -> Column:
     """Whether [start, end) holds begin (and all of [begin, stop]); an open end holds all after its start."""
@@ -12,36 +17,52 @@ def covers(start: str, end: str, begin: Column, stop: Column | None = None) -> C
     return (F.col(start) <= begin) & (F.col(end).isNull() | inside)
 
 
-def effective_join(df: DataFrame, versions: DataFrame, keys: list[str], start: str, end: str, at: str, until: str | None = None, how: str = "left") -> DataFrame:
+def effective_join(df: DataFrame, versions: DataFrame, keys: list[str], start: str, end: str, at: str, until: str | None = None, how: str = "left", parts: int | None = None) -> DataFrame:
     """df with the version of its keys that is in force at `at` (or over [at, until])."""
-    match = covers(f"_v.{start}", f"_v.{end}", F.col(f"_l.{at}"), None if until is None else F.col(f"_l.{until}"))
-    for k in keys:
-        match = match & (F.col(f"_l.{k}") == F.col(f"_v.{k}"))
-    return df.alias("_l").join(versions.alias("_v"), match, how).select("_l.*", *(f"_v.{c}" for c in versions.columns if c not in keys))
+    keep = None if until is None else lambda row, version: version[end].isNull() | (row[until] <= version[end])
+    return asof.joined(df, versions, keys, start, end, at, keep, how, closed=until is not None, parts=parts)
 
 
 def containment_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str) -> DataFrame:
     """Inner join of points with the ranges [start, end) that hold them, without a key in common.
 
-    Ranges are entered under each day that they touch between the first and the last point, so the
-    join is by day and no product of both sides is made. An open range ends with the last point.
+    The time from the first to the last point is cut into a million units. A range, clipped to that
+    time, enters at most 60 blocks of units, however long or open it is, and a point one block a level; what
+    the units at a range's ends hold beside it is filtered.
     """
-    bounds = points.agg(F.to_date(F.min(at)).alias("_first"), F.to_date(F.max(at)).alias("_last"))
-    dated = ranges.join(F.broadcast(bounds), F.to_date(start) <= F.col("_last"))
-    first, last = F.greatest(F.to_date(start), F.col("_first")), F.least(F.to_date(F.coalesce(F.col(end), F.col("_last").cast("timestamp_ntz"))), F.col("_last"))
-    days = dated.where(first <= last).select(*ranges.columns, F.explode(F.sequence(first, last)).alias("_day"))
-    inside = covers(f"_r.{start}", f"_r.{end}", F.col(f"_p.{at}"))
-    joined = points.withColumn("_day", F.to_date(at)).alias("_p").join(days.alias("_r"), (F.col("_p._day") == F.col("_r._day")) & inside)
-    return joined.select(*(f"_p.{c}" for c in points.columns), *(f"_r.{c}" for c in ranges.columns))
+    micros = lambda t: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), t)
+    bounds = points.agg(F.min(micros(F.col(at))).alias("_first"), F.max(micros(F.col(at))).alias("_last")).withColumn("_unit", F.greatest(F.lit(1), F.ceil((F.col("_last") - F.col("_first") + 1) / 4**LEVELS)))
+    unit = lambda t: F.floor((t - F.col("_first")) / F.col("_unit"))
+    begin, stop = F.greatest(micros(F.col(start)), F.col("_first")), F.least(F.coalesce(micros(F.col(end)) - 1, F.col("_last")), F.col("_last"))
+    clipped = ranges.join(F.broadcast(bounds)).where(F.col(start).isNotNull() & (begin <= stop)).withColumns({"_lo": unit(begin), "_hi": unit(stop) + 1})
+    placed = points.join(F.broadcast(bounds)).withColumn("_at", unit(micros(F.col(at))))
+    pairs = dyadic.held(placed.select(F.struct(*points.columns).alias("_p"), "_at"), clipped.select(F.struct(*ranges.columns).alias("_r"), "_lo", "_hi"), [], "_at", "_lo", "_hi", LEVELS)
+    return pairs.where(covers(f"_r.{start}", f"_r.{end}", F.col(f"_p.{at}"))).select("_p.*", "_r.*")
+
+
+def _far(end: str) -> Column:
+    return F.coalesce(F.col(end), F.lit("9999-12-31").cast("timestamp_ntz"))
 
 
-def overlapping(df: DataFrame, group: list[str], start: str, end: str, tie: str) -> DataFrame:
+def overlapping(df: DataFrame, group: list[str], start: str, end: str, tie: str, parts: int | None = None) -> DataFrame:
     """Rows that overlap another of their group, in one pass: the latest end before, and the next start."""
-    w = Window.partitionBy(*group).orderBy(start, tie)
-    far = F.coalesce(F.col(end), F.lit("9999-12-31").cast("timestamp_ntz"))
-    df = df.withColumn("_far", far)
-    df = df.withColumn("_before", F.max("_far").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_next", F.lead(start).over(w))
-    return df.where((F.col("_before") > F.col(start)) | (F.col("_next") < F.col("_far"))).drop("_far", "_before", "_next")
+    seen = scans.scanned(df.withColumn("_far", _far(end)), group, [start, tie], {"_before": scans.max_before(F.col("_far")), "_next": scans.following(F.col(start))}, parts)
+    return seen.where((F.col("_before") > F.col(start)) | (F.col("_next") < F.col("_far"))).drop("_far", "_before", "_next")
+
+
+def overlap_counts(df: DataFrame, group: list[str], start: str, end: str, key: str, parts: int | None = None) -> DataFrame:
+    """group, key and overlaps: how many other rows of its group each row overlaps. No pairs are made.
+
+    key is unique in a group. Those that start before a row's end, less those that ended by its start and
+    the row itself. Rows that are empty, or have no start, overlap nothing and nothing overlaps them.
+    """
+    rows = df.select(*group, key, F.col(start).alias("_a"), _far(end).alias("_b"))
+    sound = rows.where("_a < _b")
+    at = lambda t, kind: sound.select(*group, key, F.col(t).alias("_t"), F.lit(kind).alias("_kind"))
+    begun, gone = scans.count_upto(F.col("_kind") == 1), scans.count_upto(F.col("_kind") == 0)
+    seen = scans.scanned(at("_b", 0).unionByName(at("_a", 1)), group, ["_t", "_kind"], {"_begun": begun, "_gone": gone}, parts)
+    each = seen.groupBy(*group, key).agg((F.sum(F.when(F.col("_kind") == 0, F.col("_begun")).otherwise(-F.col("_gone"))) - 1).alias("overlaps"))
+    return each.unionByName(rows.where("not coalesce(_a < _b, false)").select(*group, key, F.lit(0).cast("long").alias("overlaps")))
 
 
 def overlapping_pairs(df: DataFrame, group: list[str], start: str, end: str, key: str) -> DataFrame:
@@ -53,8 +74,10 @@ def overlapping_pairs(df: DataFrame, group: list[str], start: str, end: str, key
     return rows.alias("a").join(rows.alias("b"), match).select(*(F.col(f"a.{g}") for g in group), F.col(f"a.{key}").alias(f"left_{key}"), F.col(f"b.{key}").alias(f"right_{key}"))
 
 
-def coverage(df: DataFrame, key: str, versions: DataFrame, keys: list[str], start: str, end: str, at: str, until: str | None = None) -> DataFrame:
-    """key and coverage of each row: missing, ok or ambiguous for none, one or several versions in force."""
-    joined = effective_join(df, versions.withColumn("_hit", F.lit(1)), keys, start, end, at, until)
-    n = F.count("_hit")
-    return joined.groupBy(key).agg(F.when(n == 0, "missing").when(n == 1, "ok").otherwise("ambiguous").alias("coverage"))
+def coverage(df: DataFrame, key: str, versions: DataFrame, keys: list[str], start: str, end: str, at: str, until: str | None = None, parts: int | None = None) -> DataFrame:
+    """key and coverage of each row: missing, ok or ambiguous for none, one or several versions in force. Instants are counted without a join."""
+    said = lambda n: F.when(n == 0, "missing").when(n == 1, "ok").otherwise("ambiguous").alias("coverage")
+    if until is None:
+        return asof.active(df, versions, keys, start, end, at, parts).groupBy(key).agg(said(F.sum("active")))
+    found = effective_join(df, versions.withColumn("_hit", F.lit(1)), keys, start, end, at, until, parts=parts)
+    return found.groupBy(key).agg(said(F.count("_hit")))

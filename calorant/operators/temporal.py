@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calorant.operators import asof, scans
+
 
 def eligible(history: bool = False) -> Column:
     """Approved revisions; a knowledge history also needs the time of publication."""
@@ -23,56 +25,53 @@ def latest_revision(df: DataFrame, identity: list[str], order: list[Column]) ->
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def record_highs(df: DataFrame, identity: list[str], revision: str, clock: Column, tie: str) -> DataFrame:
+def record_highs(df: DataFrame, identity: list[str], revision: str, clock: Column, tie: str, parts: int | None = None) -> DataFrame:
     """Rows whose revision is above all known before: with known_from_utc and prior_max_revision.
 
-    Of several revisions at one instant only the highest counts, by `tie` among equals.
+    Of several revisions at one instant only the highest counts, by `tie` among equals. parts, here and
+    below: as for scans.scanned, where one identity has too many rows for a task.
     """
     df = df.withColumn("known_from_utc", clock)
     one = latest_revision(df, [*identity, "known_from_utc"], [F.col(revision).desc(), F.col(tie).desc()])
-    before = Window.partitionBy(*identity).orderBy("known_from_utc").rowsBetween(Window.unboundedPreceding, -1)
-    return one.withColumn("prior_max_revision", F.max(revision).over(before)).where(F.col("prior_max_revision").isNull() | (F.col(revision) > F.col("prior_max_revision")))
+    seen = scans.scanned(one, identity, ["known_from_utc"], {"prior_max_revision": scans.max_before(F.col(revision))}, parts)
+    return seen.where(F.col("prior_max_revision").isNull() | (F.col(revision) > F.col("prior_max_revision")))
 
 
-def closed(df: DataFrame, identity: list[str]) -> DataFrame:
+def closed(df: DataFrame, identity: list[str], parts: int | None = None) -> DataFrame:
     """known_to_utc: when the next row of the identity is known; null for the last."""
-    return df.withColumn("known_to_utc", F.lead("known_from_utc").over(Window.partitionBy(*identity).orderBy("known_from_utc")))
+    return scans.scanned(df, identity, ["known_from_utc"], {"known_to_utc": scans.following(F.col("known_from_utc"))}, parts)
 
 
-def knowledge_history(df: DataFrame, identity: list[str], revision: str, clock: Column, tie: str) -> DataFrame:
+def knowledge_history(df: DataFrame, identity: list[str], revision: str, clock: Column, tie: str, parts: int | None = None) -> DataFrame:
     """Windows [known_from_utc, known_to_utc) of each identity's record-high revisions."""
-    return closed(record_highs(df, identity, revision, clock, tie), identity)
+    return closed(record_highs(df, identity, revision, clock, tie, parts), identity, parts)
 
 
-def capacity_history(df: DataFrame, identity: list[str], revision: str, clock: Column, tie: str, status: str) -> DataFrame:
+def capacity_history(df: DataFrame, identity: list[str], revision: str, clock: Column, tie: str, status: str, parts: int | None = None) -> DataFrame:
     """Like knowledge_history, but once a final or withdrawn assessment is known, provisional ones don't count."""
-    high = record_highs(df.where(F.col(status).isin("provisional", "final", "withdrawn")), identity, revision, clock, tie)
-    upto = Window.partitionBy(*identity).orderBy("known_from_utc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    settled = F.count_if(F.col(status).isin("final", "withdrawn")).over(upto)
-    kept = high.withColumn("_settled", settled).where(~((F.col(status) == "provisional") & (F.col("_settled") > 0))).drop("_settled")
-    return closed(kept, identity)
+    high = record_highs(df.where(F.col(status).isin("provisional", "final", "withdrawn")), identity, revision, clock, tie, parts)
+    settled = scans.scanned(high, identity, ["known_from_utc"], {"_settled": scans.count_upto(F.col(status).isin("final", "withdrawn"))}, parts)
+    kept = settled.where(~((F.col(status) == "provisional") & (F.col("_settled") > 0))).drop("_settled")
+    return closed(kept, identity, parts)
 
 
-def known_at(t: Column, start: str = "known_from_utc", end: str = "known_to_utc") -> Column:
-    return (F.col(start) <= t) & (F.col(end).isNull() | (t < F.col(end)))
+def known_at(t: Column, start: Column | str = "known_from_utc", end: Column | str = "known_to_utc") -> Column:
+    start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    return (start <= t) & (end.isNull() | (t < end))
 
 
-def as_known_at(df: DataFrame, history: DataFrame, keys: list[str], t: str, how: str = "left") -> DataFrame:
+def as_known_at(df: DataFrame, history: DataFrame, keys: list[str], t: str, how: str = "left", parts: int | None = None) -> DataFrame:
     """df with the history row of its keys that was known at its column t."""
     h = history.select(*(F.col(c).alias(c if c in keys else f"h_{c}" if c in df.columns else c) for c in history.columns))
     start, end = ("h_known_from_utc" if "known_from_utc" in df.columns else "known_from_utc"), ("h_known_to_utc" if "known_to_utc" in df.columns else "known_to_utc")
-    match = known_at(F.col(f"_l.{t}"), f"_h.{start}", f"_h.{end}")
-    for k in keys:
-        match = match & (F.col(f"_l.{k}") == F.col(f"_h.{k}"))
-    return df.alias("_l").join(h.alias("_h"), match, how).select("_l.*", *(f"_h.{c}" for c in h.columns if c not in keys))
+    return asof.joined(df, h, keys, start, end, t, how=how, parts=parts)
 
 
-def coalesce_states(df: DataFrame, identity: list[str], order: list[str], fingerprint: str) -> DataFrame:
+def coalesce_states(df: DataFrame, identity: list[str], order: list[str], fingerprint: str, parts: int | None = None) -> DataFrame:
     """Rows whose fingerprint differs from the one before, the first included, with known_to_utc from the next kept."""
-    w = Window.partitionBy(*identity).orderBy(*order)
-    previous = F.lag(fingerprint).over(w)
-    changed = df.withColumn("_changed", previous.isNull() | (F.col(fingerprint) != previous)).where("_changed").drop("_changed")
-    return changed.withColumn("known_to_utc", F.lead(order[0]).over(w))
+    seen = scans.scanned(df, identity, order, {"_previous": scans.previous(F.col(fingerprint))}, parts)
+    changed = seen.where(F.col("_previous").isNull() | (F.col(fingerprint) != F.col("_previous"))).drop("_previous")
+    return scans.scanned(changed, identity, order, {"known_to_utc": scans.following(F.col(order[0]))}, parts)
 
 
 def change_points(logs: list[DataFrame]) -> DataFrame:
@@ -83,11 +82,12 @@ def change_points(logs: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
-def bitemporal_join(df: DataFrame, history: DataFrame, keys: list[str], begin: str, end: str, t: str) -> DataFrame:
-    """df with the version of its keys that was in force over [begin, end] as far as known at t; a left join."""
-    match = known_at(F.col(f"_l.{t}"), "_h.known_from_utc", "_h.known_to_utc")
-    match = match & (F.col("_h.effective_from_utc") <= F.col(f"_l.{begin}")) & (F.col("_h.effective_to_utc").isNull() | (F.col(f"_l.{end}") <= F.col("_h.effective_to_utc")))
-    for k in keys:
-        match = match & (F.col(f"_l.{k}") == F.col(f"_h.{k}"))
-    hidden = {*keys, "known_from_utc", "known_to_utc", "effective_from_utc", "effective_to_utc"}
-    return df.alias("_l").join(history.alias("_h"), match, "left").select("_l.*", *(f"_h.{c}" for c in history.columns if c not in hidden))
+def bitemporal_join(df: DataFrame, history: DataFrame, keys: list[str], begin: str, end: str, t: str, parts: int | None = None) -> DataFrame:
+    """df with the version of its keys that was in force over [begin, end] as far as known at t; a left join.
+
+    Versions are found by the instant of the effective time, of which each key has many, and kept by
+    what was known and by the end.
+    """
+    keep = lambda row, v: known_at(row[t], v["known_from_utc"], v["known_to_utc"]) & (v["effective_to_utc"].isNull() | (row[end] <= v["effective_to_utc"]))
+    hidden = ("known_from_utc", "known_to_utc", "effective_from_utc", "effective_to_utc")
+    return asof.joined(df, history, keys, "effective_from_utc", "effective_to_utc", begin, keep, hidden=hidden, closed=True, parts=parts)

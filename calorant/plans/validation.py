@@ -17,6 +17,7 @@ from calorant.functions.keys import percent_encoded
 from calorant.operators import ranges
 from calorant.plans.folders import settled
 from calorant.sources.contracts import CONTRACTS, Contract
+from calorant.sources.jsonlines import is_number, numbered, objects, text_of
 
 Feeds = dict[str, DataFrame]
 INTERVALS = ("commitment_schedule", "approved_excess_order", "delivery_point_capacity_assessment")
@@ -35,10 +36,9 @@ CLEAN = "size(issues) = 0"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of JSON files with a locator (file, start of the split, number in it) whose order is the lines'."""
-    number = F.lpad(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("string"), 12, "0")
-    place = F.concat_ws(":", F.col("_metadata.file_name"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 16, "0"), number)
-    return spark.read.text(path).select(place.alias("locator"), F.col("value").alias("line"))
+    """Lines of JSON files with line_number, and a locator (file and number) whose order is the lines'."""
+    place = F.concat_ws(":", "file", F.lpad(F.col("line_number").cast("string"), 14, "0"))
+    return numbered(spark, path).select(place.alias("locator"), "line_number", "line")
 
 
 def read_bundle(spark: SparkSession, folder: str, names: dict[str, str] | None = None) -> tuple[Feeds, DataFrame]:
@@ -71,30 +71,34 @@ def _when(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*(F.when(rule, F.lit(code)) for code, rule in rules.items())), lambda c: c.isNotNull())
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over as many partitions as the cluster has cores, if they are in fewer: a small file is one split."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
 def parsed(lines: DataFrame, feed: str, contract: Contract) -> DataFrame:
-    """Typed rows of lines (locator, line): issues of the file and schema passes, broken fields and rules as failures.
+    """Typed rows of lines (locator, line, and other columns as they are): issues of the file and schema passes, broken fields and rules as failures.
 
-    payload_sha256 is of the object with its keys sorted at every depth; an explicit null and an absent key
-    differ. An object with a number beyond a double has no such form. An identity needs each of its fields.
+    payload_sha256 is of the object's canonical form; an explicit null and an absent key differ, and so do
+    1 and 1.0. An identity needs each of its fields.
     """
-    keys = F.json_object_keys("line")
-    file_issue = (
-        F.when(F.trim(F.coalesce("line", F.lit(""))) == "", "empty_jsonl_line").when(F.size(keys) != F.size(F.array_distinct(keys)), "duplicate_json_key")
-        .when(F.try_parse_json("line").isNull(), "invalid_json").when(keys.isNull(), "record_not_object")
-    )
-    df = lines.withColumn("_file", file_issue).withColumn("_values", F.when(F.col("_file").isNull(), F.from_json("line", "map<string,variant>")))
-    canonical = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys("_values")), lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.coalesce(F.to_json(F.col("_values")[k]), F.lit("null")))), ","), F.lit("}"))
-    finite = ~F.exists(F.map_values("_values"), lambda v: F.coalesce(F.abs(F.try_variant_get(v, "$", "double")) == float("inf"), F.lit(False)))
-    df = df.withColumns({f.name: f.value() for f in contract.fields} | {"payload_sha256": F.when(F.col("_file").isNull() & finite, F.sha2(canonical, 256))})
-    unknown = F.array_except(F.map_keys("_values"), F.array(*(F.lit(f.name) for f in contract.fields)))
+    df = objects(spread(lines)).withColumnsRenamed({"issue": "_file", "values": "_values"})
+    df = df.withColumns({k: c for f in contract.fields for k, c in f.tokens().items()} | {"payload_sha256": F.sha2("payload", 256)}).drop("payload")
+    if texts := {k: c for f in contract.fields for k, c in f.texts().items()}:
+        df = df.withColumns(texts)
+    df = df.withColumns({f.name: f.value() for f in contract.fields})
+    unknown = F.array_except(F.map_keys("_values"), F.array(*(F.lit(f.name) for f in contract.fields)).cast("array<string>"))
     broken = _when({f.name: f.broken() for f in contract.fields} | {f"rule {name}": F.expr(rule) for name, rule in contract.rules.items()})
     df = df.withColumn("failures", F.when(F.col("_file").isNull(), F.concat(broken, F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k)))))
-    text = lambda name: percent_encoded(F.try_variant_get(F.col("_values")[name], "$", "string"))
-    identity = F.concat(F.lit(feed), *(F.concat(F.lit(f"::{name}="), text(name)) for name in ("source_system_id", *contract.episode, "source_revision")))
+    own = lambda name: F.try_element_at("_values", F.lit(name))
+    said = lambda t: F.coalesce(text_of(t), F.when(t == "true", "True").when(t == "false", "False").when(t == "null", "None").when(is_number(t), t))
+    identity = F.concat(F.lit(feed), *(F.concat(F.lit(f"::{name}="), percent_encoded(said(own(name)))) for name in ("source_system_id", *contract.episode, "source_revision")))
     schema = _when({"payload_not_canonical_json": F.col("payload_sha256").isNull(), "schema_validation_failed": F.size("failures") > 0})
     unnamed = F.when((F.size("_schema") == 0) & F.col("identity").isNull(), F.array(F.lit("identity_not_computable"))).otherwise(F.col("_schema"))
     df = df.withColumns({"identity": identity, "_schema": schema, "replay": F.lit(False)})
-    return df.withColumn("issues", F.when(F.col("_file").isNotNull(), F.array("_file")).otherwise(unnamed)).drop("_values", "_file", "_schema")
+    issues = F.when(F.col("_file").isNotNull(), F.array("_file")).otherwise(unnamed)
+    return df.withColumn("issues", issues).drop("_values", "_file", "_schema", *(c for c in df.columns if c.startswith(("_token_", "_text_"))))
 
 
 def unduplicated(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The contracts of the nine feeds: their fields, the values allowed, and rules between fields.
 
-A rule is SQL over a row's typed fields that holds where the contract is broken. `_values` is the
-parsed object, for rules on whether a field is there at all.
+A rule is SQL over a row's typed fields that holds where the contract is broken. `_values` has the
+object's tokens by key, for rules on whether a field is there at all.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from calorant.sources.jsonlines import is_integral, is_number, text_of
+
 #: The patterns of text kinds, and their Spark types.
 PATTERNS = {
     "id": r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$",
@@ -36,35 +38,44 @@ class Field:
     values: tuple = ()
 
     @property
-    def variant(self) -> Column:
-        return F.col("_values")[self.name]
+    def token(self) -> Column:
+        """The field's token, null where it is absent; of one reading of the object."""
+        return F.col(f"_token_{self.name}")
+
+    @property
+    def text(self) -> Column:
+        return F.col(f"_text_{self.name}")
+
+    def tokens(self) -> dict[str, Column]:
+        return {f"_token_{self.name}": F.try_element_at("_values", F.lit(self.name))}
+
+    def texts(self) -> dict[str, Column]:
+        """The text of a field that takes one."""
+        return {} if self.kind in ("whole", "flag", "real") else {f"_text_{self.name}": text_of(self.token)}
 
     def value(self) -> Column:
         """The typed value; null where it is absent, null or not of its kind."""
         kind = TYPES.get(self.kind, "string")
-        if self.kind in ("whole", "flag", "real"):
-            return F.try_variant_get(self.variant, "$", kind)
-        text = F.try_variant_get(self.variant, "$", "string")
+        if self.kind == "whole":
+            return F.when(is_integral(self.token), F.coalesce(self.token.try_cast(kind), self.token.try_cast("double").try_cast(kind)))
+        if self.kind in ("flag", "real"):
+            fits = self.token.isin("true", "false") if self.kind == "flag" else is_number(self.token)
+            return F.when(fits, self.token.try_cast(kind))
         if kind == "timestamp_ntz":
-            return F.rtrim(text, F.lit("Z")).try_cast(kind)
-        return text if kind == "string" else text.try_cast(kind)
+            return F.rtrim(self.text, F.lit("Z")).try_cast(kind)
+        return self.text if kind == "string" else self.text.try_cast(kind)
 
     def broken(self) -> Column:
-        """Whether the field breaks its own rules."""
-        form = F.schema_of_variant(self.variant)
+        """Whether the field breaks its own rules. The typed value is there already."""
         if self.kind == "whole":
-            fits = (form == "BIGINT") & (F.try_variant_get(self.variant, "$", "bigint") >= 1)
-        elif self.kind == "flag":
-            fits = form == "BOOLEAN"
-        elif self.kind == "real":
-            fits = form.rlike("^(BIGINT|DOUBLE|DECIMAL.*)$")
+            fits = F.col(self.name) >= 1
+        elif self.kind in ("flag", "real"):
+            fits = F.col(self.name).isNotNull()
         else:
-            text = F.try_variant_get(self.variant, "$", "string")
-            fits = (form == "STRING") & (text.isin(*self.values) if self.values else text.rlike(PATTERNS[self.kind]))
+            fits = self.text.isin(*self.values) if self.values else self.text.rlike(PATTERNS[self.kind])
             if self.kind in ("time", "half_hour"):
-                fits = fits & self.value().isNotNull()
-        there = F.map_contains_key("_values", self.name)
-        return F.when(~there, F.lit(not self.optional)).when(form == "VOID", F.lit(not self.nullable)).otherwise(~F.coalesce(fits, F.lit(False)))
+                fits = fits & F.col(self.name).isNotNull()
+        return F.when(self.token.isNull(), F.lit(not self.optional)).when(self.token == "null", F.lit(not self.nullable)).otherwise(~F.coalesce(fits, F.lit(False)))
 
 
 @dataclass(frozen=True)
@@ -126,6 +137,7 @@ _UNITS = "register_type = 'thermal_energy' and native_unit not in ('MWh_th', 'kW
 _OBLIGATION = ("obligation_status", "committed_mwh_th", "quantity_unit", "commitment_reason_code")
 _CAPACITIES = ("nameplate_ceiling_mwh_th", "operational_restriction_mwh_th", "deliverable_capacity_mwh_th")
 
+#: Names, kinds and allowed values of the feeds' fields.
 CONTRACTS = {
     "customer_master": _contract(
         "customer_master", "original business_change correction deactivation cancellation",

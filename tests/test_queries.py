@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import pytest
 
-from calorant.plans import control_queries, driver_queries  # noqa: F401
+from calorant.plans import control_queries, driver_queries, feed_queries  # noqa: F401
 from calorant.plans.registry import ORACLES, QUERIES
 
 duckdb = pytest.importorskip("duckdb")
