@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calorant.operators import scans
+from calorant.plans.folders import settled
+
+#: Rows up to which a page is found by a top-k.
+TOP = 10_000
+
 
 def only(value: Column | str) -> Column:
     """The group's value if it has one row, else null."""
@@ -94,19 +101,48 @@ def newest(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return numbered.where(F.col("_n") <= n).drop("_n")
 
 
-def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """A page of rows with the total of all rows as total_rows, by a top-k and a separate count.
+def page(df: DataFrame, order: list[Column], number: int, size: int, most: int = TOP, parts: int | None = None) -> DataFrame:
+    """A page of rows with the total of all rows as total_rows.
 
-    A page past the last row is one row of nulls with the total, so that this isn't lost.
+    The first `most` rows are found by a top-k. A later page is located: rows are dealt out by ranges of
+    the order and written, ranges are counted, and only those that hold the page are read and sorted; a
+    page past the end reads none. A page past the last row is one row of nulls with the total, so that
+    this isn't lost. Offsets may exceed 32 bits. Sizes up to `most`.
     """
-    total = df.agg(F.count("*").alias("total_rows"))
-    rows = df.orderBy(*order).offset((number - 1) * size).limit(size)
+    if not 1 <= size <= most or number < 1:
+        raise ValueError(f"pages are of 1 to {most} rows")
+    offset = (number - 1) * size
+    if offset + size <= most:
+        total, rows = df.agg(F.count("*").alias("total_rows")), df.orderBy(*order).offset(offset).limit(size)
+    else:
+        name = "_".join(["_range", *df.columns])
+        own = [parts] if parts else []
+        dealt = settled(df.repartitionByRange(*own, *order).withColumn(name, F.spark_partition_id()), "ranges")
+        counts = [tuple(r) for r in dealt.groupBy(name).count().orderBy(name).collect()]
+        upto = list(itertools.accumulate(n for _, n in counts))
+        held = [(k, end - n) for (k, n), end in zip(counts, upto) if end > offset and end - n < offset + size]
+        rows = dealt.where(F.col(name).isin([k for k, _ in held])).drop(name)
+        rows = rows.orderBy(*order).offset(offset - held[0][1]).limit(size) if held else rows
+        total = dealt.sparkSession.range(1).select(F.lit(upto[-1] if upto else 0).cast("long").alias("total_rows"))
     return total.join(F.broadcast(rows), F.lit(True), "left").select(*df.columns, "total_rows")
 
 
-def nearest_rank(column: str, percent: int) -> Column:
-    """The value at the nearest rank of a percentage: the least that so many of the rows don't exceed; null of none."""
-    return F.expr(f"percentile_disc({percent / 100}) within group (order by {column})")
+def nearest_ranks(df: DataFrame, group: list[str], column: str, percents: list[int], parts: int | None = None) -> DataFrame:
+    """group and p<percent>: the least value that so many of a group's rows don't exceed; null of none.
+
+    Distinct values are counted, their counts summed in order, and the values at the ranks picked, so
+    that no task holds a group's values. parts: as for scans.scanned, for groups too large to sort in a task.
+    """
+    totals = df.groupBy(*group).agg(F.count(column).alias("_rows"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*group, column).agg(F.count("*").alias("_n"))
+    seen = scans.scanned(counts, group, [column], {"_upto": scans.sum_upto(F.col("_n"))}, parts)
+    names = {c: f"_g{k}" for k, c in enumerate(group)}
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], F.lit(True))
+    rank = lambda p: F.floor((F.col("_rows") * p + 99) / 100)
+    at = lambda p: (F.col("_upto") >= rank(p)) & (F.col("_upto") - F.col("_n") < rank(p))
+    found = seen.withColumnsRenamed(names).join(totals, same) if group else seen.join(F.broadcast(totals))
+    picked = found.where(reduce(lambda a, b: a | b, [at(p) for p in percents])).groupBy(*names.values()).agg(*(F.max(F.when(at(p), F.col(column))).alias(f"p{p}") for p in percents))
+    return totals.join(picked, same, "left").select(*group, *(f"p{p}" for p in percents)) if group else picked
 
 
 def all_of(rules: list[Column]) -> Column:

@@ -16,7 +16,7 @@ from calorant.plans.registry import query
 SELECT o_orderkey, o_custkey, total_rows FROM t LEFT JOIN r ON true""")
 def q41_page_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
-    return relations.page(rows, [F.asc("o_orderkey")], number=40_000_001, size=50)
+    return relations.page(rows, [F.asc("o_orderkey")], number=100_000_001, size=50)
 
 
 @query("""SELECT c_nationkey, c_mktsegment, o_custkey, CAST(min(o_orderdate) AS DATE) AS minimum_reporting_date, CAST(max(o_orderdate) AS DATE) AS maximum_reporting_date FROM orders JOIN customer ON c_custkey = o_custkey
@@ -30,7 +30,7 @@ def q42_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def q43_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(*(relations.nearest_rank("value", p).alias(f"p{p}") for p in (50, 95, 99)))
+    return relations.nearest_ranks(read(spark, sf_dir, "events"), ["event_type"], "value", [50, 95, 99], parts=8)
 
 
 @query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), i AS (SELECT o_orderkey, d, timezone('UTC', timezone('Europe/London', CAST(d AS TIMESTAMP) + INTERVAL 12 HOUR)) AS a, CASE o_orderkey % 7 WHEN 0 THEN 13 ELSE 12 END AS h, CASE o_orderkey % 5 WHEN 0 THEN 2 ELSE 1 END AS n FROM d),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorant.operators import ranges, scans
+from calorant.operators import digests, ranges, relations, scans
+from calorant.operators.conformance import conformance
 from calorant.plans.analogues import read
 from calorant.plans.folders import settled, shared_folder
+from calorant.plans.load import IDENTITY, PAYLOAD, load
 from calorant.plans.registry import query
 from calorant.sources import jsonlines
 
@@ -81,3 +83,49 @@ def q57_long_and_open_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ranges.containment_join(minutes, asked.select("a", "b").distinct(), "t", "a", "b").groupBy("a", "b").agg(F.sum("n").alias("events"))
     found = asked.join(counts.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & F.col("b").eqNullSafe(F.col("_b")), "left")
     return found.select("c_custkey", F.coalesce("events", F.lit(0)).alias("events"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, total_rows FROM (SELECT *, count(*) OVER () AS total_rows, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS n, count(*) OVER () * 7 // 1000 AS page FROM lineitem) WHERE n > (page - 1) * 100 AND n <= page * 100")
+def q58_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a hundred lines at seven tenths of all, located by the counts of ranges."""
+    lines = read(spark, sf_dir, "lineitem")
+    order = [F.desc("l_extendedprice"), *(F.asc(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))]
+    page = lines.count() * 7 // 1000
+    return relations.page(lines, order, page, 100, most=100, parts=PARTS).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "total_rows")
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 500 <> 7), f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 700 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 900 <> 5)
+SELECT coalesce(b.o_orderkey, f.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'insert' WHEN f.o_orderkey IS NULL THEN 'delete' ELSE 'update' END AS change FROM b FULL JOIN f ON b.o_orderkey = f.o_orderkey WHERE b.o_orderkey IS NULL OR f.o_orderkey IS NULL OR b.o_totalprice <> f.o_totalprice""")
+def q59_changes_by_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that differ between two published versions of the orders, found from the top of their trees of digests."""
+    orders, key = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.col("o_orderkey")
+    base = orders.where(key % 500 != 7)
+    following = orders.where(key % 900 != 5).withColumn("o_totalprice", F.when(key % 700 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    paths = [shared_folder(spark, name) for name in ("base", "following")]
+    for df, path in zip((base, following), paths):
+        digests.publish(df, ["o_orderkey"], path)
+    return digests.changes(spark, *paths, ["o_orderkey"])
+
+
+DECLARED = {"l_quantity": (2, 0), "l_extendedprice": (6, 1), "l_discount": (3, 2), "l_tax": (2, 1), "l_comment": (5, 2), "l_partkey": (3, 0), "l_returnflag": (3, 1)}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, 'decimal({p},{s})' AS declared_type, 'inexact' AS state, count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count(*) FILTER (WHERE round(CAST({c} AS DECIMAL(18,6)), {s}) <> CAST({c} AS DECIMAL(18,6))) AS over_scale, count(*) FILTER (WHERE abs(round(CAST({c} AS DECIMAL(18,6)), {s})) >= {10 ** (p - s)}) AS over_precision FROM lineitem"
+    if c not in ("l_comment", "l_returnflag") else f"SELECT '{c}', 'decimal({p},{s})', '{'missing' if c == 'l_comment' else 'not_numeric'}', NULL, NULL, NULL, NULL" for c, (p, s) in DECLARED.items()))
+def q60_stored_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the order lines against declared decimals: how many values have too many digits after the point, or before."""
+    return conformance(read(spark, sf_dir, "lineitem"), DECLARED).drop("stored_type")
+
+
+@query("""WITH i AS (SELECT o_orderkey AS k, sha256(CAST(o_orderkey AS VARCHAR)) AS id FROM orders) SELECT k AS o_orderkey, CASE WHEN k % 3 = 0 THEN 'new' ELSE 'replay' END AS load_class, 1 AS stored FROM i""")
+def q61_loaded_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thirds of the orders loaded into a store by folders of hashes, then all, then all again: each is stored once."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string"), 256).alias(IDENTITY), F.sha2(F.concat_ws("|", "o_custkey", "o_orderstatus"), 256).alias(PAYLOAD))
+    path = shared_folder(spark, "store")
+    first = load(rows.where("o_orderkey % 3 <> 0"), path, digits=1)
+    second, third = load(rows, path, digits=1), load(rows, path, digits=1)
+    if second != {"inserted": third["reused"] - first["inserted"], "reused": first["inserted"]} or third["inserted"]:
+        raise RuntimeError(f"loads don't add up: {first}, {second}, {third}")
+    times = spark.read.parquet(path).groupBy("o_orderkey").agg(F.count("*").cast("int").alias("stored"))
+    return times.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "new").otherwise("replay").alias("load_class"), "stored")

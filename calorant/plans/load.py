@@ -2,56 +2,106 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
-from calorant.operators import relations
 from calorant.plans.folders import settled
+from calorant.sources.objects import ImmutableConflict, put_if_absent
 
 IDENTITY, PAYLOAD = "pipeline_identity_sha256", "pipeline_payload_sha256"
+#: Folders of the store, by this many hexadecimal digits of the identity's hash.
+DIGITS = 2
+#: Identities that a scan of the store is told of, to skip row groups by their bloom filters.
+LISTED = 1_000
+#: Runs that are published in one call.
+RUNS = 1_000
 
 
 class LoadConflict(RuntimeError):
-    """Rows whose identity is stored with another payload. Nothing was written."""
+    """Rows whose identity is stored with another payload. Nothing was written. detail: identity, incoming and stored hashes of some."""
+
+    def __init__(self, message: str, detail: list[tuple] = ()) -> None:
+        super().__init__(message)
+        self.detail = list(detail)
+
+
+def bucket(digits: int) -> Column:
+    return F.concat(F.lit("b"), F.substring(IDENTITY, 1, digits))
 
 
-def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+def held(spark: SparkSession, path: str, like: DataFrame, incoming: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Rows of the store in the folders of the incoming identities; of few identities, in the row groups that may have them."""
     try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
+        rows = spark.read.schema(StructType([f for f in like.schema if f.name != "_bucket"]).add("_bucket", "string")).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return like.limit(0)
+    folders = [r[0] for r in incoming.select(bucket(digits)).distinct().collect()]  # 16 ** digits at most
+    rows = rows.where(F.col("_bucket").isin(folders)).drop("_bucket")
+    few = [r[0] for r in incoming.select(IDENTITY).limit(LISTED + 1).collect()]
+    return rows.where(F.col(IDENTITY).isin(few)) if len(few) <= LISTED else rows
 
 
-def load(incoming: DataFrame, path: str, most_detail: int = 20) -> dict[str, int]:
+def load(incoming: DataFrame, path: str, most_detail: int = 20, digits: int = DIGITS) -> dict[str, int]:
     """Append what is new, count replays, refuse on a conflict. Running it again changes nothing.
 
-    Repeated identities within the incoming rows are one row if their payloads agree.
+    Repeated identities within the incoming rows are one row if their payloads agree. The store has a
+    folder for each beginning (`digits`, the same for all loads) of the identities' hashes, and bloom
+    filters of them, so that a small load reads few files of a large store.
     """
     spark = incoming.sparkSession
-    within = relations.contrary(incoming, [IDENTITY], PAYLOAD)
-    once = incoming.dropDuplicates([IDENTITY])
-    classed = settled(relations.load_classes(once, stored(spark, path, incoming).select(IDENTITY, PAYLOAD), IDENTITY, PAYLOAD), "load")
-    clash = [r[0] for r in within.union(classed.where("load_class = 'conflict'").select(IDENTITY)).limit(most_detail).collect()]
+    incoming = settled(incoming, "incoming")
+    within = incoming.groupBy(IDENTITY).agg(F.min(PAYLOAD).alias("_low"), F.max(PAYLOAD).alias("_high")).where("_low <> _high")
+    once = settled(incoming.dropDuplicates([IDENTITY]), "once")
+    stored = held(spark, path, incoming, once, digits).groupBy(IDENTITY).agg(F.min(PAYLOAD).alias("_held"))
+    kind = F.when(F.col("_held").isNull(), "new").when(F.col("_held") == F.col(PAYLOAD), "replay").otherwise("conflict")
+    classed = settled(once.join(stored, IDENTITY, "left").withColumn("load_class", kind), "load")
+    clash = [tuple(r) for r in within.select(IDENTITY, "_low", "_high").union(classed.where("load_class = 'conflict'").select(IDENTITY, PAYLOAD, "_held")).limit(most_detail).collect()]
     if clash:
-        raise LoadConflict(f"stored with another payload: {', '.join(clash)}")
+        raise LoadConflict("another payload: " + ", ".join(f"{i} has {a} and {b}" for i, a, b in clash), clash)
     counts = {r.load_class: r["count"] for r in classed.groupBy("load_class").count().collect()}
-    classed.where("load_class = 'new'").drop("load_class").write.mode("append").parquet(path)
-    held = spark.read.parquet(path).groupBy(IDENTITY).agg(F.count("*").alias("times"))
-    wrong = classed.select(IDENTITY).join(held, IDENTITY, "left").where("times is null or times > 1").limit(1).count()
+    new = classed.where("load_class = 'new'").drop("load_class", "_held").withColumn("_bucket", bucket(digits))
+    if counts.get("new"):
+        new.repartition("_bucket").write.mode("append").partitionBy("_bucket").option(f"parquet.bloom.filter.enabled#{IDENTITY}", "true").parquet(path)
+    times = held(spark, path, incoming, once, digits).groupBy(IDENTITY).agg(F.count("*").alias("times"))
+    wrong = classed.select(IDENTITY).join(times, IDENTITY, "left").where("times is null or times > 1").limit(1).count()
     if wrong:
         raise RuntimeError("a row that was to be loaded isn't there, or is there twice")
     return {"inserted": counts.get("new", 0), "reused": counts.get("replay", 0)}
 
 
 def publish_coverage(runs: DataFrame, path: str, run: str, apart: tuple[str, ...] = ("published_at_utc",)) -> dict[str, int]:
-    """Append one row a run with a hash of its content; a replay is reused, changed content is a LoadConflict.
+    """A file of one row a run, with a hash of its content; a replay is reused, changed content is a LoadConflict.
 
     The content is all columns but those `apart`, as JSON in the order of their names, nulls included.
+    A run's file has the run's name and is made once, so of writers at the same time one inserts it, and
+    the others reuse it or conflict. Runs are control rows: up to RUNS a call.
     """
+    spark = runs.sparkSession
     content = F.to_json(F.struct(*sorted(c for c in runs.columns if c not in apart)), {"ignoreNullFields": "false"})
     identity = F.sha2(F.concat(F.lit("run::"), F.col(run).cast("string")), 256)
-    return load(runs.withColumns({IDENTITY: identity, PAYLOAD: F.sha2(content, 256)}), path)
+    rows = runs.withColumns({IDENTITY: identity, PAYLOAD: F.sha2(content, 256)}).limit(RUNS + 1).toArrow()
+    if rows.num_rows > RUNS:
+        raise ValueError(f"up to {RUNS} runs are published at once")
+    counts = {"inserted": 0, "reused": 0}
+    for k in range(rows.num_rows):
+        one = rows.slice(k, 1)
+        name, payload = (one.column(c)[0].as_py() for c in (IDENTITY, PAYLOAD))
+        out = io.BytesIO()
+        pq.write_table(one, out)
+        held_same = lambda b, own=payload: pq.read_table(io.BytesIO(b), columns=[PAYLOAD]).column(0)[0].as_py() == own
+        try:
+            made = put_if_absent(spark, f"{path}/{name}.parquet", out.getvalue(), held_same)
+        except ImmutableConflict as e:
+            raise LoadConflict(f"run {one.column(run)[0].as_py()} is published with other content", [(name, payload, None)]) from e
+        counts["inserted" if made == "created" else "reused"] += 1
+    return counts
 
 
 def reconciliation(rows: DataFrame) -> DataFrame:
