@@ -129,3 +129,53 @@ def q61_loaded_in_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise RuntimeError(f"loads don't add up: {first}, {second}, {third}")
     times = spark.read.parquet(path).groupBy("o_orderkey").agg(F.count("*").cast("int").alias("stored"))
     return times.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "new").otherwise("replay").alias("load_class"), "stored")
+
+
+CROSS_FEED = """WITH n AS (SELECT (SELECT count(*) FROM part) AS parts, (SELECT count(*) FROM customer) AS customers),
+c AS (SELECT c_custkey AS c FROM customer WHERE c_custkey % 10 <> 9 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 50 = 3),
+p AS (SELECT p_partkey AS p, p_partkey % customers AS c, p_partkey % 11 = 7 AS siteless, (p_partkey % customers) % 10 = 9 AS unknown, (p_partkey % customers) % 50 = 3 AS overlapped FROM part, n),
+q AS (SELECT *, NOT (siteless OR unknown OR overlapped) AS sound, NOT (siteless OR unknown OR overlapped OR p % 13 = 5) AS metered FROM p),
+o AS (SELECT o_orderkey AS o, q.* FROM orders, n, q WHERE q.p = o_orderkey % parts),
+codes AS (
+ SELECT 'customer_master' AS feed, CASE WHEN c % 50 = 3 THEN ['customer_effective_overlap'] ELSE [] END AS codes FROM c
+ UNION ALL SELECT 'industrial_site_master', [] FROM p WHERE NOT siteless
+ UNION ALL SELECT 'delivery_point_assignment', list_filter([CASE WHEN unknown OR overlapped AND NOT siteless THEN 'customer_reference_missing' END, CASE WHEN siteless THEN 'site_reference_missing' END], lambda x: x IS NOT NULL) FROM p
+ UNION ALL SELECT 'revenue_meter_assignment', CASE WHEN metered THEN [] ELSE ['delivery_point_reference_missing'] END FROM q
+ UNION ALL SELECT 'contract_terms', list_filter([CASE WHEN NOT sound THEN 'delivery_point_reference_missing' END, CASE WHEN unknown OR overlapped AND NOT siteless THEN 'customer_reference_missing' END], lambda x: x IS NOT NULL) FROM q
+ UNION ALL SELECT 'delivery_point_capacity_assessment', CASE WHEN sound THEN [] ELSE ['delivery_point_assignment_coverage_missing'] END FROM o
+ UNION ALL SELECT 'revenue_meter_reading', CASE WHEN NOT metered THEN ['meter_assignment_coverage_missing'] WHEN o % 17 = 1 THEN ['meter_register_metadata_mismatch'] ELSE [] END FROM o),
+each AS (SELECT feed, unnest(CASE WHEN len(codes) = 0 THEN [NULL] ELSE codes END) AS code FROM codes)
+SELECT feed, CASE WHEN code IS NULL THEN 'accepted' ELSE 'quarantined' END AS outcome, code, count(*) AS rows FROM each GROUP BY ALL"""
+
+
+@query(CROSS_FEED)
+def q62_cross_feed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven feeds made of customers, parts and orders, through all passes: references, overlaps and coverage across feeds, counted by code."""
+    from calorant.plans import validation
+
+    parts, customers, orders = (read(spark, sf_dir, t) for t in ("part", "customer", "orders"))
+    n_parts, n_customers = max(1, parts.count()), max(1, customers.count())
+    text = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    stamp = {"source_schema_version": "1.0.0", "source_system_id": "s", "synthetic_data": True, "source_revision": 1, "revision_type": "original", "published_at_utc": "2026-08-01T00:00:00Z", "approval_state": "approved", "approved_at_utc": "2026-08-01T00:00:00Z", "approved_by": "ops"}
+    period = {"effective_from_utc": "2020-01-01T00:00:00Z", "effective_to_utc": None}
+
+    def lines(df: DataFrame, feed: str, key: str, **fields) -> DataFrame:
+        columns = {n: v if hasattr(v, "alias") else F.lit(v).cast("string") if v is None else F.lit(v) for n, v in {"source_schema_id": feed, **stamp, **fields}.items()}
+        return df.select(F.lpad(F.col(key).cast("string"), 14, "0").alias("locator"), F.to_json(F.struct(*(c.alias(n) for n, c in columns.items())), {"ignoreNullFields": "false"}).alias("line"))
+
+    p, c = F.col("p_partkey"), F.col("p_partkey") % n_customers
+    point, customer, site = text("P-", p), text("C-", c), text("S-", p)
+    half_hour = lambda k: F.date_format(F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=(30 * k).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    versions = customers.where("c_custkey % 10 <> 9").withColumn("v", F.explode(F.when(F.col("c_custkey") % 50 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("k", 2 * F.col("c_custkey") + F.col("v"))
+    key = F.col("c_custkey")
+    own, o = F.col("o_orderkey") % n_parts, F.col("o_orderkey")
+    feeds = {
+        "customer_master": lines(versions, "customer_master", "k", customer_natural_id=text("C-", key), customer_version_id=F.concat_ws("-", F.lit("CV"), key.cast("string"), F.col("v").cast("string")), legal_name="L", display_name="D", industry_sector_code="metals", country_code="GB", lifecycle_status="active", tenant_authorization_scope_id="T", version_record_status="active", **period),
+        "industrial_site_master": lines(parts.where("p_partkey % 11 <> 7"), "industrial_site_master", "p_partkey", site_natural_id=site, site_version_id=text("SV-", p), site_name="S", locality="Leeds", postal_area="LS", country_code="GB", region_code="GB-ENG", iana_timezone="Europe/London", operational_status="operational", version_record_status="active", **period),
+        "delivery_point_assignment": lines(parts, "delivery_point_assignment", "p_partkey", delivery_point_assignment_id=text("A-", p), delivery_point_natural_id=point, delivery_point_name="N", site_natural_id=site, customer_natural_id=customer, service_type="industrial_steam", assignment_status="active", **period),
+        "revenue_meter_assignment": lines(parts, "revenue_meter_assignment", "p_partkey", meter_assignment_id=text("MA-", p), meter_natural_id=text("M-", p), register_natural_id="R", delivery_point_natural_id=F.when(p % 13 == 5, text("PX-", p)).otherwise(point), assignment_role="authoritative_revenue", register_type="thermal_energy", native_unit="MWh_th", calibration_id="CAL", maximum_plausible_30_min_change="8.000000", assignment_status="active", **period),
+        "contract_terms": lines(parts, "contract_terms", "p_partkey", contract_natural_id=text("K-", p), contract_terms_version_id=text("KV-", p), delivery_point_natural_id=point, customer_natural_id=customer, energy_rate_gbp_per_mwh_th="50.000000", sla_penalty_rate_gbp_per_mwh_th="100.000000", currency_code="GBP", rate_unit="GBP/MWh_th", terms_status="active", **period),
+        "revenue_meter_reading": lines(orders, "revenue_meter_reading", "o_orderkey", source_reading_revision_id=text("RR-", o), meter_natural_id=text("M-", own), register_natural_id="R", reading_at_utc=half_hour(o), register_type="thermal_energy", cumulative_value="1.000000", native_unit=F.when(o % 17 == 1, "kWh_th").otherwise("MWh_th"), reading_method="actual", reading_status="active"),
+        "delivery_point_capacity_assessment": lines(orders, "delivery_point_capacity_assessment", "o_orderkey", source_capacity_revision_id=text("CAP-", o), delivery_point_natural_id=text("P-", own), interval_start_utc=half_hour(o), interval_end_utc=half_hour(o + 1), assessment_status="final", nameplate_ceiling_mwh_th="7.000000", operational_restriction_mwh_th="0.500000", deliverable_capacity_mwh_th="6.500000", quantity_unit="MWh_th", assessment_method="m", assessment_method_version="1", capacity_reason_code="normal", finalized_at_utc="2026-08-01T00:00:00Z"),
+    }
+    return validation.report(validation.validate(feeds))

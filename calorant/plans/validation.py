@@ -32,6 +32,8 @@ OVERLAPS = [
     ("revenue_meter_assignment", ["delivery_point_natural_id"], "delivery_point_meter_overlap"),
     ("contract_terms", ["delivery_point_natural_id"], "contract_terms_overlap"),
 ]
+#: Fields that rules within a row read and that may be absent.
+READ = ("effective_to_utc", "nameplate_ceiling_mwh_th", "operational_restriction_mwh_th", "deliverable_capacity_mwh_th")
 CLEAN = "size(issues) = 0"
 
 
@@ -88,6 +90,8 @@ def parsed(lines: DataFrame, feed: str, contract: Contract) -> DataFrame:
     if texts := {k: c for f in contract.fields for k, c in f.texts().items()}:
         df = df.withColumns(texts)
     df = df.withColumns({f.name: f.value() for f in contract.fields})
+    unread = _when({f.name: F.col(f.name).isNull() & (f.token != "null") for f in contract.fields if f.name in READ})
+    df = df.withColumn("unread", unread if any(f.name in READ for f in contract.fields) else F.array().cast("array<string>"))
     unknown = F.array_except(F.map_keys("_values"), F.array(*(F.lit(f.name) for f in contract.fields)).cast("array<string>"))
     broken = _when({f.name: f.broken() for f in contract.fields} | {f"rule {name}": F.expr(rule) for name, rule in contract.rules.items()})
     df = df.withColumn("failures", F.when(F.col("_file").isNull(), F.concat(broken, F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k)))))
@@ -123,7 +127,8 @@ def local(df: DataFrame, feed: str) -> DataFrame:
     business_rule_value_invalid: its contract should have found that before.
     """
     rules: dict[str, Column] = {}
-    unread = lambda *names: reduce(lambda a, b: a | b, (F.col(n).isNull() & F.get_json_object("line", f"$.{n}").isNotNull() for n in names))
+    given = (lambda n: F.array_contains("unread", n)) if "unread" in df.columns else lambda n: F.col(n).isNull() & F.get_json_object("line", f"$.{n}").isNotNull()
+    unread = lambda *names: reduce(lambda a, b: a | b, map(given, names))
     invalid: list[Column] = []
     if feed in INTERVALS:
         invalid += [F.col("interval_start_utc").isNull() | F.col("interval_end_utc").isNull()]
