@@ -33,8 +33,9 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 SWITCH = 8.0
-#: Bound of the training sample, in texts; least share of a language's letters for a script to be its own.
+#: Bound of the training sample, in texts, and about how many of a language; least share of a language's letters for a script to be its own.
 SAMPLE = 6000
+EACH = 1500
 LEAST_SHARE = 0.01
 SLICE = 3_000_000
 
@@ -42,16 +43,11 @@ SLICE = 3_000_000
 @lru_cache(1)
 def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: whether it is a letter, its lower case, its script's number."""
-    is_letter = np.zeros(sys.maxunicode + 1, dtype=bool)
+    is_letter = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
     lower = np.arange(sys.maxunicode + 1, dtype=np.uint32)
-    for c in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000)):
-        if 0xD800 <= c < 0xE000:
-            continue
-        is_letter[c] = chr(c).isalpha()
-        if is_letter[c] and len(low := chr(c).lower()) == 1:
+    for c in np.flatnonzero(is_letter).tolist():
+        if len(low := chr(c).lower()) == 1:
             lower[c] = ord(low)
-    for a, b in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x323B0)):
-        is_letter[a:b] = True
     starts = [a for a, _ in SCRIPTS]
     scripts = np.repeat([NAMES.index(s) for _, s in SCRIPTS], np.diff([*starts, sys.maxunicode + 1]))
     return is_letter, lower, scripts.astype(np.int8)
@@ -87,6 +83,10 @@ class Model:
     scripts: np.ndarray
     prior: np.ndarray
 
+    def foreign(self, w: Words) -> np.ndarray:
+        """Which words are of a script that no language is written in."""
+        return ~self.scripts[:, w.script].any(axis=0)
+
     def scores(self, w: Words) -> np.ndarray:
         """Words by languages; candidates that the script rules out score far less. Zero for all where it rules out every one."""
         out = np.zeros((len(w.start), len(self.names)), dtype=np.float32)
@@ -94,9 +94,8 @@ class Model:
             for k, column in enumerate(self.table):
                 out[:, k] = np.add.reduceat(column[w.gram], w.head)
             ruled = ~self.scripts[:, w.script].T
-            none = ruled.all(axis=1)
             out[ruled] = -1e4
-            out[none] = 0
+            out[self.foreign(w)] = 0
         return out
 
 
@@ -131,11 +130,15 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
 
 
 def fit(docs: DataFrame) -> Model:
-    """Trigram counts of texts with a lang, over SAMPLE of them in the order of the id's hash.
+    """Trigram counts of texts with a lang: about EACH of each, SAMPLE in all at most, by the id's hash.
 
     Counts are summed per task of a fixed number, so what the driver gets doesn't grow.
     """
-    sample = checkpoint(docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(SAMPLE))
+    known = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang").distinct()
+    # of each language as many, about, by the hash of the id; the bound holds whatever the languages
+    share = known.groupBy("lang").agg((F.lit(EACH) / F.count("*")).alias("share"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    sample = checkpoint(known.join(share, "lang").where(drawn).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(SAMPLE))
     texts = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(sample), ["doc_id", "lang"])
     # of an id with several texts one, so rows are as many as the sample's
     texts = texts.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("lang", "text").repartition(8)
@@ -196,9 +199,12 @@ def predict(texts: list[str], model: Model, spans: bool) -> pd.DataFrame:
     w = Words(texts)
     text = np.repeat(np.arange(len(texts)), np.diff(w.first))
     best = viterbi(model.scores(w), w.first, SWITCH) if k else np.zeros(len(text), dtype=np.int64)
+    if k:
+        best[model.foreign(w)] = k  # no language is a candidate, so it is none's
     size = np.bincount(text * (k + 1) + best, w.size, len(texts) * (k + 1)).reshape(len(texts), k + 1)
-    top = np.where(size[:, :k].sum(axis=1) > 0, size[:, :k].argmax(axis=1), k) if k else np.zeros(len(texts), dtype=np.int64)
-    share = np.where(top < k, size[np.arange(len(texts)), top] / np.maximum(1, size.sum(axis=1)), 0.0)
+    known, every = size[:, :k].sum(axis=1), size.sum(axis=1)
+    top = np.where(known > 0, size[:, :k].argmax(axis=1), np.where(every > 0, model.prior.argmax(), k)) if k else np.zeros(len(texts), dtype=np.int64)
+    share = np.where(top < k, size[np.arange(len(texts)), top] / np.maximum(1, every), 0.0)
     out = pd.DataFrame({"lang_pred": names[top], "score": share})
     if spans:
         cut = np.flatnonzero((np.diff(best, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0)) if k else np.zeros(0, dtype=np.int64)
@@ -214,9 +220,10 @@ def label(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score and (unless left out) spans of every row, from its whole text alone.
 
     spans: start and end in characters and lang, from the first word of a run to the end of its last.
-    lang_pred is the language with the most letters, score its share of them. A text that is null,
-    empty or without a letter has `und`, score 0 and no spans, and so has every text if nothing was
-    learned. A text of any length is labelled whole, with memory in proportion to it. Repeated rows stay;
+    lang_pred is the language with the most letters, score its share of them. Words of a script that no
+    learned language is written in are no language's: their spans are `und`, and they lower the score. A
+    text of such words alone has the commonest language, with score 0. A text that is null, empty or
+    without a letter has `und`, score 0 and no spans, and so has every text if nothing was learned. A text of any length is labelled whole, with memory in proportion to it. Repeated rows stay;
     an empty table gives no rows; other columns are ignored.
     """
     schema = "doc_id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
