@@ -143,6 +143,16 @@ def _held(docs: DataFrame, items: DataFrame, keys: DataFrame, window: int, form:
     return held.select(*ROW, "item_id", "windows", F.coalesce("slots", F.lit(0)).alias("slots"))
 
 
+def _whole(docs: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+    """Rows (ROW) that are an item too short for windows, by all their words; None if there is no such item."""
+    short = items.select("item_id", words(F.col("text")).alias("own")).where((F.size("own") < window) & (F.size(whole_words(F.col("text"))) < window) & (F.array_join("own", "") != ""))
+    short = checkpoint(short.select("item_id", F.array_join("own", " ").alias("own")))
+    if short.isEmpty():
+        return None
+    found = docs.select(*ROW, F.array_join(words(F.col("text")), " ").alias("own")).join(_some(short), "own")
+    return found.select(*ROW, "item_id", F.lit(0).cast("bigint").alias("windows"), F.lit(0).cast("bigint").alias("slots"))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literal: int = LITERAL, matches: int = MATCHES) -> DataFrame:
     """Each row of docs that holds an item, by ROW, with doc_id, item_id, windows and slots of its best occurrence by either form."""
     docs = _keyed(docs.where("text is not null").select("doc_id", "text"))
@@ -153,6 +163,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, lit
     near = checkpoint(seeds.join(_some(known), "seed", "left_semi").select(*ROW).distinct())
     likely = checkpoint(docs.join(_some(near), ROW, "left_semi").distinct())
     held = _held(likely, items, keys[0], window, 0).unionByName(_held(likely, items, keys[1], window, 1))
+    if (same := _whole(docs, items, window)) is not None:
+        held, likely = held.unionByName(same), likely.unionByName(docs.join(_some(same.select(*ROW).distinct()), ROW, "left_semi").distinct()).distinct()
     best = held.groupBy(*ROW, "item_id").agg(F.max(F.struct("windows", "slots")).alias("b"))
     return likely.select(*ROW, "doc_id").join(best, ROW).select(*ROW, "doc_id", "item_id", "b.windows", "b.slots")
 
@@ -162,8 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
 
     A row for each pair, with the occurrence of most windows by either form. A document without
     matches gives no row, nor does a null or empty text; rows with a null doc_id give pairs with
-    null. An item shorter than the window by both forms is never found, nor one without two words
-    besides its placeholders in some window. An item with fewer windows than `matches` must match in
+    null. An item shorter than the window by both forms is found in texts of just its words (windows 0);
+    one without two words besides its placeholders in any window is never found. An item with fewer windows than `matches` must match in
     all, and so must one all of whose windows have fewer than `literal` words besides placeholders.
     Rows of one doc_id give one row per item. A text of any length is matched whole; its words are
     one row's array. Empty tables give none; other columns are ignored.
@@ -201,10 +213,17 @@ def _sql_whole(text: str) -> tuple[str, str]:
 
 
 def oracle() -> str:
-    rows = " UNION ALL ".join(f"SELECT * FROM ({_oracle(form)})" for form in (_sql_template, _sql_whole))
+    rows = " UNION ALL ".join(f"SELECT * FROM ({_oracle(form)})" for form in (_sql_template, _sql_whole)) + f" UNION ALL SELECT * FROM ({_short_oracle()})"
     return f"SELECT doc_id, item_id, m.w AS windows, m.s AS slots FROM (SELECT doc_id, item_id, max({{'w': windows, 's': slots}}) AS m FROM ({rows}) GROUP BY ALL)"
 
 
+def _short_oracle(window: int = WINDOW) -> str:
+    own, whole = _sql_template("text")[1], _sql_whole("text")[1]
+    return f"""
+SELECT doc_id, item_id, 0::BIGINT AS windows, 0::BIGINT AS slots FROM (SELECT doc_id, {own} AS v FROM documents WHERE text IS NOT NULL) d
+JOIN (SELECT DISTINCT item_id, {own} AS v, {whole} AS u FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) b ON d.v = b.v WHERE len(b.v) < {window} AND len(u) < {window} AND b.v <> ['']"""
+
+
 def _oracle(sql, window: int = WINDOW, literal: int = LITERAL, matches: int = MATCHES) -> str:
     form, value = sql("text")
     hole = "('zznum', 'zzunit', 'zzname')"
