@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from calorant.functions.calendar import ZONE, half_hours
 from calorant.functions.keys import readable_time, surrogate_key
-from calorant.operators.ranges import effective_join
 
 
 def local_days(coverage: DataFrame) -> DataFrame:
@@ -39,13 +38,6 @@ def delivery_spine(coverage: DataFrame, assignments: DataFrame, zone: str = ZONE
     return inside.withColumn("delivery_interval_key", surrogate_key("source_system_id", "delivery_point_natural_id", readable_time(F.col("interval_start_utc"))))
 
 
-def with_context(spine: DataFrame, versions: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """The spine with the version of each master table in force over the interval, joined in turn."""
-    for table, keys in versions.values():
-        spine = effective_join(spine, table, keys, "effective_from_utc", "effective_to_utc", "interval_start_utc", "interval_end_utc")
-    return spine
-
-
 def gap_filled(df: DataFrame, keys: list[str], at: str, step: str = "30 minutes") -> DataFrame:
     """df with a row for every step between each key's first and last; what is missing stays null."""
     grid = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b")).select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"interval {step}"))).alias(at))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorant.operators import digests, ranges, relations, scans
+from calorant.functions.keys import state_fingerprint
+from calorant.operators import digests, ranges, relations, scans, temporal
 from calorant.operators.conformance import conformance
-from calorant.plans.analogues import read
+from calorant.plans.analogues import read, revision_log
+from calorant.plans.driver_queries import HISTORY
 from calorant.plans.folders import settled, shared_folder
 from calorant.plans.load import IDENTITY, PAYLOAD, load
 from calorant.plans.registry import query
@@ -179,3 +181,32 @@ def q62_cross_feed_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "delivery_point_capacity_assessment": lines(orders, "delivery_point_capacity_assessment", "o_orderkey", source_capacity_revision_id=text("CAP-", o), delivery_point_natural_id=text("P-", own), interval_start_utc=half_hour(o), interval_end_utc=half_hour(o + 1), assessment_status="final", nameplate_ceiling_mwh_th="7.000000", operational_restriction_mwh_th="0.500000", deliverable_capacity_mwh_th="6.500000", quantity_unit="MWh_th", assessment_method="m", assessment_method_version="1", capacity_reason_code="normal", finalized_at_utc="2026-08-01T00:00:00Z"),
     }
     return validation.report(validation.validate(feeds))
+
+
+@query(HISTORY + """, a AS (SELECT * FROM history WHERE event_type = 'click'), b AS (SELECT * FROM history WHERE event_type = 'purchase'),
+points AS (SELECT user_id, known_from_utc AS t FROM a UNION SELECT user_id, known_from_utc FROM b),
+said AS (SELECT p.user_id, t, a.rev AS click_rev, b.rev AS purchase_rev, b.value - a.value AS delta, CASE WHEN a.rev IS NULL OR b.rev IS NULL THEN 'provisional' WHEN b.value < a.value THEN 'short' ELSE 'final' END AS status
+ FROM points p LEFT JOIN a ON a.user_id = p.user_id AND a.known_from_utc <= t AND (a.known_to_utc IS NULL OR t < a.known_to_utc) LEFT JOIN b ON b.user_id = p.user_id AND b.known_from_utc <= t AND (b.known_to_utc IS NULL OR t < b.known_to_utc)),
+told AS (SELECT *, lag({'d': delta, 's': status}) OVER w AS before, row_number() OVER w AS n FROM said WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+kept AS (SELECT * FROM told WHERE n = 1 OR before.d IS DISTINCT FROM delta OR before.s <> status)
+SELECT user_id, t AS known_from_utc, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS known_to_utc, click_rev, purchase_rev, CAST(delta AS DECIMAL(20,6)) AS delta, status FROM kept""")
+def q63_history_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of two histories as known at each instant that either changed, one row a window of equal state."""
+    logs = {kind: temporal.knowledge_history(revision_log(spark, sf_dir).where(F.col("event_type") == kind), ["user_id"], "rev", F.col("ts"), "event_id") for kind in ("click", "purchase")}
+    history = {kind: settled(h.select("user_id", F.col("rev").alias(f"{kind}_rev"), F.col("value").alias(f"{kind}_value"), "known_from_utc", "known_to_utc"), kind) for kind, h in logs.items()}
+    facts = temporal.change_points([h.select("user_id", F.col("known_from_utc").alias("t")) for h in history.values()])
+    for h in history.values():
+        facts = temporal.as_known_at(facts, h, ["user_id"], "t").drop("known_from_utc", "known_to_utc")
+    delta = (F.col("purchase_value") - F.col("click_value")).cast("decimal(20,6)")
+    missing = F.col("click_rev").isNull() | F.col("purchase_rev").isNull()
+    facts = facts.withColumns({"delta": delta, "status": F.when(missing, "provisional").when(delta < 0, "short").otherwise("final")}).withColumn("state", state_fingerprint("delta", "status"))
+    windows = temporal.coalesce_states(facts, ["user_id"], ["t"], "state")
+    return windows.select("user_id", F.col("t").alias("known_from_utc"), "known_to_utc", "click_rev", "purchase_rev", "delta", "status")
+
+
+@query("""SELECT meaning, rank, count(l_orderkey) AS lines FROM (VALUES ('A', 'accepted', 1), ('N', 'new', 2), ('R', 'returned', 3), ('X', 'unknown', NULL)) AS v(flag, meaning, rank) LEFT JOIN lineitem ON l_returnflag = flag GROUP BY ALL""")
+def q64_named_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation of values, the names of flags, with the order lines of each."""
+    names = spark.sql("SELECT * FROM VALUES ('A', 'accepted', 1), ('N', 'new', 2), ('R', 'returned', 3), ('X', 'unknown', NULL) AS v(flag, meaning, rank)")
+    counts = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("lines"))
+    return counts.join(F.broadcast(names), "flag", "right").select("meaning", "rank", F.coalesce("lines", F.lit(0)).alias("lines"))

@@ -53,11 +53,6 @@ def summary(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     }).drop("penalty_all", "net_all")
 
 
-def context(facts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Each place's latest name and the dates that it has facts for."""
-    return facts.groupBy(*keys).agg(F.max_by(name, "effective_from_utc").alias(name), F.min("operating_date").alias("first_date"), F.max("operating_date").alias("last_date"))
-
-
 def context_tree(facts: DataFrame, authorized: Column, tenant: str, tenants: list, places: list[str], day: str) -> DataFrame:
     """The places that an actor may see, with the first and last day that each has facts for, in the places' order."""
     seen = scoped(facts, authorized, tenant, tenants)

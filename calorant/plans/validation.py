@@ -35,6 +35,7 @@ OVERLAPS = [
 #: Fields that rules within a row read and that may be absent.
 READ = ("effective_to_utc", "nameplate_ceiling_mwh_th", "operational_restriction_mwh_th", "deliverable_capacity_mwh_th")
 CLEAN = "size(issues) = 0"
+PUBLISHED = ("accepted", "lines", "quarantined", "replays", "report")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -106,11 +107,12 @@ def parsed(lines: DataFrame, feed: str, contract: Contract) -> DataFrame:
 
 
 def unduplicated(df: DataFrame) -> DataFrame:
-    """Rows of one identity: a conflict if payloads differ, else all but the first are replays."""
+    """Rows of one identity: a conflict if payloads differ, else all but the first are replays, with its accepted_locator."""
     sound = df.where(CLEAN).groupBy("identity").agg(F.min("payload_sha256").alias("_low"), F.max("payload_sha256").alias("_high"), F.min("locator").alias("_first"))
     df = df.join(sound, "identity", "left").withColumn("_ok", F.expr(CLEAN) & F.col("_first").isNotNull())
     df = issued(df, F.when(F.col("_ok") & (F.col("_low") != F.col("_high")), F.array(F.lit("source_revision_conflict"))))
-    return df.withColumn("replay", F.expr(CLEAN) & F.col("_ok") & (F.col("locator") != F.col("_first"))).drop("_low", "_high", "_first", "_ok")
+    df = df.withColumn("replay", F.expr(CLEAN) & F.col("_ok") & (F.col("locator") != F.col("_first")))
+    return df.withColumn("accepted_locator", F.when(F.col("replay"), F.col("_first"))).drop("_low", "_high", "_first", "_ok")
 
 
 def opaque_once(df: DataFrame, opaque: str) -> DataFrame:
@@ -278,8 +280,9 @@ def accepted(feeds: Feeds) -> Feeds:
 
 
 def write_outcomes(feeds: Feeds, folder: str, bundle: DataFrame | None = None) -> None:
-    """accepted/<feed> as Parquet; lines/<feed>, accepted objects as JSON with sorted keys; quarantined/<feed> as
-    JSON lines with issues, the line and its locator; report; and last files: path, bytes and sha256 of each.
+    """accepted/<feed> as Parquet; lines/<feed>, accepted objects in their canonical form, of which the payload's hash
+    is; quarantined/<feed> as JSON lines with issues, the line, its locator and number; replays/<feed> likewise with
+    the locator of the accepted line; report; and last files: path, bytes and sha256 of each.
 
     A folder without files isn't published yet: readers go by that table, and a run that broke is written anew.
     """
@@ -287,10 +290,12 @@ def write_outcomes(feeds: Feeds, folder: str, bundle: DataFrame | None = None) -
     for feed, df in accepted(feeds).items():
         df.write.mode("overwrite").parquet(f"{folder}/accepted/{feed}")
     for feed, df in feeds.items():
-        df.where("outcome = 'accepted'").select(F.to_json(F.parse_json("line")).alias("value")).write.mode("overwrite").text(f"{folder}/lines/{feed}")
-        df.where("outcome = 'quarantined'").select("locator", "identity", "payload_sha256", F.array_sort("issues").alias("issues"), "failures", "line").write.mode("overwrite").json(f"{folder}/quarantined/{feed}")
+        number = ["line_number"] if "line_number" in df.columns else []
+        objects(df.where("outcome = 'accepted'").select("line")).select("payload").write.mode("overwrite").text(f"{folder}/lines/{feed}")
+        df.where("outcome = 'replay'").select("locator", *number, "identity", "payload_sha256", "accepted_locator").write.mode("overwrite").json(f"{folder}/replays/{feed}")
+        df.where("outcome = 'quarantined'").select("locator", *number, "identity", "payload_sha256", F.array_sort("issues").alias("issues"), "failures", "line").write.mode("overwrite").json(f"{folder}/quarantined/{feed}")
     report(feeds, bundle).write.mode("overwrite").parquet(f"{folder}/report")
-    hashed([f"{folder}/{part}" for part in ("accepted", "lines", "quarantined", "report")], spark).write.mode("overwrite").parquet(f"{folder}/files")
+    hashed([f"{folder}/{part}" for part in PUBLISHED], spark).write.mode("overwrite").parquet(f"{folder}/files")
 
 
 def hashed(folders: list[str], spark: SparkSession) -> DataFrame:
@@ -301,5 +306,5 @@ def hashed(folders: list[str], spark: SparkSession) -> DataFrame:
 
 def altered(spark: SparkSession, folder: str) -> DataFrame:
     """path of each published file that is gone or no longer has its hash, and of each file that was added."""
-    now = hashed([f"{folder}/{part}" for part in ("accepted", "lines", "quarantined", "report")], spark).select("path", F.col("sha256").alias("_now"))
+    now = hashed([f"{folder}/{part}" for part in PUBLISHED], spark).select("path", F.col("sha256").alias("_now"))
     return spark.read.parquet(f"{folder}/files").join(now, "path", "full").where("not (sha256 <=> _now)").select("path")

@@ -38,9 +38,3 @@ def drained(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
 def appended(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append what is new since the checkpoint as Parquet, and stop. Running it again adds nothing twice."""
     stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def split_late(batch: DataFrame, at: str, since: str) -> tuple[DataFrame, DataFrame]:
-    """Rows from `since` on, and those before it, which the batch history takes up by their knowledge time."""
-    cut = F.lit(since).cast("timestamp_ntz")
-    return batch.where(F.col(at) >= cut), batch.where(F.col(at) < cut)
