@@ -112,22 +112,22 @@ def objects(df: DataFrame, line: str = "line") -> DataFrame:
     """
     own = F.coalesce(line, F.lit(""))
     marked = F.regexp_replace(own, ENTRY, f"{EDGE}$1{PAIR}$2{EDGE}")
-    marked = F.regexp_replace(F.regexp_replace(marked, f"{EDGE}{SPACE}*+,{SPACE}*+{EDGE}", EDGE), rf"(\.[0-9]+?)0++(?={EDGE})", "$1")
     df = df.withColumn("_marked", F.when(~F.contains(own, F.lit(EDGE)) & ~F.contains(own, F.lit(PAIR)), marked))
-    inner = F.substring(F.col("_marked"), F.instr("_marked", EDGE) + 1, F.length("_marked") - F.instr("_marked", EDGE) - F.instr(F.reverse("_marked"), EDGE))
-    df = df.withColumn("_parts", F.when(F.contains("_marked", F.lit(EDGE)), F.sort_array(F.split(inner, EDGE))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("_joined", F.array_join("_parts", EDGE))
-    outside = F.regexp_replace(F.concat(F.substring_index("_marked", EDGE, 1), F.when(F.size("_parts") > 0, F.substring_index("_marked", EDGE, -1)).otherwise("")), SPACE, "") == "{}"
-    paired = F.length("_joined") - F.length(F.replace("_joined", F.lit(PAIR), F.lit(""))) == F.size("_parts")
-    df = df.withColumn("_plain", F.coalesce(outside & paired, F.lit(False)))
-    listed = lambda gone: F.when(F.size("_parts") > 0, F.split(F.regexp_replace("_joined", gone, ""), EDGE)).otherwise(F.col("_parts"))
-    df = df.withColumn("_keys", F.when(F.col("_plain"), listed(f"{PAIR}[^{EDGE}]*+"))).withColumn("_read", _reader()(F.when(~F.col("_plain"), own)))
+    short = F.when(F.contains("_marked", F.lit(f"0{EDGE}")), F.regexp_replace("_marked", rf"(\.[0-9]+?)0++(?={EDGE})", "$1")).otherwise(F.col("_marked"))
+    df = df.withColumn("_cut", F.split(short, EDGE))
+    df = df.withColumn("_parts", F.sort_array(F.filter("_cut", lambda x, k: k % 2 == 1)))
+    between = F.translate(F.array_join(F.filter("_cut", lambda x, k: k % 2 == 0), EDGE), " \t\r\n", "")
+    n = F.size("_parts")
+    expected = F.when(n == 0, "{}").otherwise(F.concat(F.lit("{"), F.repeat(F.lit(f"{EDGE},"), n - 1), F.lit(EDGE + "}")))
+    df = df.withColumn("_plain", F.coalesce(between == expected, F.lit(False))).withColumn("_joined", F.array_join("_parts", EDGE))
+    side = lambda k: F.transform("_parts", lambda x: F.substring_index(x, PAIR, k))
+    df = df.withColumn("_keys", F.when(F.col("_plain"), side(1))).withColumn("_read", _reader()(F.when(~F.col("_plain"), own)))
     twice = F.size(F.array_distinct("_keys")) < F.size("_keys")
     df = df.withColumn("issue", F.when(F.col("_plain"), F.when(twice, "duplicate_json_key")).otherwise(F.col("_read.issue")))
     text = F.when(F.size("_parts") == 0, "{}").otherwise(F.concat(F.lit('{"'), F.replace(F.replace("_joined", F.lit(EDGE), F.lit(',"')), F.lit(PAIR), F.lit('":')), F.lit("}")))
-    values = F.when(F.col("_plain"), F.map_from_arrays("_keys", listed(f"[^{EDGE}{PAIR}]*+{PAIR}"))).otherwise(F.map_from_arrays("_read.keys", "_read.tokens"))
+    values = F.when(F.col("_plain"), F.map_from_arrays("_keys", side(-1))).otherwise(F.map_from_arrays("_read.keys", "_read.tokens"))
     sound = F.col("issue").isNull()
-    return df.withColumn("payload", F.when(sound, F.when(F.col("_plain"), text).otherwise(F.col("_read.payload")))).withColumn("values", F.when(sound, values)).drop("_marked", "_parts", "_joined", "_plain", "_keys", "_read")
+    return df.withColumn("payload", F.when(sound, F.when(F.col("_plain"), text).otherwise(F.col("_read.payload")))).withColumn("values", F.when(sound, values)).drop("_marked", "_cut", "_parts", "_joined", "_plain", "_keys", "_read")
 
 
 def text_of(token: Column) -> Column:
