@@ -9,6 +9,8 @@ from calorant.operators import asof, dyadic, scans
 
 #: Levels of blocks of four: the units that a span of time is cut into are 4 ** LEVELS.
 LEVELS = 10
+#: The level of the largest blocks that ranges are cut into: 4 ** (LEVELS - TOP) of them over the time, so that no task gets all points as members of one block.
+TOP = 6
 
 
 def covers(start: str, end: str, begin: Column, stop: Column | None = None) -> Column:
@@ -27,8 +29,8 @@ def containment_join(points: DataFrame, ranges: DataFrame, at: str, start: str,
     """Inner join of points with the ranges [start, end) that hold them, without a key in common.
 
     The time from the first to the last point is cut into a million units. A range, clipped to that
-    time, enters at most 60 blocks of units, however long or open it is, and a point one block a level; what
-    the units at a range's ends hold beside it is filtered.
+    time, enters at most 300 blocks of units, however long or open it is, and a point one block a level up to
+    TOP; what the units at a range's ends hold beside it is filtered.
     """
     micros = lambda t: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), t)
     bounds = points.agg(F.min(micros(F.col(at))).alias("_first"), F.max(micros(F.col(at))).alias("_last")).withColumn("_unit", F.greatest(F.lit(1), F.ceil((F.col("_last") - F.col("_first") + 1) / 4**LEVELS)))
@@ -36,7 +38,7 @@ def containment_join(points: DataFrame, ranges: DataFrame, at: str, start: str,
     begin, stop = F.greatest(micros(F.col(start)), F.col("_first")), F.least(F.coalesce(micros(F.col(end)) - 1, F.col("_last")), F.col("_last"))
     clipped = ranges.join(F.broadcast(bounds)).where(F.col(start).isNotNull() & (begin <= stop)).withColumns({"_lo": unit(begin), "_hi": unit(stop) + 1})
     placed = points.join(F.broadcast(bounds)).withColumn("_at", unit(micros(F.col(at))))
-    pairs = dyadic.held(placed.select(F.struct(*points.columns).alias("_p"), "_at"), clipped.select(F.struct(*ranges.columns).alias("_r"), "_lo", "_hi"), [], "_at", "_lo", "_hi", LEVELS)
+    pairs = dyadic.held(placed.select(F.struct(*points.columns).alias("_p"), "_at"), clipped.select(F.struct(*ranges.columns).alias("_r"), "_lo", "_hi"), [], "_at", "_lo", "_hi", TOP)
     return pairs.where(covers(f"_r.{start}", f"_r.{end}", F.col(f"_p.{at}"))).select("_p.*", "_r.*")
 
 
