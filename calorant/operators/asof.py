@@ -3,8 +3,9 @@
 Starts and ends of versions and the rows' instants are put in one order per key and scanned once. A row
 then knows how many versions hold its instant, and the one that started last. If that one is in force
 and alone, as in any history of disjoint windows, it is the answer, and nothing is joined. Rows that
-several versions hold, or an older one, meet them by blocks of the ranks of starts and ends (see
-`dyadic`): as many joined rows as there are answers.
+several versions hold, or an older one, meet them by blocks of the ranks of instants (see `dyadic`).
+Rows of one key and instant have the same versions, so these are found once an instant, and the rows
+joined to them last: as many joined rows as there are answers, and these are neither written nor dealt out.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def _events(df: DataFrame, versions: DataFrame, keys: list[str], start: str, end
     edge = lambda t, by: v.select(*keys, F.col(f"_version.{t}").alias("_t"), F.lit(by).cast("long").alias("_by"), F.lit(1 if by > 0 else 3 if closed else 0).alias("_kind"), "_id", "_version" if by > 0 else row("_version", version), row("_row", fact))
     rows = df.select(*keys, F.col(at).alias("_t"), F.lit(0).cast("long").alias("_by"), F.lit(2).alias("_kind"), row("_id", "long"), row("_version", version), F.struct(*df.columns).alias("_row"))
     every = edge(start, 1).unionByName(edge(end, -1).where("_t is not null")).unionByName(rows)
-    columns = {"_active": scans.sum_upto(F.col("_by")), "_last": scans.last_upto(F.col("_version")), "_rank": scans.count_upto(F.col("_kind") != 2)}
+    columns = {"_active": scans.sum_upto(F.col("_by")), "_last": scans.last_upto(F.col("_version")), "_rank": scans.dense_rank()}
     return scans.scanned(every, keys, ["_t", "_kind"], columns, parts)
 
 
@@ -45,7 +46,7 @@ def matched(df: DataFrame, versions: DataFrame, keys: list[str], start: str, end
     parts: as for scans.scanned, where one key has too many rows for a task.
     """
     events = settled(_events(df, versions, keys, start, end, at, closed, parts), "events")
-    keep = keep or (lambda row, version: F.lit(True))
+    every, keep = keep is None, keep or (lambda row, version: F.lit(True))
     rows = events.where("_kind = 2")
     alone = (F.col("_active") == 1) & F.coalesce((F.col(f"_last.{end}").isNull()) | (F.col("_t") <= F.col(f"_last.{end}") if closed else F.col("_t") < F.col(f"_last.{end}")), F.lit(False))
     none = (F.col("_active") == 0) | F.col("_t").isNull()
@@ -54,12 +55,17 @@ def matched(df: DataFrame, versions: DataFrame, keys: list[str], start: str, end
     rest = rows.where(~(none | alone)).select(*keys, "_rank", "_row")
     most = rest.agg(F.max("_rank")).first()[0]
     if most is not None:
-        rest = settled(rest.withColumn("_number", F.monotonically_increasing_id()), "rest")
         most = events.agg(F.max("_rank")).first()[0]
         first = events.where("_by > 0").select(*keys, "_id", "_version", F.col("_rank").alias("_lo"))
         last = events.where("_by < 0").select("_id", F.col("_rank").alias("_hi"))
-        spans = first.join(last, "_id", "left").withColumn("_hi", F.coalesce("_hi", F.lit(most + 1))).drop("_id")
-        pairs = dyadic.held(rest, spans, keys, "_rank", "_lo", "_hi", dyadic.levels_of(most))
+        spans = settled(first.join(last, "_id", "left").withColumn("_hi", F.coalesce("_hi", F.lit(most + 1))).drop("_id"), "spans")
+        levels = dyadic.levels_of(spans.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0])
+        if every:  # each of these rows has a version, as some are active
+            found = dyadic.held(rest.select(*keys, "_rank").distinct(), spans, keys, "_rank", "_lo", "_hi", levels)
+            out = out.unionByName(rest.join(found, [*keys, "_rank"]).select("_row", "_version"))
+            return out if how == "left" else out.where("_version is not null")
+        rest = settled(rest.withColumn("_number", F.monotonically_increasing_id()), "rest")
+        pairs = dyadic.held(rest, spans, keys, "_rank", "_lo", "_hi", levels)
         pairs = settled(pairs.where(keep(F.col("_row"), F.col("_version"))).select("_number", "_row", "_version"), "pairs")
         out = out.unionByName(pairs.drop("_number"))
         if how == "left":

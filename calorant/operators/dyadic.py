@@ -1,7 +1,8 @@
 """Ranges of whole numbers as few aligned blocks of powers of four, so that a point meets the ranges that hold it by equality.
 
 A range has at most six blocks a level, and a point one; both meet in exactly one block if the range
-holds the point, and in none if not.
+holds the point, and in none if not. With fewer levels than numbers need, a long range has more blocks of
+the last one, and no block holds more than 4 ** levels numbers.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def levels_of(most: int) -> int:
 
 
 def blocks(lo: str, hi: str, levels: int) -> Column:
-    """Blocks (level, place) of [lo, hi), numbers below 4 ** levels; none if it is empty or an end is null."""
+    """Blocks (level, place) of [lo, hi), of levels up to `levels`; none if it is empty or an end is null."""
     up = lambda l: f"-shiftright(-({lo}), 2 * ({l}))"
     down = lambda l: f"shiftright({hi}, 2 * ({l}))"
     run = lambda a, b: f"if({a} < {b}, transform(sequence({a}, greatest({a}, {b} - 1)), p -> named_struct('level', l, 'place', p)), array())"
@@ -36,7 +37,7 @@ def places(at: str, levels: int) -> Column:
 def held(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, lo: str, hi: str, levels: int) -> DataFrame:
     """Inner join of points with the ranges [lo, hi) of their keys that hold them: one row a pair, none to filter.
 
-    at, lo and hi are columns of whole numbers below 4 ** levels. The sides share no columns but the keys.
+    at, lo and hi are columns of whole numbers. The sides share no columns but the keys.
     """
     p = points.withColumn("_block", F.explode(places(at, levels)))
     r = ranges.withColumn("_block", F.explode(blocks(lo, hi, levels)))

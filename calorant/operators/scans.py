@@ -30,14 +30,14 @@ class Scan:
         """The value within a range, by a window in order."""
         upto, before = w.rowsBetween(_START, Window.currentRow), w.rowsBetween(_START, -1)
         return {
-            "max_before": lambda: F.max(self.value).over(before), "sum_upto": lambda: F.coalesce(F.sum(self.value).over(upto), F.lit(0)),
+            "dense_rank": lambda: F.dense_rank().over(w).cast("long"), "max_before": lambda: F.max(self.value).over(before), "sum_upto": lambda: F.coalesce(F.sum(self.value).over(upto), F.lit(0)),
             "last_upto": lambda: F.last(self.value, ignorenulls=True).over(upto), "previous": lambda: F.lag(F.struct(self.value)).over(w), "next": lambda: F.lead(F.struct(self.value)).over(w),
         }[self.kind]()
 
     def whole(self, order: Column) -> Column:
         """What a range holds for others, as an aggregate; order is the rows' order as one value."""
         return {
-            "max_before": lambda: F.max(self.value), "sum_upto": lambda: F.coalesce(F.sum(self.value), F.lit(0)),
+            "dense_rank": lambda: F.count_distinct(order), "max_before": lambda: F.max(self.value), "sum_upto": lambda: F.coalesce(F.sum(self.value), F.lit(0)),
             "last_upto": lambda: F.max_by(self.value, F.when(self.value.isNotNull(), order)), "previous": lambda: F.max_by(F.struct(self.value), order), "next": lambda: F.min_by(F.struct(self.value), order),
         }[self.kind]()
 
@@ -45,14 +45,14 @@ class Scan:
         """What comes to a range from those before, or the next."""
         before = w.rowsBetween(_START, -1)
         return {
-            "max_before": lambda: F.max(whole).over(before), "sum_upto": lambda: F.sum(whole).over(before), "last_upto": lambda: F.last(whole, ignorenulls=True).over(before),
+            "dense_rank": lambda: F.sum(whole).over(before), "max_before": lambda: F.max(whole).over(before), "sum_upto": lambda: F.sum(whole).over(before), "last_upto": lambda: F.last(whole, ignorenulls=True).over(before),
             "previous": lambda: F.lag(whole).over(w), "next": lambda: F.lead(whole).over(w),
         }[self.kind]()
 
     def both(self, local: Column, carry: Column) -> Column:
         if self.kind == "max_before":
             return F.greatest(local, carry)
-        if self.kind == "sum_upto":
+        if self.kind in ("dense_rank", "sum_upto"):
             return local + F.coalesce(carry, F.lit(0))
         return F.coalesce(local, carry)
 
@@ -74,6 +74,11 @@ def count_upto(condition: Column) -> Scan:
     return Scan("sum_upto", F.when(condition, 1).otherwise(0).cast("long"))
 
 
+def dense_rank() -> Scan:
+    """The number of different values of the order up to and with the row's."""
+    return Scan("dense_rank", F.lit(None))
+
+
 def last_upto(value: Column) -> Scan:
     """The last value up to the row that isn't null."""
     return Scan("last_upto", value)
