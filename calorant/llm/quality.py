@@ -68,13 +68,13 @@ def sizes(bad: bytes, good: bytes):
     return of
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a lightly penalised logistic regression by Newton's method; the first is the constant."""
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights of a lightly penalised logistic regression by Newton's method; the first is the constant. times: how often each row counts."""
     a, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (y - p) - 1e-2 * w)
+        h = (a * (times * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (times * (y - p)) - 1e-2 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break

@@ -4,18 +4,19 @@ The patterns find assignments, access key ids and long hexadecimal runs; their f
 Every other token that could be a key is a candidate, and the network, which sees it with the text
 around it, or by overlapping windows if it is long, adds those whose calibrated score reaches a threshold set for recall.
 
-The network learns from labelled findings: the patterns' own findings in a bounded sample of texts and
-generated keys of common forms set into those texts are positive; the sample's remaining candidates
-and generated look-alikes (long words, numbers, paths, repeated characters) are negative.
+The network learns from labelled findings in every text: the patterns' own findings and generated keys of
+common forms set into the texts are positive; the remaining candidates and generated look-alikes (long
+words, numbers, paths, repeated characters) are negative. Tasks train on shards of these and their weights
+are averaged; the calibration and the threshold go by counts of all findings held out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calorant.llm import convnet
-from calorant.llm.common import checkpoint
+from calorant.llm.common import written
 from calorant.llm.quality import logistic
 
 #: The base patterns, in the order of their kinds, with the least length of the group named.
@@ -39,10 +40,14 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=!@#$%%^&*~-]{%d,}" % SHORTEST)
 LETTERS = re.compile(r"[A-Za-z]+")
 MASK = "<secret>"
 
-#: Bounds of training: sampled texts, findings of each label taken from them, and generated ones of each label.
-SAMPLE = 4000
-TAKEN = 2000
+#: Generated findings of each label: one a different text, and this many at least.
 GENERATED = 2500
+#: Findings that a task trains on, about; how often each is seen at least, and how many a task sees at least.
+SHARD = 25_000
+PASSES = 2
+SEEN = 40_000
+#: Margins of held-out findings are counted by steps of 1 / STEPS.
+STEPS = 100
 #: Least share of generated keys, held out, that are found, and of generated keys among what is found of these and of all look-alikes.
 RECALL, PRECISION = 0.95, 0.95
 
@@ -176,32 +181,22 @@ class Model:
         return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-@lru_cache(4)
-def _trained(x: bytes, y: bytes, made: bytes) -> Model:
-    features, labels = np.frombuffer(x, dtype=np.uint8).reshape(-1, convnet.WIDTH), np.frombuffer(y, dtype=np.float32)
-    held, own = np.arange(len(labels)) % 4 == 0, np.frombuffer(made, dtype=bool)
-    network = convnet.Network()
-    network.train(features[~held], labels[~held])
-    margin, truth = network.margin(features[held]).astype(float), labels[held].astype(float)
-    a, b = map(float, logistic(margin[:, None], truth))
-    p = 1 / (1 + np.exp(-np.clip(a + b * margin, -30, 30)))
+def _calibrated(network: convnet.Network, bins: np.ndarray, truth: np.ndarray, own: np.ndarray, times: np.ndarray) -> Model:
+    """The model by counts (times) of held-out findings: the step of the margin, the label, whether generated."""
+    a, b = map(float, logistic(((bins + 0.5) / STEPS)[:, None], truth, times))
+    p = 1 / (1 + np.exp(-np.clip(a + b * bins / STEPS, -30, 30)))  # of the least margin of a step
     # what patterns find stands anyway, so the threshold is set by generated keys against everything else
-    keys, others = np.sort(p[(truth == 1) & own[held]]), np.sort(p[truth == 0])
-    at = np.unique(np.concatenate((keys, others, [1.0])))
-    found, wrong = len(keys) - np.searchsorted(keys, at), len(others) - np.searchsorted(others, at)
+    at = np.unique(np.concatenate((p, [1.0])))
+    above = lambda which: np.array([times[which & (p >= t)].sum() for t in at])
+    keys, others = (truth == 1) & own, truth == 0
+    found, wrong = above(keys), above(others)
     precise = at[found >= PRECISION * np.maximum(1, found + wrong)]
-    recalled = at[found >= RECALL * len(keys)].max(initial=0.5)
+    recalled = at[found >= RECALL * times[keys].sum()].max(initial=0.5)
     return Model(network, (a, b), float(max(min(precise.min(initial=1.0), 1.0), min(0.5, recalled))))
 
 
-def fit(docs: DataFrame) -> Model:
-    """Train on labelled findings in the whole texts of SAMPLE documents, in the order of the id's hash.
-
-    The threshold is the least that keeps PRECISION on held-out generated keys and all held-out
-    look-alikes, and no less than what keeps RECALL of these keys, up to a half.
-    """
-    ids = checkpoint(docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
-    sample = docs.where("text is not null and text <> ''").select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
+def _labelled(texts: DataFrame, each: int) -> DataFrame:
+    """Different findings of all texts: label, x (encoded), made (generated: `each` of each label a text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -209,20 +204,64 @@ def fit(docs: DataFrame) -> Model:
             for text in batch["text"]:
                 base = base_spans(text)
                 for label, places in ((1, [(a, b) for _, a, b in base]), (0, candidates(text, base))):
-                    rows += [(label, convnet.encode(text, c, d).tobytes(), "") for a, b in places for c, d in convnet.windows(a, b)]
-                rows.append((2, b"", text[max(0, len(text) // 2 - 200) : len(text) // 2 + 200]))
-            yield pd.DataFrame(rows, columns=["label", "x", "context"])
-
-    found = sample.mapInPandas(run, "label int, x binary, context string")
-    taken = [found.where(f"label = {k}").select("label", "x", "context").distinct().orderBy(F.xxhash64("x", "context"), "x", "context").limit(TAKEN) for k in (0, 1, 2)]
-    got = taken[0].union(taken[1]).union(taken[2]).collect()
-    x = [np.frombuffer(bytes(r.x), dtype=np.uint8) for r in got if r.label < 2]
-    y = [r.label for r in got if r.label < 2]
-    more, labels = generated([r.context for r in got if r.label == 2], GENERATED)
-    x, y = np.concatenate([np.array(x, dtype=np.uint8).reshape(-1, convnet.WIDTH), more]), np.concatenate([np.array(y, dtype=np.float32), labels])
-    made = np.arange(len(y)) >= len(y) - len(labels)
-    order = np.random.default_rng(3).permutation(len(y))
-    return _trained(x[order].tobytes(), y[order].astype(np.float32).tobytes(), made[order].tobytes())
+                    rows += [(label, convnet.encode(text, c, d).tobytes(), False) for a, b in places for c, d in convnet.windows(a, b)]
+                context = text[max(0, len(text) // 2 - 200) : len(text) // 2 + 200]
+                x, y = generated([context], each, zlib.crc32(text.encode("utf-8", "surrogatepass")))
+                rows += [(int(label), row.tobytes(), True) for row, label in zip(x, y)]
+            yield pd.DataFrame(rows, columns=["label", "x", "made"])
+
+    return texts.mapInPandas(run, "label int, x binary, made boolean").distinct()
+
+
+def _trained(rows: DataFrame, shards: int, passes: int, network: convnet.Network) -> convnet.Network:
+    """The mean of what each shard's task makes of the network, by the shard's rows."""
+    names, start = list(network.w), network.w
+
+    def run(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values(["x", "label"])
+        own = convnet.Network()
+        own.w = dict(start)
+        own.train(np.frombuffer(b"".join(shard["x"]), dtype=np.uint8).reshape(-1, convnet.WIDTH), shard["label"].to_numpy(np.float32), passes)
+        return pd.DataFrame({"n": [len(shard)], "w": [np.concatenate([own.w[k].ravel() for k in names]).astype(float)]})
+
+    each = rows.where(F.col("shard") < shards).groupBy("shard").applyInPandas(run, "n long, w array<double>")
+    # decimals add up to the same in any order
+    sums = each.select("n", F.posexplode("w")).groupBy("pos").agg((F.sum((F.col("col") * F.col("n")).cast("decimal(38,9)")).cast("double") / F.sum("n")).alias("w")).orderBy("pos")
+    flat, out, at = np.array([r.w for r in sums.select("w").collect()], dtype=np.float32), convnet.Network(), 0
+    for k in names:
+        out.w[k] = flat[at : at + start[k].size].reshape(start[k].shape)
+        at += start[k].size
+    return out
+
+
+def fit(docs: DataFrame) -> Model:
+    """Train on labelled findings in all whole texts. A quarter of the different findings, by their hash, is held out.
+
+    The threshold is the least that keeps PRECISION on held-out generated keys and all held-out
+    look-alikes, and no less than what keeps RECALL of these keys, up to a half.
+    """
+    texts = docs.where("text is not null and text <> ''").select("text")
+    n = texts.select(F.xxhash64("text")).distinct().count()
+    if not n:
+        texts, n = docs.sparkSession.createDataFrame([("the text",)], "text string"), 1
+    rows = written(_labelled(texts, -(-GENERATED // n)).withColumn("hash", F.xxhash64("x", "label")))
+    held = F.pmod("hash", F.lit(4)) == 0
+    most = rows.where(~held).count()
+    shards = max(1, round(most / SHARD))
+    own = rows.where(~held).withColumn("shard", F.pmod(F.shiftright("hash", 2), F.lit(shards)))
+    # shards begin with what the first one makes, as means of networks that have nothing in common are none
+    network = _trained(own, 1, max(PASSES, -(-SEEN * shards // most)), convnet.Network())
+    for _ in range(PASSES if shards > 1 else 0):
+        network = _trained(own, shards, 1, network)
+
+    def margins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch["x"]), dtype=np.uint8).reshape(-1, convnet.WIDTH)
+            yield pd.DataFrame({"bin": np.floor(np.clip(network.margin(x).astype(float), -30, 30) * STEPS).astype(int), "label": batch["label"], "made": batch["made"]})
+
+    counts = rows.where(held).select("x", "label", "made").mapInPandas(margins, "bin long, label int, made boolean").groupBy("bin", "label", "made").count().orderBy("bin", "label", "made").collect()
+    column = lambda name, kind: np.array([r[name] for r in counts], dtype=kind)
+    return _calibrated(network, column("bin", float), column("label", float), column("made", bool), column("count", float))
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
