@@ -82,6 +82,26 @@ def change_points(logs: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def related_points(links: DataFrame, clocks: DataFrame, owner: str, relation: str, at: str) -> DataFrame:
+    """Distinct (owner, at): the instants of each owner's own links and of the clocks of all owners that share a relation with it.
+
+    links: owner, relation, at; clocks: owner, at. A relation's instants go to its owners as sets, not one by
+    one: days as two bytes each, together by their time of day. A set has 65,536 at most; those of one owner
+    are joined in one row. Instants may be null; null owners have their own links, null relations share nothing.
+    """
+    kind = clocks.schema[at].dataType
+    links, day = links.repartition(owner), F.unix_date(F.to_date(at))
+    block = F.shiftright(day + 32768, 16)
+    cut = lambda df, *more: df.select(*more, (F.col(at) - F.to_date(at).cast(df.schema[at].dataType)).alias("_time"), block.alias("_block"), (day - block * 65536).cast("smallint").alias("_day"))
+    own = cut(links, owner).groupBy(owner, "_time", "_block").agg(F.collect_set("_day").alias("_days"))
+    of = links.select(owner, relation).where(F.col(relation).isNotNull()).join(clocks.select(owner, at), owner)
+    sets = cut(of, relation).repartition(relation).groupBy(relation, "_time", "_block").agg(F.collect_set("_day").alias("_days"))
+    met = links.select(owner, relation).join(sets, relation).select(owner, "_time", "_block", "_days").unionByName(own)
+    days = met.repartition(owner).groupBy(owner, "_time", "_block").agg(F.array_distinct(F.flatten(F.collect_list("_days"))).alias("_days"))
+    each = days.select(owner, "_time", "_block", F.explode_outer("_days").alias("_day"))
+    return each.select(owner, (F.date_from_unix_date(F.col("_block") * 65536 + F.col("_day")).cast(kind) + F.col("_time")).alias(at))
+
+
 def bitemporal_join(df: DataFrame, history: DataFrame, keys: list[str], begin: str, end: str, t: str, parts: int | None = None) -> DataFrame:
     """df with the version of its keys that was in force over [begin, end] as far as known at t; a left join.
 

@@ -87,9 +87,7 @@ def q48_related_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instants at which an order or any order that shares a part with it changed: a join that expands by relationship."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_shipdate").alias("t"))
     clocks = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("t"))
-    shared = lines.select("l_orderkey", "l_partkey").distinct()
-    of_parts = shared.join(clocks, "l_orderkey").select("l_partkey", "t").distinct()
-    return temporal.change_points([shared.join(of_parts, "l_partkey").select("l_orderkey", "t"), lines.select("l_orderkey", "t")])
+    return temporal.related_points(lines, clocks, "l_orderkey", "l_partkey", "t")
 
 
 @query("SELECT event_id, user_id, event_type, ts FROM events")
