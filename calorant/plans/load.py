@@ -34,6 +34,15 @@ def bucket(digits: int) -> Column:
     return F.concat(F.lit("b"), F.substring(IDENTITY, 1, digits))
 
 
+def packed(c: str) -> Column:
+    """A text as bytes: 32 of a SHA-256 in hexadecimal, of any other text more."""
+    return F.when(F.col(c).rlike(r"^[0-9a-f]{64}\z"), F.unhex(c)).otherwise(F.concat(F.lit("=" * 33), F.col(c)).cast("binary"))
+
+
+def unpacked(c: str) -> Column:
+    return F.when(F.length(c) == 32, F.lower(F.hex(c))).otherwise(F.substring(c, 34, 1 << 30).cast("string"))
+
+
 def held(spark: SparkSession, path: str, like: DataFrame, incoming: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Rows of the store in the folders of the incoming identities; of few identities, in the row groups that may have them."""
     try:
@@ -55,22 +64,32 @@ def load(incoming: DataFrame, path: str, most_detail: int = 20, digits: int = DI
     folder for each beginning (`digits`, the same for all loads) of the identities' hashes, and bloom
     filters of them, so that a small load reads few files of a large store.
     """
-    spark = incoming.sparkSession
-    incoming = settled(incoming, "incoming")
-    within = incoming.groupBy(IDENTITY).agg(F.min(PAYLOAD).alias("_low"), F.max(PAYLOAD).alias("_high")).where("_low <> _high")
-    once = settled(incoming.dropDuplicates([IDENTITY]), "once")
-    stored = held(spark, path, incoming, once, digits).groupBy(IDENTITY).agg(F.min(PAYLOAD).alias("_held"))
-    kind = F.when(F.col("_held").isNull(), "new").when(F.col("_held") == F.col(PAYLOAD), "replay").otherwise("conflict")
-    classed = settled(once.join(stored, IDENTITY, "left").withColumn("load_class", kind), "load")
-    clash = [tuple(r) for r in within.select(IDENTITY, "_low", "_high").union(classed.where("load_class = 'conflict'").select(IDENTITY, PAYLOAD, "_held")).limit(most_detail).collect()]
+    spark, names = incoming.sparkSession, incoming.columns
+    others = [c for c in names if c not in (IDENTITY, PAYLOAD)]
+    # hashes are dealt out and written as bytes, at half their size
+    rows = settled(incoming.select(packed(IDENTITY).alias("_id"), packed(PAYLOAD).alias("_payload"), *others), "incoming")
+    plain = lambda df: df.withColumns({IDENTITY: unpacked("_id"), PAYLOAD: unpacked("_payload")}).select(*names)
+    once = rows.repartition("_id").groupBy("_id").agg(F.min("_payload").alias("_payload"), F.max("_payload").alias("_high"), F.first(F.struct(*others) if others else F.lit(0)).alias("_row"))
+    stored = held(spark, path, incoming, plain(rows), digits).select(packed(IDENTITY).alias("_id"), packed(PAYLOAD).alias("_payload")).repartition("_id").groupBy("_id").agg(F.min("_payload").alias("_held"), F.count("*").alias("_times"))
+    kind = F.when(F.col("_held").isNull(), "new").when(F.col("_held") == F.col("_payload"), "replay").otherwise("conflict")
+    classed = once.join(stored, "_id", "left").withColumns({"load_class": kind, "_within": F.coalesce(F.col("_payload") != F.col("_high"), F.lit(False)), "_twice": F.coalesce(F.col("_times") > 1, F.lit(False))})
+    # of replays only their number is kept
+    told = (F.col("load_class") != "replay") | F.col("_within")
+    classed = settled(classed.select("load_class", "_within", "_twice", *(F.when(told, F.col(c)).alias(c) for c in ("_id", "_payload", "_high", "_held")), F.when(F.col("load_class") == "new", F.col("_row")).alias("_row")), "load")
+    within = classed.where("_within").select(unpacked("_id"), unpacked("_payload"), unpacked("_high"))
+    clash = [tuple(r) for r in within.union(classed.where("load_class = 'conflict'").select(unpacked("_id"), unpacked("_payload"), unpacked("_held"))).limit(most_detail).collect()]
     if clash:
         raise LoadConflict("another payload: " + ", ".join(f"{i} has {a} and {b}" for i, a, b in clash), clash)
-    counts = {r.load_class: r["count"] for r in classed.groupBy("load_class").count().collect()}
-    new = classed.where("load_class = 'new'").drop("load_class", "_held").withColumn("_bucket", bucket(digits))
+    classes = classed.groupBy("load_class").agg(F.count("*").alias("n"), F.count_if("_twice").alias("twice")).collect()
+    counts, wrong = {r.load_class: r.n for r in classes}, sum(r.twice for r in classes)
     if counts.get("new"):
-        new.repartition("_bucket").write.mode("append").partitionBy("_bucket").option(f"parquet.bloom.filter.enabled#{IDENTITY}", "true").parquet(path)
-    times = held(spark, path, incoming, once, digits).groupBy(IDENTITY).agg(F.count("*").alias("times"))
-    wrong = classed.select(IDENTITY).join(times, IDENTITY, "left").where("times is null or times > 1").limit(1).count()
+        fresh = classed.where("load_class = 'new'")
+        fresh = fresh.select("_id", "_payload", *(F.col("_row")[c].alias(c) for c in others))
+        new = plain(fresh)
+        dealt = fresh.withColumn("_bucket", F.concat(F.lit("b"), F.substring(unpacked("_id"), 1, digits))).repartition("_bucket")
+        dealt.select(unpacked("_id").alias(IDENTITY), unpacked("_payload").alias(PAYLOAD), *others, "_bucket").select(*names, "_bucket").write.mode("append").partitionBy("_bucket").option(f"parquet.bloom.filter.enabled#{IDENTITY}", "true").parquet(path)
+        times = held(spark, path, incoming, new, digits).select(packed(IDENTITY).alias("_id")).repartition("_id").groupBy("_id").agg(F.count("*").alias("times"))
+        wrong += fresh.select("_id").join(times, "_id", "left").where("times is null or times > 1").limit(1).count()
     if wrong:
         raise RuntimeError("a row that was to be loaded isn't there, or is there twice")
     return {"inserted": counts.get("new", 0), "reused": counts.get("replay", 0)}
