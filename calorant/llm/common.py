@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,26 @@ def text_slices(texts: list[bytes], most: int = 2_000_000) -> Iterator[tuple[int
         yield i, len(texts)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers wait for further tasks, and would keep it beside an executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of batches for mapInPandas, with give_back() at its end."""
+
+    def of(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return of
+
+
 def encoded(column) -> list[bytes]:
     """UTF-8 of a pandas column of texts; a null becomes the empty text."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in column]

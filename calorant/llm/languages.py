@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calorant.llm.common import checkpoint
+from calorant.llm.common import checkpoint, give_back, giving_back
 
 #: The starts of script ranges by code point, in order, and the script from there on.
 SCRIPTS = [
@@ -156,7 +156,7 @@ def fit(docs: DataFrame) -> Model:
 
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
-    for r in texts.mapInPandas(run, "lang string, grams binary, scripts binary").collect():
+    for r in texts.mapInPandas(giving_back(run), "lang string, grams binary, scripts binary").collect():
         grams[r.lang] = grams.get(r.lang, 0) + np.frombuffer(r.grams, dtype="<i8")
         scripts[r.lang] = scripts.get(r.lang, 0) + np.frombuffer(r.scripts, dtype="<i8")
     names = sorted(grams)
@@ -175,6 +175,7 @@ def predictor(model: Model):
         texts, out = [t if isinstance(t, str) else "" for t in column], []
         for i, j in slices(texts):
             out.append(predict(texts[i:j], model, False))
+        give_back()
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
 
     return of.asNondeterministic()
@@ -236,4 +237,4 @@ def label(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                 out.insert(0, "doc_id", ids.iloc[i:j].to_numpy())
                 yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(giving_back(run), schema)

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from calorant.llm.common import giving_back
+
 WINDOW = 2048
 POOL = 2048
 END_ID = 1
@@ -205,4 +207,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, pool: int = POOL
         packer.finish()
         yield rows()
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.select("doc_id", "text").mapInPandas(giving_back(run), PIECES)

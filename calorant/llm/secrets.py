@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calorant.llm import convnet
-from calorant.llm.common import written
+from calorant.llm.common import give_back, giving_back, written
 from calorant.llm.quality import logistic
 
 #: The base patterns, in the order of their kinds, with the least length of the group named.
@@ -210,7 +210,7 @@ def _labelled(texts: DataFrame, each: int) -> DataFrame:
                 rows += [(int(label), row.tobytes(), True) for row, label in zip(x, y)]
             yield pd.DataFrame(rows, columns=["label", "x", "made"])
 
-    return texts.mapInPandas(run, "label int, x binary, made boolean").distinct()
+    return texts.mapInPandas(giving_back(run), "label int, x binary, made boolean").distinct()
 
 
 def _trained(rows: DataFrame, shards: int, passes: int, network: convnet.Network) -> convnet.Network:
@@ -259,7 +259,7 @@ def fit(docs: DataFrame) -> Model:
             x = np.frombuffer(b"".join(batch["x"]), dtype=np.uint8).reshape(-1, convnet.WIDTH)
             yield pd.DataFrame({"bin": np.floor(np.clip(network.margin(x).astype(float), -30, 30) * STEPS).astype(int), "label": batch["label"], "made": batch["made"]})
 
-    counts = rows.where(held).select("x", "label", "made").mapInPandas(margins, "bin long, label int, made boolean").groupBy("bin", "label", "made").count().orderBy("bin", "label", "made").collect()
+    counts = rows.where(held).select("x", "label", "made").mapInPandas(giving_back(margins), "bin long, label int, made boolean").groupBy("bin", "label", "made").count().orderBy("bin", "label", "made").collect()
     column = lambda name, kind: np.array([r[name] for r in counts], dtype=kind)
     return _calibrated(network, column("bin", float), column("label", float), column("made", bool), column("count", float))
 
@@ -285,7 +285,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+    return docs.select("doc_id", "text").mapInPandas(giving_back(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
 
 
 def redactor(model: Model):
@@ -293,7 +293,9 @@ def redactor(model: Model):
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, model.spans(t)[1]) if isinstance(t, str) else None for t in texts], dtype=object)
+        out = pd.Series([redact(t, model.spans(t)[1]) if isinstance(t, str) else None for t in texts], dtype=object)
+        give_back()
+        return out
 
     return of
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calorant.llm.common import checkpoint, encoded, text_slices
+from calorant.llm.common import checkpoint, encoded, give_back, text_slices
 from calorant.llm.components import components
 
 SHINGLE = 3
@@ -65,7 +65,9 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
 
     @F.pandas_udf("long")
     def of(column: pd.Series) -> pd.Series:
-        return pd.Series(fingerprint_batch(encoded(column), shingle))
+        out = pd.Series(fingerprint_batch(encoded(column), shingle))
+        give_back()
+        return out
 
     return of(text)
 
