@@ -133,7 +133,8 @@ def q51_validation_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = F.to_json(F.struct(*(F.lit(v).alias(n) for n, v in same.items()), *(c.alias(n) for n, c in own.items())))
     line = F.when(kind == 0, "").when(kind == 1, "[1]").when(kind == 2, '{"a": 1, "a": 2}').when(kind == 7, '{"a": NaN}').when(kind == 8, F.concat(F.lit('{"a": 1e400, '), F.substring(sound, 2, 1 << 20))).otherwise(sound)
     contract = CONTRACTS[feed]
-    df = settled(validation.parsed(read(spark, sf_dir, "lineitem").select(name.alias("locator"), line.alias("line")), feed, contract).drop("line"), feed)
+    cell = [f.name for f in contract.fields if f.name.startswith("interval_") or f.name in validation.READ]
+    df = settled(validation.parsed(read(spark, sf_dir, "lineitem").select(name.alias("locator"), line.alias("line")), feed, contract).select("locator", "identity", "payload_sha256", "issues", "replay", "unread", contract.opaque, *cell), feed)
     df = validation.local(validation.opaque_once(validation.unduplicated(df), contract.opaque), feed)
     outcome = F.when(F.size("issues") > 0, "quarantined").when(F.col("replay"), "replay").otherwise("accepted")
     return validation.report({feed: df.withColumn("outcome", outcome)})

@@ -17,7 +17,7 @@ from calorant.functions.keys import percent_encoded
 from calorant.operators import ranges
 from calorant.plans.folders import settled
 from calorant.sources.contracts import CONTRACTS, Contract
-from calorant.sources.jsonlines import is_number, numbered, objects, text_of
+from calorant.sources.jsonlines import fields, is_number, numbered, objects, text_of
 
 Feeds = dict[str, DataFrame]
 INTERVALS = ("commitment_schedule", "approved_excess_order", "delivery_point_capacity_assessment")
@@ -35,6 +35,8 @@ OVERLAPS = [
 #: Fields that rules within a row read and that may be absent.
 READ = ("effective_to_utc", "nameplate_ceiling_mwh_th", "operational_restriction_mwh_th", "deliverable_capacity_mwh_th")
 CLEAN = "size(issues) = 0"
+#: Shared values are broadcast up to this many.
+FEW = 20_000
 PUBLISHED = ("accepted", "lines", "quarantined", "replays", "report")
 
 
@@ -71,6 +73,12 @@ def issued(df: DataFrame, codes: Column) -> DataFrame:
 
 
 def _when(rules: dict[str, Column]) -> Column:
+    """The codes whose rules hold. The list is made only where one does, as its functions are not compiled."""
+    none = F.array().cast("array<string>")
+    return F.when(reduce(lambda a, b: a | b, rules.values()), _list(rules)).otherwise(none) if rules else none
+
+
+def _list(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*(F.when(rule, F.lit(code)) for code, rule in rules.items())), lambda c: c.isNotNull())
 
 
@@ -86,30 +94,40 @@ def parsed(lines: DataFrame, feed: str, contract: Contract) -> DataFrame:
     payload_sha256 is of the object's canonical form; an explicit null and an absent key differ, and so do
     1 and 1.0. An identity needs each of its fields.
     """
-    df = objects(spread(lines)).withColumnsRenamed({"issue": "_file", "values": "_values"})
-    df = df.withColumns({k: c for f in contract.fields for k, c in f.tokens().items()} | {"payload_sha256": F.sha2("payload", 256)}).drop("payload")
+    keys = ("source_system_id", *contract.episode, "source_revision")
+    df = fields(spread(lines), list(dict.fromkeys([*(f.name for f in contract.fields), *keys]))).withColumnRenamed("issue", "_file")
     if texts := {k: c for f in contract.fields for k, c in f.texts().items()}:
         df = df.withColumns(texts)
     df = df.withColumns({f.name: f.value() for f in contract.fields})
     unread = _when({f.name: F.col(f.name).isNull() & (f.token != "null") for f in contract.fields if f.name in READ})
-    df = df.withColumn("unread", unread if any(f.name in READ for f in contract.fields) else F.array().cast("array<string>"))
-    unknown = F.array_except(F.map_keys("_values"), F.array(*(F.lit(f.name) for f in contract.fields)).cast("array<string>"))
-    broken = _when({f.name: f.broken() for f in contract.fields} | {f"rule {name}": F.expr(rule) for name, rule in contract.rules.items()})
-    df = df.withColumn("failures", F.when(F.col("_file").isNull(), F.concat(broken, F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k)))))
-    own = lambda name: F.try_element_at("_values", F.lit(name))
+    df = df.withColumn("unread", unread)
+    rules = {f.name: f.broken() for f in contract.fields} | {f"rule {name}": F.expr(rule) for name, rule in contract.rules.items()}
+    others = {k: F.col(f"_token_{k}").isNotNull() for k in keys if k not in {f.name for f in contract.fields}}
+    unknown = F.concat("others", _when(others))
+    df = df.withColumn("failures", F.when(F.col("_file").isNull(), F.concat(_when(rules), F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k)))))
+    own = lambda name: F.col(f"_token_{name}")
     said = lambda t: F.coalesce(text_of(t), F.when(t == "true", "True").when(t == "false", "False").when(t == "null", "None").when(is_number(t), t))
-    identity = F.concat(F.lit(feed), *(F.concat(F.lit(f"::{name}="), percent_encoded(said(own(name)))) for name in ("source_system_id", *contract.episode, "source_revision")))
+    identity = F.concat(F.lit(feed), *(F.concat(F.lit(f"::{name}="), percent_encoded(said(own(name)))) for name in keys))
     schema = _when({"payload_not_canonical_json": F.col("payload_sha256").isNull(), "schema_validation_failed": F.size("failures") > 0})
     unnamed = F.when((F.size("_schema") == 0) & F.col("identity").isNull(), F.array(F.lit("identity_not_computable"))).otherwise(F.col("_schema"))
     df = df.withColumns({"identity": identity, "_schema": schema, "replay": F.lit(False)})
     issues = F.when(F.col("_file").isNotNull(), F.array("_file")).otherwise(unnamed)
-    return df.withColumn("issues", issues).drop("_values", "_file", "_schema", *(c for c in df.columns if c.startswith(("_token_", "_text_"))))
+    return df.withColumn("issues", issues).drop("others", "_file", "_schema", *(c for c in df.columns if c.startswith(("_token_", "_text_"))))
+
+
+def _shared(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
+    """Rows whose value of a column others may share, and whether such values are few: only hashes of all values are dealt out."""
+    own = F.xxhash64(column)
+    several = settled(df.groupBy(own.alias("_hash")).agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"), "shared")
+    few = several.limit(FEW + 1).count() <= FEW
+    return df.withColumn("_hash", own).join(F.broadcast(several) if few else several, "_hash", "left_semi").drop("_hash"), few
 
 
 def unduplicated(df: DataFrame) -> DataFrame:
     """Rows of one identity: a conflict if payloads differ, else all but the first are replays, with its accepted_locator."""
-    sound = df.where(CLEAN).groupBy("identity").agg(F.min("payload_sha256").alias("_low"), F.max("payload_sha256").alias("_high"), F.min("locator").alias("_first"))
-    df = df.join(sound, "identity", "left").withColumn("_ok", F.expr(CLEAN) & F.col("_first").isNotNull())
+    rows, few = _shared(df.where(CLEAN).select("identity", "payload_sha256", "locator"), "identity")
+    sound = rows.groupBy("identity").agg(F.min("payload_sha256").alias("_low"), F.max("payload_sha256").alias("_high"), F.min("locator").alias("_first"))
+    df = df.join(F.broadcast(sound) if few else sound, "identity", "left").withColumn("_ok", F.expr(CLEAN) & F.col("_first").isNotNull())
     df = issued(df, F.when(F.col("_ok") & (F.col("_low") != F.col("_high")), F.array(F.lit("source_revision_conflict"))))
     df = df.withColumn("replay", F.expr(CLEAN) & F.col("_ok") & (F.col("locator") != F.col("_first")))
     return df.withColumn("accepted_locator", F.when(F.col("replay"), F.col("_first"))).drop("_low", "_high", "_first", "_ok")
@@ -117,8 +135,9 @@ def unduplicated(df: DataFrame) -> DataFrame:
 
 def opaque_once(df: DataFrame, opaque: str) -> DataFrame:
     """An opaque id that stands for several identities."""
-    many = df.where(CLEAN).where("not replay").groupBy(opaque).agg(F.min("identity").alias("_a"), F.max("identity").alias("_b")).where("_a <> _b").select(opaque, F.lit(True).alias("_many"))
-    df = df.join(many, opaque, "left")
+    rows, few = _shared(_valid(df).select(opaque, "identity"), opaque)
+    many = rows.groupBy(opaque).agg(F.min("identity").alias("_a"), F.max("identity").alias("_b")).where("_a <> _b").select(opaque, F.lit(True).alias("_many"))
+    df = df.join(F.broadcast(many) if few else many, opaque, "left")
     return issued(df, F.when(F.expr(CLEAN) & ~F.col("replay") & F.col("_many"), F.array(F.lit("opaque_revision_id_reused")))).drop("_many")
 
 

@@ -1,7 +1,7 @@
 """The contracts of the nine feeds: their fields, the values allowed, and rules between fields.
 
-A rule is SQL over a row's typed fields that holds where the contract is broken. `_values` has the
-object's tokens by key, for rules on whether a field is there at all.
+A rule is SQL over a row's typed fields that holds where the contract is broken. `_token_<name>` has the
+field's token, for rules on whether a field is there at all.
 """
 
 from __future__ import annotations
@@ -46,9 +46,6 @@ class Field:
     def text(self) -> Column:
         return F.col(f"_text_{self.name}")
 
-    def tokens(self) -> dict[str, Column]:
-        return {f"_token_{self.name}": F.try_element_at("_values", F.lit(self.name))}
-
     def texts(self) -> dict[str, Column]:
         """The text of a field that takes one."""
         return {} if self.kind in ("whole", "flag", "real") else {f"_text_{self.name}": text_of(self.token)}
@@ -98,7 +95,7 @@ def _any(name: str, kind: str) -> Field:
 
 
 def _there(*names: str) -> str:
-    return " or ".join(f"map_contains_key(_values, '{n}')" for n in names)
+    return " or ".join(f"_token_{n} is not null" for n in names)
 
 
 def _missing(*names: str) -> str:

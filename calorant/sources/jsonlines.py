@@ -7,10 +7,14 @@ their double. A token is a value in that form.
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from json.encoder import encode_basestring
+from math import isfinite
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,8 @@ DECIMAL = r"(?!-?0\.0000[0-9]*[1-9])-?(?:0|[1-9][0-9]{0,8}+)\.[0-9]{1,6}+"
 ENTRY = rf'"([^"\\\x00-\x1F]*+)"{SPACE}*+:{SPACE}*+({TEXT}|{DECIMAL}|{WHOLE}|true|false|null)'
 #: Marks that no JSON text holds.
 EDGE, PAIR = "\x01", "\x02"
+#: Orders of keys that a task remembers.
+SHAPES = 1_000
 
 
 def numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -69,25 +75,36 @@ def _canonical(value, finite: bool = True) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=not finite)
 
 
-def read_object(line: str) -> tuple:
-    """issue, payload, keys and tokens of a line; the payload is null where it has no canonical form."""
+_DECODER = json.JSONDecoder(parse_constant=_refused, object_pairs_hook=_once)
+
+
+def _loaded(line: str) -> tuple[str | None, dict | None]:
+    """issue and object of a line."""
     text = line.rstrip("\r\n")
     if not text.strip():
-        return "empty_jsonl_line", None, None, None
+        return "empty_jsonl_line", None
     try:
-        value = json.loads(text, parse_constant=_refused, object_pairs_hook=_once)
+        value = _DECODER.decode(text)
     except _Repeated:
-        return "duplicate_json_key", None, None, None
+        return "duplicate_json_key", None
     except (ValueError, RecursionError):
-        return "invalid_json", None, None, None
-    if not isinstance(value, dict):
-        return "record_not_object", None, None, None
+        return "invalid_json", None
+    return (None, value) if isinstance(value, dict) else ("record_not_object", None)
+
+
+def read_object(line: str) -> tuple:
+    """issue, payload, keys and tokens of a line; the payload is null where it has no canonical form."""
+    issue, value = _loaded(line)
+    return (issue, None, None, None) if issue else _told(value)
+
+
+def _told(value: dict) -> tuple:
     try:
         payload = _canonical(value)
         payload.encode()
     except (ValueError, RecursionError):
         payload = None
-    return None, payload, [_carried(k) for k in value], [_carried(_canonical(v, False)) for v in value.values()]
+    return None, payload, [_carried(k) for k in value], [_carried(encode_basestring(v) if type(v) is str else _canonical(v, False)) for v in value.values()]
 
 
 def _reader():
@@ -130,6 +147,73 @@ def objects(df: DataFrame, line: str = "line") -> DataFrame:
     return df.withColumn("payload", F.when(sound, F.when(F.col("_plain"), text).otherwise(F.col("_read.payload")))).withColumn("values", F.when(sound, values)).drop("_marked", "_cut", "_parts", "_joined", "_plain", "_keys", "_read")
 
 
+def _token(value) -> str:
+    """The canonical form of a value; raises where it has none."""
+    if type(value) is str:
+        return encode_basestring(value)
+    if value is None or value is True or value is False:
+        return "null" if value is None else "true" if value else "false"
+    if type(value) is int or type(value) is float and isfinite(value):
+        return repr(value)
+    return _canonical(value)
+
+
+def field_reader(names: list[str]) -> Callable[[str], tuple]:
+    """A function of a line: issue, payload_sha256, other keys than names (in order), and the token of each name.
+
+    All as read_object() has them. Where keys stand in a payload is found once for each order of keys.
+    """
+    shapes: dict[tuple, tuple] = {}
+    none = (None,) * len(names)
+
+    def shaped(keys: tuple) -> tuple:
+        if len(shapes) >= SHAPES:
+            shapes.clear()
+        order = sorted(range(len(keys)), key=keys.__getitem__)
+        place = {k: i for i, k in enumerate(keys)}
+        known = set(names)
+        shapes[keys] = [(encode_basestring(keys[i]) + ":", i) for i in order], [place.get(n, len(keys)) for n in names], sorted(_carried(k) for k in keys if k not in known)
+        return shapes[keys]
+
+    def read(line: str) -> tuple:
+        issue, value = _loaded(line)
+        if issue:
+            return issue, None, None, *none
+        try:
+            tokens = [_token(v) for v in value.values()]
+            parts, places, others = shapes.get(keys := tuple(value)) or shaped(keys)
+            sha = hashlib.sha256(("{" + ",".join([k + tokens[i] for k, i in parts]) + "}").encode()).hexdigest()
+            tokens.append(None)
+            return None, sha, others, *[tokens[i] for i in places]
+        except (ValueError, RecursionError):
+            _, payload, keys, tokens = _told(value)
+            own = dict(zip(map(_carried, value), tokens))
+            sha = None if payload is None else hashlib.sha256(payload.encode()).hexdigest()
+            return None, sha, sorted(k for k in own if k not in set(names)), *map(own.get, names)
+
+    return read
+
+
+def fields(df: DataFrame, names: list[str], line: str = "line") -> DataFrame:
+    """df with issue, payload_sha256, others (keys that aren't names, in order) and _token_<name>, null where it is absent, of its lines.
+
+    As objects() reads them, each line once; a null line is an empty one, and bytes that are no UTF-8 are U+FFFD.
+    """
+    kind = pa.struct([("issue", pa.string()), ("payload_sha256", pa.string()), ("others", pa.list_(pa.string())), *((f"_token_{n}", pa.string()) for n in names)])
+
+    def run(lines: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = field_reader(names)
+        for batch in lines:
+            columns = zip(*map(read, batch.to_pylist())) if len(batch) else [()] * kind.num_fields
+            yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], fields=list(kind))
+
+    run.__annotations__ = {"lines": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    returned = ", ".join(f"`{f.name}`: {'array<string>' if f.name == 'others' else 'string'}" for f in kind)
+    read = F.arrow_udf(run, f"struct<{returned}>")
+    df = df.withColumn("_read", read(F.make_valid_utf8(F.coalesce(line, F.lit("")))))
+    return df.select(*(c for c in df.columns if c != "_read"), "_read.*")
+
+
 def text_of(token: Column) -> Column:
     """The text that a token stands for; null if it is no text."""
     inner = F.substring(token, F.lit(2), F.length(token) - 2)
