@@ -1,8 +1,9 @@
 """Validation of feeds in ordered passes: every line is accepted, quarantined with its issues, or a replay.
 
 A pass works on all rows at once and depends on the issues that the passes before it found. Rows are
-brought together by pre-aggregated joins, so that a repeated key is never gathered in one task. The
-rows are written once between passes, which keeps plans short.
+brought together by pre-aggregated joins, so that a repeated key is never gathered in one task. Passes
+carry cells, the few columns of a row that they read, and deal out only what shares a value with other
+rows. Cells are written once between passes, which keeps plans short.
 """
 
 from __future__ import annotations
@@ -34,7 +35,13 @@ OVERLAPS = [
 ]
 #: Fields that rules within a row read and that may be absent.
 READ = ("effective_to_utc", "nameplate_ceiling_mwh_th", "operational_restriction_mwh_th", "deliverable_capacity_mwh_th")
+#: Fields that the passes read beside those, keys of episodes and opaque ids.
+JUDGED = (
+    "customer_natural_id", "site_natural_id", "delivery_point_natural_id", "meter_natural_id", "register_natural_id", "contract_natural_id", "effective_from_utc", "interval_start_utc", "interval_end_utc", "reading_at_utc",
+    "approval_state", "version_record_status", "assignment_status", "terms_status", "schedule_record_status", "lifecycle_status", "operational_status", "assignment_role", "obligation_status", "committed_mwh_th", "register_type", "native_unit",
+)
 CLEAN = "size(issues) = 0"
+VALID = f"{CLEAN} and not replay"
 #: Shared values are broadcast up to this many.
 FEW = 20_000
 PUBLISHED = ("accepted", "lines", "quarantined", "replays", "report")
@@ -75,7 +82,11 @@ def issued(df: DataFrame, codes: Column) -> DataFrame:
 def _when(rules: dict[str, Column]) -> Column:
     """The codes whose rules hold. The list is made only where one does, as its functions are not compiled."""
     none = F.array().cast("array<string>")
-    return F.when(reduce(lambda a, b: a | b, rules.values()), _list(rules)).otherwise(none) if rules else none
+    return F.when(_any(rules), _list(rules)).otherwise(none) if rules else none
+
+
+def _any(rules: dict[str, Column]) -> Column:
+    return reduce(lambda a, b: a | b, rules.values(), F.lit(False))
 
 
 def _list(rules: dict[str, Column]) -> Column:
@@ -104,30 +115,36 @@ def parsed(lines: DataFrame, feed: str, contract: Contract) -> DataFrame:
     rules = {f.name: f.broken() for f in contract.fields} | {f"rule {name}": F.expr(rule) for name, rule in contract.rules.items()}
     others = {k: F.col(f"_token_{k}").isNotNull() for k in keys if k not in {f.name for f in contract.fields}}
     unknown = F.concat("others", _when(others))
+    failed = F.col("_file").isNull() & F.coalesce(_any(rules) | _any(others) | (F.size("others") > 0), F.lit(False))
+    df = df.withColumn("_failed", failed)
     df = df.withColumn("failures", F.when(F.col("_file").isNull(), F.concat(_when(rules), F.transform(unknown, lambda k: F.concat(F.lit("unknown "), k)))))
     own = lambda name: F.col(f"_token_{name}")
     said = lambda t: F.coalesce(text_of(t), F.when(t == "true", "True").when(t == "false", "False").when(t == "null", "None").when(is_number(t), t))
     identity = F.concat(F.lit(feed), *(F.concat(F.lit(f"::{name}="), percent_encoded(said(own(name)))) for name in keys))
-    schema = _when({"payload_not_canonical_json": F.col("payload_sha256").isNull(), "schema_validation_failed": F.size("failures") > 0})
-    unnamed = F.when((F.size("_schema") == 0) & F.col("identity").isNull(), F.array(F.lit("identity_not_computable"))).otherwise(F.col("_schema"))
-    df = df.withColumns({"identity": identity, "_schema": schema, "replay": F.lit(False)})
-    issues = F.when(F.col("_file").isNotNull(), F.array("_file")).otherwise(unnamed)
-    return df.withColumn("issues", issues).drop("others", "_file", "_schema", *(c for c in df.columns if c.startswith(("_token_", "_text_"))))
+    schema = {"payload_not_canonical_json": F.col("payload_sha256").isNull(), "schema_validation_failed": F.col("_failed")}
+    df = df.withColumns({"identity": identity, "replay": F.lit(False)})
+    unnamed = F.when(F.col("identity").isNull(), F.array(F.lit("identity_not_computable"))).otherwise(F.array().cast("array<string>"))
+    issues = F.when(F.col("_file").isNotNull(), F.array("_file")).when(_any(schema), _list(schema)).otherwise(unnamed)
+    return df.withColumn("issues", issues).drop("others", "_file", "_failed", *(c for c in df.columns if c.startswith(("_token_", "_text_"))))
 
 
-def _shared(df: DataFrame, column: str) -> tuple[DataFrame, bool]:
-    """Rows whose value of a column others may share, and whether such values are few: only hashes of all values are dealt out."""
-    own = F.xxhash64(column)
+def _shared(df: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+    """Rows whose values of columns others may share, and how many such values there are (more than FEW are not counted): only hashes of all values are dealt out."""
+    own = F.xxhash64(*columns)
     several = settled(df.groupBy(own.alias("_hash")).agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"), "shared")
-    few = several.limit(FEW + 1).count() <= FEW
-    return df.withColumn("_hash", own).join(F.broadcast(several) if few else several, "_hash", "left_semi").drop("_hash"), few
+    n = several.limit(FEW + 1).count()
+    return df.withColumn("_hash", own).join(_few(several, n), "_hash", "left_semi").drop("_hash"), n
+
+
+def _few(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= FEW else df
 
 
 def unduplicated(df: DataFrame) -> DataFrame:
     """Rows of one identity: a conflict if payloads differ, else all but the first are replays, with its accepted_locator."""
-    rows, few = _shared(df.where(CLEAN).select("identity", "payload_sha256", "locator"), "identity")
+    rows, n = _shared(df.where(CLEAN).select("identity", "payload_sha256", "locator"), "identity")
     sound = rows.groupBy("identity").agg(F.min("payload_sha256").alias("_low"), F.max("payload_sha256").alias("_high"), F.min("locator").alias("_first"))
-    df = df.join(F.broadcast(sound) if few else sound, "identity", "left").withColumn("_ok", F.expr(CLEAN) & F.col("_first").isNotNull())
+    df = df.join(_few(sound, n), "identity", "left").withColumn("_ok", F.expr(CLEAN) & F.col("_first").isNotNull())
     df = issued(df, F.when(F.col("_ok") & (F.col("_low") != F.col("_high")), F.array(F.lit("source_revision_conflict"))))
     df = df.withColumn("replay", F.expr(CLEAN) & F.col("_ok") & (F.col("locator") != F.col("_first")))
     return df.withColumn("accepted_locator", F.when(F.col("replay"), F.col("_first"))).drop("_low", "_high", "_first", "_ok")
@@ -135,9 +152,11 @@ def unduplicated(df: DataFrame) -> DataFrame:
 
 def opaque_once(df: DataFrame, opaque: str) -> DataFrame:
     """An opaque id that stands for several identities."""
-    rows, few = _shared(_valid(df).select(opaque, "identity"), opaque)
+    rows, n = _shared(_valid(df).select(opaque, "identity"), opaque)
+    if not n:
+        return df
     many = rows.groupBy(opaque).agg(F.min("identity").alias("_a"), F.max("identity").alias("_b")).where("_a <> _b").select(opaque, F.lit(True).alias("_many"))
-    df = df.join(F.broadcast(many) if few else many, opaque, "left")
+    df = df.join(_few(many, n), opaque, "left")
     return issued(df, F.when(F.expr(CLEAN) & ~F.col("replay") & F.col("_many"), F.array(F.lit("opaque_revision_id_reused")))).drop("_many")
 
 
@@ -167,7 +186,19 @@ def local(df: DataFrame, feed: str) -> DataFrame:
 
 
 def _valid(df: DataFrame) -> DataFrame:
-    return df.where(CLEAN).where("not replay")
+    return df.where(VALID)
+
+
+def newest(df: DataFrame, episode: list[str]) -> DataFrame:
+    """df with newest: whether a row is of its episode's greatest revision; rows without an identity and replays are of none."""
+    held = df.where("identity is not null and not replay")
+    rows, n = _shared(held.select(*episode, "source_revision"), *episode)
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("identity", *episode, "source_revision")], ~F.col("replay"))
+    if not n:
+        return df.withColumn("newest", there)
+    greatest = rows.groupBy(*episode).agg(F.max("source_revision").alias("_greatest"))
+    df = df.join(_few(greatest, n), episode, "left")
+    return df.withColumn("newest", there & (F.col("_greatest").isNull() | (F.col("source_revision") == F.col("_greatest")))).drop("_greatest")
 
 
 def _referring(df: DataFrame, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -191,31 +222,55 @@ def references(feeds: Feeds) -> Feeds:
 
 def current(df: DataFrame, feed: str) -> DataFrame:
     """Rows in force: of each episode those of the greatest revision, if they are valid, approved and active."""
-    episode = list(CONTRACTS[feed].episode)
-    held = df.where("identity is not null and not replay")
-    newest = held.groupBy(*episode).agg(F.max("source_revision").alias("_newest"))
-    rows = held.join(newest, episode).where("source_revision = _newest").drop("_newest")
-    return rows.where(CLEAN).where("approval_state = 'approved'").where(CONTRACTS[feed].active)
+    return df.where("newest").where(CLEAN).where("approval_state = 'approved'").where(CONTRACTS[feed].active)
 
 
 def overlaps(feeds: Feeds) -> Feeds:
-    """Rows in force that overlap another of their group. Later rules leave out what earlier ones found."""
+    """Rows in force that overlap another of their group. Later rules leave out what earlier ones found. A group of one row overlaps nothing."""
     out = dict(feeds)
     for feed, group, code in OVERLAPS:
         rows = current(out[feed], feed)
         if feed == "revenue_meter_assignment":
             rows = rows.where("assignment_role = 'authoritative_revenue'")
-        found = ranges.overlapping(rows, group, "effective_from_utc", "effective_to_utc", "locator").select("locator", F.lit(True).alias("_found"))
-        out[feed] = settled(issued(out[feed].join(found, "locator", "left"), F.when(F.col("_found"), F.array(F.lit(code)))).drop("_found"))
+        rows, n = _shared(rows.select("locator", *group, "effective_from_utc", "effective_to_utc"), *group)
+        if n:
+            found = ranges.overlapping(rows, group, "effective_from_utc", "effective_to_utc", "locator").select("locator", F.lit(True).alias("_found"))
+            out[feed] = settled(issued(out[feed].join(found, "locator", "left"), F.when(F.col("_found"), F.array(F.lit(code)))).drop("_found"))
     return out
 
 
+def _several(versions: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Keys that have several versions, and how many (more than FEW are not counted)."""
+    several = settled(versions.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "several")
+    return several, several.limit(FEW + 1).count()
+
+
 def _covering(df: DataFrame, versions: DataFrame, keys: list[str], take: list[str], name: str, match: Column) -> DataFrame:
-    """df with <name>_n, the number of versions that match, and the fields to take of an only one as <name>_<field>."""
-    left = df.select("locator", *dict.fromkeys([*keys, *[c for c in df.columns if c.endswith("_utc") and c in ("interval_start_utc", "interval_end_utc", "reading_at_utc")]])).alias("l")
+    """df with <name>_n, the number of versions that match, and the fields to take of an only one as <name>_<field>.
+
+    Rows stay as they are and meet the version of a key that has one; only rows of other keys are counted by
+    locator. No key of a row is null.
+    """
     on = reduce(lambda a, b: a & b, [F.col(f"l.{k}") == F.col(f"v.{k}") for k in keys], match)
-    found = left.join(versions.select(*dict.fromkeys([*keys, *take, *[c for c in ("effective_from_utc", "effective_to_utc") if c in versions.columns]])).alias("v"), on).groupBy("l.locator").agg(F.count("*").alias(f"{name}_n"), *(F.max(f"v.{c}").alias(f"{name}_{c}") for c in take))
-    return df.join(found, "locator", "left").withColumn(f"{name}_n", F.coalesce(f"{name}_n", F.lit(0)))
+    several, n = _several(versions, keys)
+    if not n:
+        return _met(df, versions, on, keys, take, name)
+    df, several = settled(df), _few(several, n)
+    split = lambda how: (df.join(several, keys, how), versions.join(several, keys, how))
+    return _met(*split("left_anti"), on, keys, take, name).unionByName(_counted(*split("left_semi"), on, keys, take, name))
+
+
+def _met(df: DataFrame, versions: DataFrame, on: Column, keys: list[str], take: list[str], name: str) -> DataFrame:
+    """_covering() where a key has one version at most."""
+    taken = [F.col(f"v.{c}").alias(f"{name}_{c}") for c in take]
+    return df.alias("l").join(versions.alias("v"), on, "left").select("l.*", F.col(f"v.{keys[0]}").isNotNull().cast("long").alias(f"{name}_n"), *taken)
+
+
+def _counted(df: DataFrame, versions: DataFrame, on: Column, keys: list[str], take: list[str], name: str) -> DataFrame:
+    """_covering() whatever number of versions a key has."""
+    left = df.select("locator", *dict.fromkeys([*keys, *[c for c in df.columns if c in ("interval_start_utc", "interval_end_utc", "reading_at_utc")]])).alias("l")
+    found = left.join(versions.alias("v"), on).groupBy("l.locator").agg(F.count("*").alias(f"{name}_n"), *(F.max(f"v.{c}").alias(f"{name}_{c}") for c in take))
+    return df.join(found, "locator", "left").withColumn(f"{name}_n", F.coalesce(f"{name}_n", F.lit(0).cast("long")))
 
 
 def _single(n: str, missing: str, ambiguous: str) -> dict[str, Column]:
@@ -223,19 +278,35 @@ def _single(n: str, missing: str, ambiguous: str) -> dict[str, Column]:
 
 
 def intervals(feeds: Feeds) -> Feeds:
-    """Interval rows and readings against the versions in force; these are taken before any row is judged."""
+    """Interval rows and readings against the versions in force; these are taken before any row is judged.
+
+    A point's version takes the periods of its customer and site along where each of these has one version.
+    """
     out = dict(feeds)
     rows = {f: current(feeds[f], f) for f in (*EFFECTIVE, "commitment_schedule")}
     customers, sites = rows["customer_master"].where("lifecycle_status = 'active'"), rows["industrial_site_master"].where("operational_status = 'operational'")
     meters = rows["revenue_meter_assignment"].where("assignment_role = 'authoritative_revenue'")
     inside = F.expr("v.effective_from_utc <= l.interval_start_utc and (v.effective_to_utc is null or l.interval_end_utc <= v.effective_to_utc)")
+    points, along = rows["delivery_point_assignment"], {}
+    owners = {"customer": (customers, "customer_natural_id"), "site": (sites, "site_natural_id")}
+    for name, (versions, key) in owners.items():
+        if not _several(versions, [key])[1]:
+            along[name] = [f"{name}_there", f"{name}_from", f"{name}_to"]
+            own = (F.lit(True), F.col("effective_from_utc"), F.col("effective_to_utc"))
+            points = points.join(versions.select(key, *(c.alias(n) for c, n in zip(own, along[name]))), key, "left")
+    points = settled(points.select("delivery_point_natural_id", "customer_natural_id", "site_natural_id", "effective_from_utc", "effective_to_utc", *sum(along.values(), [])), "points")
     for feed in INTERVALS:
-        df = _covering(feeds[feed].where(CLEAN).where("not replay"), rows["delivery_point_assignment"], ["delivery_point_natural_id"], ["customer_natural_id", "site_natural_id"], "point", inside)
+        df = _covering(_valid(feeds[feed]), points, ["delivery_point_natural_id"], ["customer_natural_id", "site_natural_id", *sum(along.values(), [])], "point", inside)
         rules = _single("point_n", "delivery_point_assignment_coverage_missing", "delivery_point_assignment_coverage_ambiguous")
         one = F.col("point_n") == 1
-        for name, versions, key in (("customer", customers, "customer_natural_id"), ("site", sites, "site_natural_id")):
-            asked = df.select("locator", "interval_start_utc", "interval_end_utc", F.col(f"point_{key}").alias(key))
-            df = df.join(_covering(asked, versions, [key], [], name, inside).select("locator", f"{name}_n"), "locator")
+        for name, (versions, key) in owners.items():
+            if name in along:
+                within = f"point_{name}_there and point_{name}_from <= interval_start_utc and (point_{name}_to is null or interval_end_utc <= point_{name}_to)"
+                df = df.withColumn(f"{name}_n", F.coalesce(F.expr(within), F.lit(False)).cast("long"))
+            else:
+                df = settled(df)
+                asked = _covering(df.where(one), versions.withColumnRenamed(key, f"point_{key}"), [f"point_{key}"], [], name, inside)
+                df = asked.unionByName(df.where(~one).withColumn(f"{name}_n", F.lit(0).cast("long")))
             rules |= {code: one & rule for code, rule in _single(f"{name}_n", f"{name}_effective_coverage_missing", f"{name}_effective_coverage_ambiguous").items()}
         if feed != "delivery_point_capacity_assessment":
             df = _covering(df, rows["contract_terms"], ["contract_natural_id"], ["delivery_point_natural_id", "customer_natural_id"], "terms", inside)
@@ -249,7 +320,7 @@ def intervals(feeds: Feeds) -> Feeds:
             rules |= {"positive_commitment_missing": (F.col("base_n") == 0) | (F.col("base_n") == 1) & ~positive, "commitment_current_version_ambiguous": F.col("base_n") > 1}
         out[feed] = _marked(feeds[feed], df, rules)
     held = F.expr("v.effective_from_utc <= l.reading_at_utc and (v.effective_to_utc is null or l.reading_at_utc < v.effective_to_utc)")
-    df = _covering(feeds["revenue_meter_reading"].where(CLEAN).where("not replay"), meters, ["meter_natural_id", "register_natural_id"], ["register_type", "native_unit"], "meter", held)
+    df = _covering(_valid(feeds["revenue_meter_reading"]), meters, ["meter_natural_id", "register_natural_id"], ["register_type", "native_unit"], "meter", held)
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"meter_{c}"))
     rules = _single("meter_n", "meter_assignment_coverage_missing", "meter_assignment_coverage_ambiguous") | {"meter_register_metadata_mismatch": (F.col("meter_n") == 1) & (differs("register_type") | differs("native_unit"))}
     out["revenue_meter_reading"] = _marked(feeds["revenue_meter_reading"], df, rules)
@@ -257,29 +328,54 @@ def intervals(feeds: Feeds) -> Feeds:
 
 
 def _marked(df: DataFrame, judged: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    found = judged.select("locator", _when(rules).alias("_more"))
-    return settled(issued(df.join(found, "locator", "left"), F.col("_more")).drop("_more"))
+    """df with the issues of its valid rows, which are judged; the others stay."""
+    return issued(judged, _when(rules)).select(*df.columns).unionByName(df.where(f"not ({VALID})"))
 
 
-def validate(lines: Feeds) -> Feeds:
-    """Each feed's rows (typed, with locator, line, identity, payload_sha256, failures, issues) and their outcome.
+def cells(df: DataFrame, feed: str) -> DataFrame:
+    """What the passes read of a feed's rows."""
+    contract = CONTRACTS[feed]
+    read = {*JUDGED, *READ, *contract.episode, "source_revision", contract.opaque}
+    return df.select("locator", "identity", "payload_sha256", "issues", "replay", "unread", *(f.name for f in contract.fields if f.name in read))
 
-    lines: by feed, rows of locator (unique within the feed, in the order of lines) and line. Feeds
-    that aren't given count as empty here; read_bundle tells of them. An unknown feed raises, and so does
-    a bundle without any feed.
-    """
+
+def _read(lines: Feeds, feed: str) -> DataFrame:
     if unknown := set(lines) - set(CONTRACTS):
         raise ValueError(f"unsupported_dataset: {', '.join(sorted(unknown))}")
-    some = next(iter(lines.values()))
+    return parsed(lines.get(feed, next(iter(lines.values())).limit(0)), feed, CONTRACTS[feed])
+
+
+def judged(rows: Feeds) -> Feeds:
+    """locator, issues, replay, accepted_locator and outcome of each feed's cells, of which each feed has one frame."""
     feeds: Feeds = {}
-    for feed, contract in CONTRACTS.items():
-        df = settled(parsed(lines.get(feed, some.limit(0)), feed, contract), feed)
+    for feed, df in rows.items():
+        contract = CONTRACTS[feed]
         df = unduplicated(df)
-        df = opaque_once(df, contract.opaque) if contract.opaque else df
-        feeds[feed] = settled(local(df, feed), feed)
+        df = local(opaque_once(df, contract.opaque) if contract.opaque else df, feed)
+        if feed in (*EFFECTIVE, "commitment_schedule"):
+            df = newest(df, list(contract.episode))
+        spent = {"identity", "payload_sha256", "unread", *READ, "source_revision", contract.opaque} - {"effective_to_utc"}
+        feeds[feed] = settled(df.drop(*(c for c in spent if c in df.columns)), feed)
     feeds = intervals(references(overlaps(references(feeds))))
     outcome = F.when(F.size("issues") > 0, "quarantined").when(F.col("replay"), "replay").otherwise("accepted")
-    return {feed: df.withColumn("outcome", outcome) for feed, df in feeds.items()}
+    return {feed: df.select("locator", "issues", "replay", "accepted_locator", outcome.alias("outcome")) for feed, df in feeds.items()}
+
+
+def outcomes(lines: Feeds) -> Feeds:
+    """What validate() says of each line, without the line's row: locator, issues, replay, accepted_locator and outcome."""
+    return judged({feed: settled(cells(_read(lines, feed), feed), feed) for feed in CONTRACTS})
+
+
+def validate(lines: Feeds) -> Feeds:
+    """Each feed's rows (typed, with locator, line, identity, payload_sha256, failures, issues) and their outcome.
+
+    lines: by feed, rows of locator (unique within the feed, in the order of lines) and line. Feeds
+    that aren't given count as empty here; read_bundle tells of them. An unknown feed raises, and so does
+    a bundle without any feed.
+    """
+    rows = {feed: settled(_read(lines, feed), feed) for feed in CONTRACTS}
+    said = judged({feed: cells(df, feed) for feed, df in rows.items()})
+    return {feed: settled(df.drop("issues", "replay").join(said[feed], "locator"), feed) for feed, df in rows.items()}
 
 
 def report(feeds: Feeds, bundle: DataFrame | None = None) -> DataFrame:

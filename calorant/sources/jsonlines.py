@@ -180,7 +180,7 @@ def field_reader(names: list[str]) -> Callable[[str], tuple]:
         if issue:
             return issue, None, None, *none
         try:
-            tokens = [_token(v) for v in value.values()]
+            tokens = [encode_basestring(v) if type(v) is str else _token(v) for v in value.values()]
             parts, places, others = shapes.get(keys := tuple(value)) or shaped(keys)
             sha = hashlib.sha256(("{" + ",".join([k + tokens[i] for k, i in parts]) + "}").encode()).hexdigest()
             tokens.append(None)
