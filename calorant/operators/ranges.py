@@ -19,10 +19,10 @@ def covers(start: str, end: str, begin: Column, stop: Column | None = None) -> C
     return (F.col(start) <= begin) & (F.col(end).isNull() | inside)
 
 
-def effective_join(df: DataFrame, versions: DataFrame, keys: list[str], start: str, end: str, at: str, until: str | None = None, how: str = "left", parts: int | None = None) -> DataFrame:
-    """df with the version of its keys that is in force at `at` (or over [at, until])."""
+def effective_join(df: DataFrame, versions: DataFrame, keys: list[str], start: str, end: str, at: str, until: str | None = None, how: str = "left", hidden: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """df with the version of its keys that is in force at `at` (or over [at, until]), without the version's hidden columns."""
     keep = None if until is None else lambda row, version: version[end].isNull() | (row[until] <= version[end])
-    return asof.joined(df, versions, keys, start, end, at, keep, how, closed=until is not None, parts=parts)
+    return asof.joined(df, versions, keys, start, end, at, keep, how, hidden, closed=until is not None, parts=parts)
 
 
 def containment_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str) -> DataFrame:

@@ -65,7 +65,7 @@ def q55_in_force_on_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("version"), d.alias("a"), end.alias("b"))
     t = F.col("l_shipdate").cast("timestamp_ntz") + hours(F.col("l_partkey") % 48)
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("status"), t.alias("t"))
-    return ranges.effective_join(lines, versions, ["status"], "a", "b", "t", parts=PARTS).select("l_orderkey", "l_linenumber", "version")
+    return ranges.effective_join(lines, versions, ["status"], "a", "b", "t", hidden=("a", "b"), parts=PARTS).select("l_orderkey", "l_linenumber", "version")
 
 
 @query("""WITH e AS (SELECT event_id, event_type, ts AS a, ts + INTERVAL 10 MINUTE AS b FROM events) SELECT x.event_id, count(y.event_id) AS overlaps FROM e x LEFT JOIN e y ON y.event_type = x.event_type AND y.event_id <> x.event_id AND x.a < y.b AND y.a < x.b GROUP BY x.event_id""")
@@ -209,7 +209,7 @@ def q63_history_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = {kind: settled(h.select("user_id", F.col("rev").alias(f"{kind}_rev"), F.col("value").alias(f"{kind}_value"), "known_from_utc", "known_to_utc"), kind) for kind, h in logs.items()}
     facts = temporal.change_points([h.select("user_id", F.col("known_from_utc").alias("t")) for h in history.values()])
     for h in history.values():
-        facts = temporal.as_known_at(facts, h, ["user_id"], "t").drop("known_from_utc", "known_to_utc")
+        facts = temporal.as_known_at(settled(facts, "facts"), h, ["user_id"], "t").drop("known_from_utc", "known_to_utc")
     delta = (F.col("purchase_value") - F.col("click_value")).cast("decimal(20,6)")
     missing = F.col("click_rev").isNull() | F.col("purchase_rev").isNull()
     facts = facts.withColumns({"delta": delta, "status": F.when(missing, "provisional").when(delta < 0, "short").otherwise("final")}).withColumn("state", state_fingerprint("delta", "status"))

@@ -118,7 +118,7 @@ def current_facts(feeds: dict[str, DataFrame], coverage: DataFrame) -> DataFrame
     p = _parts({feed: current_of(feed, df) for feed, df in feeds.items()}, known=False)
     grid = spine.delivery_spine(coverage, p["assignment"]).drop("effective_from_utc", "effective_to_utc")
     for name, keys in (("customer", ["source_system_id", "customer_natural_id"]), ("site", ["source_system_id", "site_natural_id"]), ("contract", ["source_system_id", "delivery_point_natural_id", "customer_natural_id"]), ("meter", ["source_system_id", "delivery_point_natural_id"])):
-        grid = ranges.effective_join(grid, p[name], keys, "effective_from_utc", "effective_to_utc", "interval_start_utc", "interval_end_utc").drop("effective_from_utc", "effective_to_utc")
+        grid = ranges.effective_join(settled(grid, "grid"), p[name], keys, "effective_from_utc", "effective_to_utc", "interval_start_utc", "interval_end_utc").drop("effective_from_utc", "effective_to_utc")
     grid = grid.join(p["opening"], [*REGISTER, "interval_start_utc"], "left").join(p["closing"], [*REGISTER, "interval_end_utc"], "left")
     grid = grid.join(p["commitment"], INTERVAL, "left").join(p["capacity"], INTERVAL, "left").join(_one_order(p["order"], INTERVAL), INTERVAL, "left")
     return interval_results(_measured(grid))
@@ -160,9 +160,9 @@ def history_facts(feeds: dict[str, DataFrame], coverage: DataFrame) -> DataFrame
     grid = settled(spine.delivery_spine(coverage, ever).select(*columns).distinct(), "grid")
     df = settled(_points(feeds, known, grid).withColumnRenamed("known_from_utc", "t").join(grid, "delivery_interval_key"), "points")
     for name, keys in (("assignment", ["source_system_id", "delivery_point_natural_id"]), ("customer", ["source_system_id", "customer_natural_id"]), ("site", ["source_system_id", "site_natural_id"]), ("contract", ["source_system_id", "delivery_point_natural_id", "customer_natural_id"]), ("meter", ["source_system_id", "delivery_point_natural_id"])):
-        df = temporal.bitemporal_join(df, p[name], keys, "interval_start_utc", "interval_end_utc", "t")
+        df = settled(temporal.bitemporal_join(df, p[name], keys, "interval_start_utc", "interval_end_utc", "t"), "points")
     for name, keys in (("opening", [*REGISTER, "interval_start_utc"]), ("closing", [*REGISTER, "interval_end_utc"]), ("commitment", INTERVAL), ("capacity", INTERVAL)):
-        df = temporal.as_known_at(df, p[name], keys, "t").drop("known_from_utc", "known_to_utc")
+        df = settled(temporal.as_known_at(df, p[name], keys, "t").drop("known_from_utc", "known_to_utc"), "points")
     orders = temporal.as_known_at(df.select("delivery_interval_key", "t", *INTERVAL), p["order"], INTERVAL, "t", "inner")
     df = df.join(_one_order(orders, ["delivery_interval_key", "t"]), ["delivery_interval_key", "t"], "left")
     states = interval_results(_measured(df)).withColumn("state_sha256", state_fingerprint(*STATE)).withColumnRenamed("t", "known_from_utc")
