@@ -9,7 +9,7 @@ from calorant.functions.keys import state_fingerprint, surrogate_key
 from calorant.functions.measures import REVISIONS, interval_results, to_mwh
 from calorant.operators import ranges, relations, spine, temporal
 from calorant.plans.analogues import INTERVAL_INPUTS, ORDER_VERSIONS, REVISION_LOG, interval_inputs, order_versions, read, revision_log
-from calorant.plans.folders import shared_folder
+from calorant.plans.folders import settled, shared_folder
 from calorant.plans.registry import query
 
 IDENTITY = ["user_id", "event_type"]
@@ -101,8 +101,8 @@ SELECT l.l_orderkey, l.l_linenumber, l.l_shipdate, v.o_orderkey AS version_order
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN v ON v.o_custkey = o.o_custkey AND v.effective_from_utc <= l.l_shipdate AND (v.effective_to_utc IS NULL OR l.l_shipdate < v.effective_to_utc)""")
 def q08_effective_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(owner, "l_orderkey")
-    joined = ranges.effective_join(lines, order_versions(spark, sf_dir), ["o_custkey"], "effective_from_utc", "effective_to_utc", "l_shipdate")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(owner.hint("merge"), "l_orderkey")
+    joined = ranges.effective_join(settled(lines, "lines"), order_versions(spark, sf_dir), ["o_custkey"], "effective_from_utc", "effective_to_utc", "l_shipdate")
     return joined.select("l_orderkey", "l_linenumber", "l_shipdate", F.col("o_orderkey").alias("version_orderkey"), "effective_from_utc", "effective_to_utc")
 
 
